@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from labelloom.functions.vectors import first_argmax
 from labelloom.operators.labeling import LabelingSet
 from labelloom.operators.majority import MajorityModel, vote_counts
+from labelloom.sizing import local_frame
 
 # The pseudo function under which whole-table totals are counted in the same pass.
 _ALL = -1
 
 
+def _marker() -> Column:
+    return F.array(F.struct(F.lit(_ALL).alias("lf"), F.lit(None).cast("int").alias("c")))
+
+
 def lf_summary(ballots: DataFrame, lfs: LabelingSet, label_idx: str | None = "label_idx") -> DataFrame:
     """One row per labeling function: how often it votes, agrees, clashes and is right.
 
@@ -22,12 +27,11 @@ def lf_summary(ballots: DataFrame, lfs: LabelingSet, label_idx: str | None = "la
     the item count and all function counts; the rest is arithmetic on len(lfs) rows.
     """
     gold = F.col(label_idx) if label_idx else F.lit(None).cast("int")
-    marker = F.array(F.struct(F.lit(_ALL).alias("lf"), F.lit(None).cast("int").alias("c")))
     marked = ballots.select(
         (F.size("votes") > 1).alias("shared"),
         (F.size(F.array_distinct("votes.c")) > 1).alias("clash"),
         gold.alias("gold"),
-        F.explode(F.concat(F.col("votes"), marker)).alias("v"),
+        F.explode(F.concat(F.col("votes"), _marker())).alias("v"),
     )
     per_lf = marked.groupBy("v.lf").agg(
         F.count("*").alias("n"),
@@ -82,34 +86,27 @@ def split_errors(predictions: DataFrame, label: str = "label_idx", pred: str = "
 
 def annotator_stats(ballots: DataFrame, lfs: LabelingSet, model: MajorityModel) -> DataFrame:
     """Vote statistics, one row per labeling function and class of the model."""
-    spark = ballots.sparkSession
-    n_items = ballots.count()  # reads no text: the votes are pruned away
-    cells = (
-        ballots.select(F.explode("votes").alias("v"))
-        .groupBy(F.col("v.lf").alias("lf"), F.col("v.c").alias("class_idx"))
-        .agg(F.count("*").alias("n"))
-    )
-    grid = spark.createDataFrame(
-        [
-            (f.lf, f.criterion, float(model.weights.get(f.criterion, 1.0)), c)
-            for f in lfs.functions
-            for c in model.classes
-        ],
-        "lf int, criterion string, weight double, class_idx int",
-    )
-    valid = cells.groupBy("lf").agg(F.sum("n").alias("n_valid"))
-    joined = grid.join(cells, ["lf", "class_idx"], "left").join(valid, "lf", "left")
-    n_valid, count = F.coalesce("n_valid", F.lit(0)), F.coalesce("n", F.lit(0))
-    total = F.lit(n_items).cast("bigint")
-    return joined.select(
-        "criterion",
-        "class_idx",
-        total.alias("n_annotations"),
-        n_valid.alias("n_valid"),
-        F.coalesce(F.try_divide(total - n_valid, total), F.lit(0.0)).alias("missing_rate"),
-        "weight",
-        count.alias("class_count"),
-        F.coalesce(F.try_divide(count, n_valid), F.lit(0.0)).alias("class_prop"),
+    marked = ballots.select(F.explode(F.concat(F.col("votes"), _marker())).alias("v"))
+    counted = marked.groupBy(F.col("v.lf").alias("lf"), F.col("v.c").alias("c")).agg(F.count("*").alias("n"))
+    # at most one row per function and class
+    cells = {(r.lf, r.c): r.n for r in counted.collect()}
+    n_items = cells.pop((_ALL, None), 0)
+    rows = []
+    for f in lfs.functions:
+        n_valid = sum(n for (lf, _), n in cells.items() if lf == f.lf)
+        for c in model.classes:
+            count = cells.get((f.lf, c), 0)
+            rows.append(
+                (
+                    f.criterion, c, n_items, n_valid, (n_items - n_valid) / n_items if n_items else 0.0,
+                    float(model.weights.get(f.criterion, 1.0)), count, count / n_valid if n_valid else 0.0,
+                )
+            )
+    return local_frame(
+        ballots.sparkSession,
+        rows,
+        "criterion string, class_idx int, n_annotations bigint, n_valid bigint, missing_rate double, "
+        "weight double, class_count bigint, class_prop double",
     )
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import int_or_text
-from labelloom.sizing import rows_within
+from labelloom.sizing import local_frame, rows_within
 
 MAX_CLASSES = 50_000
 
@@ -23,21 +23,21 @@ class ClassList:
         return len(self.names)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(self.names)), "class_idx int, class_name string")
-
-
-def class_order(name: Column) -> list[Column]:
-    """Whole numbers by value, then everything else by name."""
-    return [name.try_cast("bigint").asc_nulls_last(), name.asc()]
+        return local_frame(spark, list(enumerate(self.names)), "class_idx int, class_name string")
 
 
 def class_list(labelled: DataFrame, label: str = "label") -> ClassList:
-    """The sorted distinct labels of the gold sample; nulls are no class."""
-    names = labelled.select(int_or_text(F.col(label)).alias("name")).filter("name is not null").distinct()
-    rows = rows_within(names.orderBy(*class_order(F.col("name"))), MAX_CLASSES)
+    """The distinct labels of the gold sample: whole numbers by value, then others by name.
+
+    Nulls are no class.
+    """
+    name = int_or_text(F.col(label))
+    names = labelled.select(name.alias("name"), name.try_cast("bigint").alias("number")).filter("name is not null")
+    rows = rows_within(names.distinct(), MAX_CLASSES)
     if rows is None:
         raise ValueError(f"more than {MAX_CLASSES} distinct labels: this is not a class column")
-    return ClassList(tuple(r.name for r in rows))
+    ordered = sorted(rows, key=lambda r: (r.number is None, r.number or 0, r.name))
+    return ClassList(tuple(r.name for r in ordered))
 
 
 def with_class_index(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import int_or_text, outer_json, parse_answer, seeded_order
 from labelloom.operators.sampling import take_lowest
+from labelloom.sizing import compute_once
 
 GENERATED = "criteria array<struct<criterion:string,description:string,class:string>>"
 
@@ -33,7 +34,7 @@ def ingest_generated(answers: DataFrame) -> DataFrame:
     A failed or unreadable answer contributes nothing.
     """
     usable = answers.filter(~F.coalesce("failed", F.lit(False)))
-    listed = usable.select("request_no", parse_answer(F.col("content"), GENERATED)["criteria"].alias("found"))
+    listed = compute_once(usable, "request_no", found=parse_answer(F.col("content"), GENERATED)["criteria"])
     rows = listed.select("request_no", F.posexplode("found").alias("pos", "c"))
     return rows.select(
         (F.shiftleft(F.col("request_no").cast("bigint"), 32) + F.col("pos")).alias("ord"),
@@ -71,5 +72,5 @@ def cap_new(existing: DataFrame, new: DataFrame, maximum: int, seed: int = 0) ->
         return new
     if n_existing > maximum:
         raise ValueError(f"{n_existing} existing criteria already exceed the maximum of {maximum}")
-    keyed = new.withColumn("_key", seeded_order(seed, F.col("ord"), F.col("criterion")))
-    return take_lowest(keyed, maximum - n_existing, "_key").drop("_key")
+    key = seeded_order(seed, F.col("ord"), F.col("criterion"))
+    return take_lowest(new, maximum - n_existing, key, n_new)

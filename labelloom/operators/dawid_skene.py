@@ -21,7 +21,7 @@ from labelloom.functions.vectors import first_argmax
 from labelloom.operators.labeling import LabelingSet
 from labelloom.operators.posterior import CellMap, cell_patterns, posterior
 from labelloom.session import scratch_table
-from labelloom.sizing import constant
+from labelloom.sizing import constant, local_frame
 
 # Fixed values of the estimator.
 DEFAULT_ACCURACY = 0.7
@@ -59,7 +59,7 @@ class DawidSkeneModel:
 
     def prior_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(c, float(p)) for c, p in zip(self.classes, self.prior)]
-        return spark.createDataFrame(rows, "class_idx int, p double")
+        return local_frame(spark, rows, "class_idx int, p double")
 
     def confusion_frame(self, spark: SparkSession) -> DataFrame:
         rows = [
@@ -68,7 +68,7 @@ class DawidSkeneModel:
             for t in range(len(self.classes))
             for v in range(len(self.classes))
         ]
-        return spark.createDataFrame(rows, "criterion string, true_idx int, pred_idx int, p double")
+        return local_frame(spark, rows, "criterion string, true_idx int, pred_idx int, p double")
 
     def cell_map(self, lfs: LabelingSet | None = None) -> CellMap:
         return CellMap(lfs or self.lfs, self.classes)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import prompt, section
 from labelloom.operators.labeling import MAX_PLANNED_CRITERIA
-from labelloom.sizing import constant, rows_within
+from labelloom.sizing import constant, local_frame, rows_within
 
 IDS_PER_FRAGMENT = 64
 MAX_PROMPT_CHARS = 4_000_000
@@ -164,4 +164,4 @@ def dedup_request(criteria: DataFrame) -> DataFrame:
         "Some of the criteria below say the same. Answer with a JSON object "
         '{"unique_criteria": [names]} that names each distinct criterion once.\n\n## Criteria\n' + listed
     )
-    return criteria.sparkSession.createDataFrame([(0, text)], "request_no int, prompt string")
+    return local_frame(criteria.sparkSession, [(0, text)], "request_no int, prompt string")

@@ -21,7 +21,7 @@ from labelloom.functions.text import once
 from labelloom.functions.vectors import first_argmax, tied_at_top
 from labelloom.operators.labeling import ABSTAIN, LabelingSet
 from labelloom.operators.posterior import CellMap, cell_patterns, posterior
-from labelloom.sizing import constant
+from labelloom.sizing import constant, local_frame
 
 # Cells up to which one task can hold a dense co-occurrence block (8 bytes squared).
 MAX_CELLS = 4_096
@@ -57,7 +57,7 @@ class LabelModel:
             for i, (lf, voted) in enumerate(cells)
             for y in range(self.n_classes)
         ]
-        return spark.createDataFrame(rows, "criterion string, voted_idx int, true_idx int, p double")
+        return local_frame(spark, rows, "criterion string, voted_idx int, true_idx int, p double")
 
 
 def co_occurrence(patterns: DataFrame, n_cells: int) -> DataFrame:

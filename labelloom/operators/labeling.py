@@ -28,7 +28,7 @@ from labelloom.functions.text import (
 )
 from labelloom.operators.classes import ClassList
 from labelloom.operators.criteria import last_wins
-from labelloom.sizing import constant, rows_within
+from labelloom.sizing import compute_once, constant, local_frame, rows_within
 from labelloom.sources.writers import dense_row
 
 try:
@@ -73,8 +73,8 @@ class LabelingSet:
         return [f.class_idx for f in self.functions]
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(
-            list(self.functions), "lf int, criterion string, description string, class_idx int"
+        return local_frame(
+            spark, list(self.functions), "lf int, criterion string, description string, class_idx int"
         )
 
     def only(self, criteria: Iterable[str]) -> LabelingSet:
@@ -86,9 +86,10 @@ class LabelingSet:
 
 def labeling_set(criteria: DataFrame, classes: ClassList) -> LabelingSet:
     """Functions of a criteria table; a class outside the list always abstains."""
-    rows = rows_within(last_wins(criteria).orderBy("ord"), MAX_PLANNED_CRITERIA)
+    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
     if rows is None:
         raise ValueError("too many criteria for one plan: use keyword_votes_long")
+    rows.sort(key=lambda r: r.ord)
     index = {name: i for i, name in enumerate(classes.names)}
     return LabelingSet(
         tuple(
@@ -172,10 +173,15 @@ def votes_of(fired: Column, lfs: LabelingSet) -> Column:
     return F.filter(voted, lambda v: v["c"] >= 0)
 
 
+def _ballot(items: DataFrame, keep: tuple[str, ...], fired: Column, lfs: LabelingSet) -> DataFrame:
+    """Ballots whose criteria are judged exactly once per row, whatever is done with them later."""
+    once_fired = compute_once(items, "item_id", *keep, fired=fired)
+    return compute_once(once_fired, "item_id", *keep, "fired", votes=votes_of(F.col("fired"), lfs))
+
+
 def keyword_ballots(items: DataFrame, lfs: LabelingSet, keep: tuple[str, ...] = ()) -> DataFrame:
     """Ballots (item_id, kept columns, fired, votes) from one scan of the texts."""
-    fired = items.select("item_id", *keep, fired_by_keywords(F.col("text"), lfs).alias("fired"))
-    return with_votes(fired, lfs)
+    return _ballot(items, keep, fired_by_keywords(F.col("text"), lfs), lfs)
 
 
 def with_votes(fired: DataFrame, lfs: LabelingSet) -> DataFrame:
@@ -187,7 +193,7 @@ def expression_ballots(
 ) -> DataFrame:
     """Ballots of user-supplied functions: one boolean column expression per criterion."""
     held = [F.when(conditions[f.criterion], F.lit(f.lf)) for f in lfs.functions]
-    return with_votes(items.select("item_id", *keep, F.array_compact(F.array(*held)).alias("fired")), lfs)
+    return _ballot(items, keep, F.array_compact(F.array(*held)), lfs)
 
 
 def keyword_votes_long(
@@ -237,9 +243,10 @@ def request_chunks(
     criteria: DataFrame, domain_info: str | None = None, per_request: int = CRITERIA_PER_REQUEST
 ) -> list[str]:
     """Instruction texts, each covering the next ``per_request`` criteria in order."""
-    rows = rows_within(last_wins(criteria).orderBy("ord"), MAX_PLANNED_CRITERIA)
+    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
     if rows is None:
         raise ValueError("too many criteria for model requests")
+    rows.sort(key=lambda r: r.ord)
     listed = [(r.criterion, r.description) for r in rows]
     return [
         request_chunk_text(listed[start : start + per_request], domain_info)
@@ -351,8 +358,7 @@ def ballots(
 def verdict_map(fired: Column, lfs: LabelingSet) -> Column:
     """MAP<criterion, BOOLEAN> of an item; all values null when it was not judged."""
     names = constant(lfs.names, "array<string>")
-    held = F.transform(names, lambda n, i: F.array_contains(fired, i))
-    return F.map_from_arrays(names, held)
+    return once(fired, lambda f: F.map_from_arrays(names, F.transform(names, lambda n, i: F.array_contains(f, i))))
 
 
 def verdicts(ballot_table: DataFrame, lfs: LabelingSet, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import once
 from labelloom.functions.vectors import first_argmax, total
 from labelloom.operators.labeling import LabelingSet
-from labelloom.sizing import constant
+from labelloom.sizing import constant, local_frame
 
 TIE_RULES = ("prior", "first", "random")
 
@@ -29,7 +29,7 @@ class MajorityModel:
     weights: dict[str, float] = field(default_factory=dict)
 
     def prior_frame(self, spark) -> DataFrame:
-        return spark.createDataFrame(list(zip(self.classes, self.prior)), "class_idx int, prior double")
+        return local_frame(spark, list(zip(self.classes, self.prior)), "class_idx int, prior double")
 
 
 def class_vote_counts(ballots: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 "Random" here means ordered by an md5 of seed and id, so that a sample can be repeated.
 To take the lowest ``k`` keys of a group, rows are first counted per leading hex digits
-of the key (a map-side combined aggregate). The counts tell which digits lie wholly
-inside the sample; only the rows of the one range the limit falls into are ranked, and
-that range holds a 65536th of the group. A class with a third of all rows is therefore
-never brought together anywhere.
+of the key (a map-side combined aggregate). The counts tell in which range the k-th key
+lies, and only the rows of that range, about a million, are ranked to find it. The
+sample is then a comparison with that key, made where the rows are. A class with a third
+of all rows is never brought together anywhere, and no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -17,70 +17,83 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import seeded_order
-from labelloom.sizing import pin_small
+from labelloom.sizing import local_frame, pin_small
 
-HEX_DIGITS = 4
+ROWS_PER_RANGE = 1_000_000
+MAX_HEX_DIGITS = 5
 # Fixed value: how a missing label is named as a class of its own.
 NULL_CLASS = "NaN"
 
 
-def _range_of(key: str) -> Column:
-    return F.conv(F.substring(key, 1, HEX_DIGITS), 16, 10).cast("int")
+def _range_digits(n_rows: int) -> int:
+    """Leading hex digits that cut ``n_rows`` keys into ranges of bounded size."""
+    digits = math.ceil(math.log(max(n_rows / ROWS_PER_RANGE, 1), 16))
+    return min(max(digits, 1), MAX_HEX_DIGITS)
 
 
-def mark_lowest(df: DataFrame, group: str, key: str, quotas: DataFrame) -> DataFrame:
+def mark_lowest(df: DataFrame, group: str, key: Column, quotas: DataFrame, n_rows: int) -> DataFrame:
     """Add ``chosen``: true for the ``take`` lowest keys of each group.
 
-    ``quotas(group, take)`` has one row per group; ``key`` holds distinct md5 strings.
+    ``quotas(group, n, take)`` has one row per group with its size; ``key`` computes
+    distinct md5 strings.
     """
-    ranged = df.withColumn("_range", _range_of(key))
+    keys = df.select(group, key.alias("_key")).withColumn("_range", F.substring("_key", 1, _range_digits(n_rows)))
+    partial = quotas.filter("take > 0 and take < n").select(group, "take")
     running = W.partitionBy(group).orderBy("_range")
     cut = (
-        ranged.groupBy(group, "_range")
+        keys.join(partial, group)
+        .groupBy(group, "_range", "take")
         .agg(F.count("*").alias("_n"))
         .withColumn("_upto", F.sum("_n").over(running))
-        .join(quotas, group)
-        .groupBy(group)
-        .agg(
-            # the range the limit falls into, and how many rows lie before it
-            F.min(F.when(F.col("_upto") > F.col("take"), F.col("_range"))).alias("_cut"),
-            F.max(F.when(F.col("_upto") <= F.col("take"), F.col("_upto"))).alias("_before"),
-            F.first("take").alias("_take"),
-        )
-        .select(group, "_cut", (F.col("_take") - F.coalesce("_before", F.lit(0))).alias("_left"))
+        .filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take")))
+        .select(group, "_range", (F.col("take") - F.col("_upto") + F.col("_n")).alias("_left"))
     )
-    placed = ranged.join(pin_small(cut), group)
-    on_edge = F.coalesce(F.col("_range") == F.col("_cut"), F.lit(False))
-    clear = placed.filter(~on_edge).withColumn(
-        "chosen", F.col("_cut").isNull() | (F.col("_range") < F.col("_cut"))
+    ranked = keys.join(pin_small(cut), [group, "_range"]).withColumn(
+        "_rank", F.row_number().over(W.partitionBy(group).orderBy("_key"))
     )
-    by_key = W.partitionBy(group, "_range").orderBy(key)
-    edge = placed.filter(on_edge).withColumn("chosen", F.row_number().over(by_key) <= F.col("_left"))
-    return clear.unionByName(edge).drop("_range", "_cut", "_left")
+    # the key the sample ends with; rows sharing one id share the key, so it may have several ranks
+    last = pin_small(
+        ranked.groupBy(group, "_left", F.col("_key").alias("_last"))
+        .agg(F.min("_rank").alias("_from"), F.max("_rank").alias("_to"))
+        .filter(F.col("_left").between(F.col("_from"), F.col("_to")))
+        .select(group, "_last", (F.col("_left") - F.col("_from") + 1).alias("_wanted"), (F.col("_left") < F.col("_to")).alias("_split"))
+    )
+    limits = pin_small(quotas.join(last, group, "left"))
+    inside = (F.col("take") >= F.col("n")) | ((F.col("take") > 0) & (key <= F.col("_last")))
+    marked = df.join(limits, group).withColumn("chosen", F.coalesce(inside, F.lit(False)))
+    helpers = ("n", "take", "_last", "_wanted", "_split")
+    if last.filter("_split").isEmpty():
+        return marked.drop(*helpers)
+    # only the few rows with the last key itself are told apart by their content
+    torn = F.coalesce(F.col("_split") & (key == F.col("_last")), F.lit(False))
+    order = W.partitionBy(group).orderBy(F.xxhash64(*df.columns))
+    told = marked.filter(torn).withColumn("chosen", F.row_number().over(order) <= F.col("_wanted"))
+    return marked.filter(~torn).unionByName(told).drop(*helpers)
 
 
-def take_lowest(df: DataFrame, n: int, key: str) -> DataFrame:
-    """The ``n`` rows with the lowest keys of the whole table."""
-    whole = df.withColumn("_all", F.lit(0))
-    quota = df.sparkSession.createDataFrame([(0, n)], "_all int, take bigint")
-    return mark_lowest(whole, "_all", key, quota).filter("chosen").drop("_all", "chosen")
+def take_lowest(df: DataFrame, n: int, key: Column, of: int) -> DataFrame:
+    """The ``n`` rows with the lowest keys among all ``of`` rows."""
+    quota = local_frame(df.sparkSession, [("all", of, n)], "_all string, n bigint, take bigint")
+    whole = df.withColumn("_all", F.lit("all"))
+    return mark_lowest(whole, "_all", key, quota, of).filter("chosen").drop("_all", "chosen")
 
 
-def _full_cycles(counts: DataFrame, size: int) -> tuple[int, int]:
-    """Cycles in which every class still gives one row, and rows of the cycle after.
+def _full_cycles(counts: DataFrame, size: int) -> tuple[int, int, int]:
+    """Cycles in which every class still gives one row, rows of the cycle after, and all rows.
 
     Works on the distinct class sizes, of which n rows can have at most sqrt(2n).
     """
-    sizes = counts.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()
+    sizes = sorted(counts.groupBy("n").agg(F.count("*").alias("k")).collect(), key=lambda r: r.n)
+    n_rows = sum(r.n * r.k for r in sizes)
     spent, alive = 0, sum(r.k for r in sizes)
     for r in sizes:
         # rows used when all classes of at least this size have given r.n rows
         if spent + r.n * alive > size:
             cycles = (size - spent) // alive
-            return cycles, size - spent - cycles * alive
+            return cycles, size - spent - cycles * alive, n_rows
         spent += r.n * r.k
         alive -= r.k
-    return (sizes[-1].n if sizes else 0), 0
+    return (sizes[-1].n if sizes else 0), 0, n_rows
 
 
 def balanced_split(df: DataFrame, label: str, size: int, seed: int = 0, id_col: str = "item_id") -> DataFrame:
@@ -92,7 +105,7 @@ def balanced_split(df: DataFrame, label: str, size: int, seed: int = 0, id_col:
     """
     classed = df.withColumn("_class", F.coalesce(F.col(label).cast("string"), F.lit(NULL_CLASS)))
     counts = pin_small(classed.groupBy("_class").agg(F.count("*").alias("n")))
-    cycles, rest = _full_cycles(counts, size)
+    cycles, rest, n_rows = _full_cycles(counts, size)
     last_cycle = (
         counts.filter(F.col("n") > cycles)
         .orderBy(seeded_order(seed, F.lit(cycles + 1), F.col("_class")), "_class")
@@ -100,10 +113,10 @@ def balanced_split(df: DataFrame, label: str, size: int, seed: int = 0, id_col:
         .select("_class", F.lit(1).alias("extra"))
     )
     quotas = counts.join(last_cycle, "_class", "left").select(
-        "_class", (F.least("n", F.lit(cycles)) + F.coalesce("extra", F.lit(0))).alias("take")
+        "_class", "n", (F.least("n", F.lit(cycles)) + F.coalesce("extra", F.lit(0))).alias("take")
     )
-    keyed = classed.withColumn("_key", seeded_order(seed, F.col(id_col)))
-    return mark_lowest(keyed, "_class", "_key", pin_small(quotas)).drop("_class", "_key")
+    key = seeded_order(seed, F.col(id_col))
+    return mark_lowest(classed, "_class", key, pin_small(quotas), n_rows).drop("_class")
 
 
 def prepare_splits(
@@ -130,6 +143,7 @@ def prepare_splits_from_valid(
 def holdout(df: DataFrame, share: float = 0.1, seed: int = 42, id_col: str = "item_id") -> DataFrame:
     """Add ``held_out``: true for exactly ceil(share * n) rows."""
     n = df.count()
-    quota = df.sparkSession.createDataFrame([(0, math.ceil(share * n))], "_all int, take bigint")
-    keyed = df.withColumn("_all", F.lit(0)).withColumn("_key", seeded_order(seed, F.col(id_col)))
-    return mark_lowest(keyed, "_all", "_key", quota).drop("_all", "_key").withColumnRenamed("chosen", "held_out")
+    quota = local_frame(df.sparkSession, [("all", n, math.ceil(share * n))], "_all string, n bigint, take bigint")
+    whole = df.withColumn("_all", F.lit("all"))
+    marked = mark_lowest(whole, "_all", seeded_order(seed, F.col(id_col)), quota, n)
+    return marked.drop("_all").withColumnRenamed("chosen", "held_out")

@@ -30,7 +30,7 @@ from labelloom.plans.documents import (
 )
 from labelloom.plans.experiments import next_experiment_number
 from labelloom.plans.iterate import predictions_frame
-from labelloom.session import scratch_path
+from labelloom.session import scratch_path, settled
 from labelloom.sizing import constant, spread
 from labelloom.sources import readers, writers
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
@@ -257,8 +257,9 @@ def lf_filter(spark, sf):
 
 
 def _voted(spark, sf, weights=None):
-    ballots, classes, lfs = language_task(spark, sf)
-    return with_gold(ballots, classes), lfs, majority.fit_majority(ballots, lfs, weights)
+    task, classes, lfs = language_task(spark, sf)
+    ballots = settled(with_gold(task.drop("fired"), classes))
+    return ballots, lfs, majority.fit_majority(ballots, lfs, weights)
 
 
 def mv_prior(spark, sf):
@@ -364,8 +365,9 @@ def weak_label_scores(spark, sf):
 
 
 def _after(spark, sf, n: int):
-    ballots, classes, lfs = language_task(spark, sf)
-    return with_gold(ballots, classes), dawid_skene.fit(ballots, lfs, options=dawid_skene.Options(max_iter=n))
+    task, classes, lfs = language_task(spark, sf)
+    ballots = settled(with_gold(task.drop("fired"), classes))
+    return ballots, dawid_skene.fit(ballots, lfs, options=dawid_skene.Options(max_iter=n))
 
 
 def ds_init_prior(spark, sf):
@@ -432,9 +434,10 @@ def lm_predict_fixed_params(spark, sf):
 
 
 def lm_fit(spark, sf):
-    ballots, classes, lfs = language_task(spark, sf)
+    task, classes, lfs = language_task(spark, sf)
+    ballots = settled(with_gold(task.drop("fired"), classes))
     model = label_model.fit(ballots, lfs, len(classes))
-    return metrics.macro_metrics(label_model.predict(with_gold(ballots, classes), model))
+    return metrics.macro_metrics(label_model.predict(ballots, model))
 
 
 # --- end models ----------------------------------------------------------------------
@@ -445,9 +448,10 @@ def endmodel_weak(spark, sf):
     held = valid.unionByName(test)
     classes = class_list(held)
     lfs = labeling.labeling_set(language_criteria(spark), classes)
-    ballots = labeling.keyword_ballots(spread(train), lfs, keep=("text",))
+    ballots = settled(labeling.keyword_ballots(spread(train), lfs).drop("fired"))
     model = majority.fit_majority(ballots, lfs)
-    taught = majority.predict_hard(ballots, lfs, model).withColumnRenamed("pred", "weak_label")
+    weak = majority.predict_hard(ballots, lfs, model).select("item_id", F.col("pred").alias("weak_label"))
+    taught = train.join(weak, "item_id")
     return metrics.macro_metrics(endmodel.weak_label_model(taught, with_gold(held, classes)))
 
 

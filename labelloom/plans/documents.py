@@ -9,7 +9,8 @@ from labelloom.operators.classes import ClassList, class_list, with_class_index
 from labelloom.operators.labeling import LabelingSet, keyword_ballots, labeling_set
 from labelloom.operators.majority import fit_majority, predict_hard
 from labelloom.operators.metrics import macro_metrics
-from labelloom.sizing import spread
+from labelloom.session import settled
+from labelloom.sizing import local_frame, spread
 
 # Keyword criteria for the language of a document (name, keywords, class).
 LANGUAGE_CRITERIA = (
@@ -45,7 +46,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_criteria(spark: SparkSession) -> DataFrame:
     rows = [(i, *c) for i, c in enumerate(LANGUAGE_CRITERIA)]
-    return spark.createDataFrame(rows, "ord bigint, criterion string, description string, class string")
+    return local_frame(spark, rows, "ord bigint, criterion string, description string, class string")
 
 
 def language_task(
@@ -63,15 +64,16 @@ def with_gold(ballots: DataFrame, classes: ClassList) -> DataFrame:
 
 
 def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword criteria to votes to majority labels to macro scores, in one plan."""
-    ballots, classes, lfs = language_task(spark, sf_dir)
+    """Keyword criteria to votes to majority labels to macro scores; the texts are read once."""
+    task, classes, lfs = language_task(spark, sf_dir)
+    ballots = settled(with_gold(task.drop("fired"), classes))
     model = fit_majority(ballots, lfs)
-    return macro_metrics(predict_hard(with_gold(ballots, classes), lfs, model, "prior"))
+    return macro_metrics(predict_hard(ballots, lfs, model, "prior"))
 
 
 def word(text: Column, n: int) -> Column:
-    """The n-th blank-separated word."""
-    return F.split_part(text, F.lit(" "), F.lit(n))
+    """The n-th blank-separated word, without splitting the rest of the text."""
+    return F.split_part(F.substring_index(text, " ", n), F.lit(" "), F.lit(n))
 
 
 def proposed_criteria(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.session import path_exists
+from labelloom.sizing import local_frame
 
 
 def next_experiment_number(names: DataFrame, name: str = "name") -> DataFrame:
@@ -36,12 +37,12 @@ class Experiment:
     def begin(spark: SparkSession, root: str, dataset: str, config=None) -> Experiment:
         """A new experiment with the next free number; writes its configuration."""
         base = f"{root.rstrip('/')}/{dataset}"
-        names = spark.createDataFrame(_folder_names(spark, base), "name string")
+        names = local_frame(spark, _folder_names(spark, base), "name string")
         number = next_experiment_number(names).first().next_experiment
         experiment = Experiment(spark, f"{base}/exp_{number}")
         settings = asdict(config) if is_dataclass(config) else dict(config or {})
         text = {k: None if v is None else str(v) for k, v in {"dataset": dataset, **settings}.items()}
-        row = spark.createDataFrame([tuple(text.values())], ", ".join(f"`{k}` string" for k in text))
+        row = local_frame(spark, [tuple(text.values())], ", ".join(f"`{k}` string" for k in text))
         row.write.json(f"{experiment.path}/config")
         return experiment
 

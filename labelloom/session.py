@@ -31,6 +31,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return own
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the checkpoint folder, for use in several passes.
+
+    Reading texts again for each pass would cost far more than writing their votes.
+    The files outlive executors; Spark removes them with the frame when
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
+    return df.checkpoint()
+
+
 def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_root(spark)}/labelloom/{stem}-{uuid.uuid4().hex}"
 

@@ -10,8 +10,11 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 SMALL_ROWS = 50_000
 
@@ -27,7 +30,29 @@ def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     rows = rows_within(df, max_rows)
     if rows is None:
         return df
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    return local_frame(df.sparkSession, rows, df.schema)
+
+
+def local_frame(spark: SparkSession, rows: list, schema: StructType | str) -> DataFrame:
+    """Rows of the driver as a local relation, whose exact size the optimizer knows.
+
+    ``createDataFrame`` on Python rows makes an RDD scan of unknown size instead, and
+    the *other* side of a join with it would be the one to be broadcast or shuffled.
+    """
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    records = [dict(zip(schema.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
+
+
+def compute_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Select ``keep`` and computed columns such that each is evaluated once per row.
+
+    Later expressions that use a column several times, or inside a lambda, would
+    otherwise have its whole definition copied into them. A generator keeps them apart.
+    """
+    named = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(named)))
 
 
 def constant(value: Any, ddl: str) -> Column:

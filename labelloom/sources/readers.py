@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import int_or_text
-from labelloom.sizing import constant
+from labelloom.sizing import compute_once, constant
 
 KEYED_ENTRY = "map<string,struct<data:struct<text:string>,label:string,weak_labels:array<int>>>"
 CRITERION = "criterion string, description string, class string"
@@ -57,7 +57,7 @@ def parse_tolerant_jsonl(
     JSON number is cut to its whole part, but a *string* must spell a whole number.
     """
     # VARIANT keeps the JSON type of the flag, which a plain string map would lose.
-    parsed = lines.select(F.try_parse_json(F.trim(F.col(value))).alias("item"))
+    parsed = compute_once(lines, item=F.try_parse_json(F.trim(F.col(value))))
     objects = parsed.filter(F.schema_of_variant("item").startswith("OBJECT"))
     kind = F.schema_of_variant(F.variant_get("item", _field(flag_field), "variant"))
     as_text = F.try_variant_get("item", _field(flag_field), "string")
