@@ -11,15 +11,17 @@ classes of an item before the softmax and so changes nothing; it is left out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.vectors import first_argmax
 from labelloom.operators.labeling import LabelingSet
-from labelloom.operators.posterior import CellMap, cell_patterns, posterior
+from labelloom.operators.posterior import PARTIAL, CellMap, cell_patterns, dense_blocks, nonzero_rows, posterior
 from labelloom.session import scratch_table
 from labelloom.sizing import constant, local_frame
 
@@ -34,6 +36,8 @@ LOG_FLOOR = 1e-15
 LIKELIHOOD_FLOOR = 1e-10
 
 _ALL = -1
+# Partial sums the driver adds up itself, tasks x cells x classes.
+MAX_DRIVER_SUMS = 200_000
 
 
 @dataclass(frozen=True)
@@ -140,23 +144,54 @@ def start(lfs: LabelingSet, classes: tuple[int, ...], votes_per_cell: np.ndarray
 
 
 def soft_counts(patterns: DataFrame, model: DawidSkeneModel) -> DataFrame:
-    """One EM pass over the patterns: probability mass per cell and class.
+    """One EM pass over the patterns as (part, i, j, value) rows to be summed.
 
-    The extra cell -1 carries the item totals: mass per class, log-likelihood, and the
-    set of classes that are somebody's best one.
+    Parts: ``mass`` (cell, class) and ``class_mass`` (0, class) hold probability mass,
+    ``best`` (0, class) the items a class is best for, ``log_likelihood`` one number.
+    Each task sums its own patterns. While all tasks together yield few numbers these
+    sums are the result; otherwise they are added up by a shuffle.
     """
-    k = len(model.classes)
-    scored = patterns.withColumn("p", posterior(F.col("cells"), model.log_prior(), model.log_table()))
-    flat = scored.select(
-        "n", "p", first_argmax(F.col("p")).alias("best"), F.array_max("p").alias("top"),
-        F.explode(F.concat("cells", F.array(F.lit(_ALL)))).alias("cell"),
-    )
-    whole = F.col("cell") == _ALL
-    return flat.groupBy("cell").agg(
-        F.array(*[F.sum(F.col("n") * F.col("p")[i]) for i in range(k)]).alias("mass"),
-        F.sum(F.when(whole, F.col("n") * F.log(F.col("top") + LIKELIHOOD_FLOOR))).alias("log_likelihood"),
-        F.collect_set(F.when(whole, F.col("best"))).alias("best_classes"),
-    )
+    log_prior, table = model.log_prior(), model.log_table()
+    n_cells, k = table.shape
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mass, class_mass, best = np.zeros((n_cells, k)), np.zeros((1, k)), np.zeros((1, k))
+        log_likelihood = np.zeros((1, 1))
+        for fired, n in dense_blocks(batches, n_cells):
+            logits = fired @ table + log_prior
+            p = np.exp(logits - logits.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            weighted = p * n[:, None]
+            mass += fired.T @ weighted
+            class_mass += weighted.sum(axis=0)
+            best += np.bincount(p.argmax(axis=1), weights=n, minlength=k)
+            log_likelihood += (n * np.log(p.max(axis=1) + LIKELIHOOD_FLOOR)).sum()
+        yield nonzero_rows(mass=mass, class_mass=class_mass, best=best, log_likelihood=log_likelihood)
+
+    sums = patterns.select("cells", "n").mapInArrow(partial, PARTIAL)
+    if patterns.rdd.getNumPartitions() * table.size <= MAX_DRIVER_SUMS:
+        return sums
+    return sums.groupBy("part", "i", "j").agg(F.sum("value").alias("value"))
+
+
+@dataclass(frozen=True)
+class SoftCounts:
+    mass: np.ndarray
+    class_mass: np.ndarray
+    best: np.ndarray
+    log_likelihood: float
+
+    @staticmethod
+    def of(sums: DataFrame, n_cells: int, k: int) -> SoftCounts:
+        """Collects at most the larger of MAX_DRIVER_SUMS and (cells + 3) x classes numbers."""
+        out = SoftCounts(np.zeros((n_cells, k)), np.zeros((1, k)), np.zeros((1, k)), 0.0)
+        total = 0.0
+        for r in sums.collect():
+            if r.part == "log_likelihood":
+                total += r.value
+            else:
+                getattr(out, r.part)[r.i, r.j] += r.value
+        return replace(out, log_likelihood=total)
 
 
 def update(model: DawidSkeneModel, mass: np.ndarray, class_mass: np.ndarray, n_items: int, votes_per_cell: np.ndarray) -> DawidSkeneModel:
@@ -202,19 +237,14 @@ def fit(
         n_items, votes_per_cell = _cell_counts(patterns, n_cells)
         model = start(lfs, universe, votes_per_cell, options)
         previous = -np.inf
-        for i in range(options.max_iter):
-            sums = {r.cell: r for r in soft_counts(patterns, model).collect()}
-            if _ALL not in sums:
-                break
-            nothing = [0.0] * len(universe)
-            mass = np.array([sums[c].mass if c in sums else nothing for c in range(n_cells)])
-            whole = sums[_ALL]
-            model = update(model, mass, np.array(whole.mass), n_items, votes_per_cell)
-            model = replace(model, n_iter=i + 1, log_likelihood=whole.log_likelihood)
-            varied = len(whole.best_classes) >= 0.1 * len(universe)
-            if i > 5 and varied and abs(whole.log_likelihood - previous) < options.tol:
+        for i in range(options.max_iter if n_items else 0):
+            counts = SoftCounts.of(soft_counts(patterns, model), n_cells, len(universe))
+            model = update(model, counts.mass, counts.class_mass[0], n_items, votes_per_cell)
+            model = replace(model, n_iter=i + 1, log_likelihood=counts.log_likelihood)
+            varied = np.count_nonzero(counts.best) >= 0.1 * len(universe)
+            if i > 5 and varied and abs(counts.log_likelihood - previous) < options.tol:
                 break
-            previous = whole.log_likelihood
+            previous = counts.log_likelihood
     return model
 
 

@@ -20,12 +20,11 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import once
 from labelloom.functions.vectors import first_argmax, tied_at_top
 from labelloom.operators.labeling import ABSTAIN, LabelingSet
-from labelloom.operators.posterior import CellMap, cell_patterns, posterior
+from labelloom.operators.posterior import PARTIAL, CellMap, cell_patterns, dense_blocks, nonzero_rows, posterior
 from labelloom.sizing import constant, local_frame
 
 # Cells up to which one task can hold a dense co-occurrence block (8 bytes squared).
 MAX_CELLS = 4_096
-PATTERNS_PER_BLOCK = 2_048
 
 # Fixed values of the estimator.
 START_PRECISION = 0.7
@@ -71,22 +70,12 @@ def co_occurrence(patterns: DataFrame, n_cells: int) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = np.zeros((n_cells, n_cells))
-        for batch in batches:
-            for at in range(0, batch.num_rows, PATTERNS_PER_BLOCK):
-                part = batch.slice(at, PATTERNS_PER_BLOCK)
-                cells, n = part.column("cells"), part.column("n").to_numpy()
-                fired = np.zeros((part.num_rows, n_cells))
-                rows = np.repeat(np.arange(part.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
-                fired[rows, cells.flatten().to_numpy()] = 1.0
-                block += fired.T @ (fired * n[:, None])
-        a, b = np.nonzero(block)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a.astype("int32")), pa.array(b.astype("int32")), pa.array(block[a, b].astype("int64"))],
-            names=["a", "b", "n"],
-        )
-
-    blocks = patterns.mapInArrow(partial, "a int, b int, n bigint")
-    return blocks.groupBy("a", "b").agg(F.sum("n").alias("n"))
+        for fired, n in dense_blocks(batches, n_cells):
+            block += fired.T @ (fired * n[:, None])
+        yield nonzero_rows(together=block)
+
+    blocks = patterns.select("cells", "n").mapInArrow(partial, PARTIAL)
+    return blocks.groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.sum("value").cast("bigint").alias("n"))
 
 
 def moments(ballots: DataFrame, lfs: LabelingSet) -> DataFrame:

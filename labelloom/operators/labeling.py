@@ -16,7 +16,7 @@ from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import (
@@ -84,12 +84,17 @@ class LabelingSet:
         return LabelingSet(tuple(f._replace(lf=i) for i, f in enumerate(left)))
 
 
+def planned_criteria(criteria: DataFrame) -> list[Row] | None:
+    """The distinct criteria in order, or None when there are too many for a plan."""
+    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
+    return None if rows is None else sorted(rows, key=lambda r: r.ord)
+
+
 def labeling_set(criteria: DataFrame, classes: ClassList) -> LabelingSet:
     """Functions of a criteria table; a class outside the list always abstains."""
-    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
+    rows = planned_criteria(criteria)
     if rows is None:
         raise ValueError("too many criteria for one plan: use keyword_votes_long")
-    rows.sort(key=lambda r: r.ord)
     index = {name: i for i, name in enumerate(classes.names)}
     return LabelingSet(
         tuple(
@@ -243,10 +248,9 @@ def request_chunks(
     criteria: DataFrame, domain_info: str | None = None, per_request: int = CRITERIA_PER_REQUEST
 ) -> list[str]:
     """Instruction texts, each covering the next ``per_request`` criteria in order."""
-    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
+    rows = planned_criteria(criteria)
     if rows is None:
         raise ValueError("too many criteria for model requests")
-    rows.sort(key=lambda r: r.ord)
     listed = [(r.criterion, r.description) for r in rows]
     return [
         request_chunk_text(listed[start : start + per_request], domain_info)

@@ -7,9 +7,11 @@ That is a row expression over a constant table of len(cells) x K doubles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from labelloom.sizing import constant
 # Doubles a parameter table may hold; a model beyond it does not fit a plan.
 MAX_TABLE = 4_000_000
 
+# Numbers of one dense block of patterns inside a task (64 MB).
+BLOCK_NUMBERS = 8_000_000
+
 ANY_CLASS = None
 
 
@@ -83,3 +88,33 @@ def cell_patterns(ballots: DataFrame, cell_map: CellMap) -> DataFrame:
     (no vote at all) that may hold a large part of the items.
     """
     return ballots.groupBy(cell_map.of(F.col("votes")).alias("cells")).agg(F.count("*").alias("n"))
+
+
+def dense_blocks(batches: Iterator[pa.RecordBatch], n_cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Patterns of a task as 0/1 matrices (patterns x cells) with their item counts, a bounded block at a time."""
+    step = max(BLOCK_NUMBERS // max(n_cells, 1), 1)
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            cells = part.column("cells")
+            fired = np.zeros((part.num_rows, n_cells))
+            rows = np.repeat(np.arange(part.num_rows), cells.value_lengths().to_numpy(zero_copy_only=False))
+            fired[rows, cells.flatten().to_numpy()] = 1.0
+            yield fired, part.column("n").to_numpy()
+
+
+def nonzero_rows(**matrices: np.ndarray) -> pa.RecordBatch:
+    """The non-zero entries of named matrices as (part, i, j, value) rows."""
+    found = [(name, *np.nonzero(m), m) for name, m in matrices.items()]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([name for name, i, _, _ in found for _ in range(len(i))], pa.string()),
+            pa.array(np.concatenate([i for _, i, _, _ in found]).astype("int32")),
+            pa.array(np.concatenate([j for _, _, j, _ in found]).astype("int32")),
+            pa.array(np.concatenate([m[i, j] for _, i, j, m in found]).astype("float64")),
+        ],
+        names=["part", "i", "j", "value"],
+    )
+
+
+PARTIAL = "part string, i int, j int, value double"

@@ -448,15 +448,15 @@ def endmodel_weak(spark, sf):
     held = valid.unionByName(test)
     classes = class_list(held)
     lfs = labeling.labeling_set(language_criteria(spark), classes)
-    ballots = settled(labeling.keyword_ballots(spread(train), lfs).drop("fired"))
+    # training reads the texts anyway, so judging them again there beats a join on the texts
+    ballots = labeling.keyword_ballots(spread(train), lfs, keep=("text",))
     model = majority.fit_majority(ballots, lfs)
-    weak = majority.predict_hard(ballots, lfs, model).select("item_id", F.col("pred").alias("weak_label"))
-    taught = train.join(weak, "item_id")
-    return metrics.macro_metrics(endmodel.weak_label_model(taught, with_gold(held, classes)))
+    taught = majority.predict_hard(ballots, lfs, model).withColumnRenamed("pred", "weak_label")
+    return metrics.macro_metrics(endmodel.weak_label_model(taught, with_gold(spread(held), classes)))
 
 
 def baseline_supervised(spark, sf):
-    items = documents(spark, sf)
+    items = spread(documents(spark, sf))
     runs = endmodel.supervised_baseline(items, class_list(items), DEV_SIZE)
     return metrics.run_summary(runs).select("metric", "mean", "std")
 
