@@ -20,6 +20,31 @@ IDS_PER_FRAGMENT = 64
 MAX_PROMPT_CHARS = 4_000_000
 MAX_REQUESTS = 10_000
 
+_NAME = {"type": "string"}
+# JSON schemas a model can be held to when it answers.
+CRITERIA_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "criteria": {
+            "type": "array",
+            "items": {
+                "type": "object",
+                "properties": {"criterion": _NAME, "description": _NAME, "class": _NAME},
+                "required": ["criterion", "description", "class"],
+                "additionalProperties": False,
+            },
+        }
+    },
+    "required": ["criteria"],
+    "additionalProperties": False,
+}
+DEDUP_SCHEMA = {
+    "type": "object",
+    "properties": {"unique_criteria": {"type": "array", "items": _NAME}},
+    "required": ["unique_criteria"],
+    "additionalProperties": False,
+}
+
 
 def context_fragments(judged: DataFrame, ids_per_fragment: int = IDS_PER_FRAGMENT) -> DataFrame:
     """Joined texts per class, outcome and id range.
@@ -28,7 +53,7 @@ def context_fragments(judged: DataFrame, ids_per_fragment: int = IDS_PER_FRAGMEN
     still have to cover and 'correct' for texts they already do.
     """
     ranged = judged.filter("text is not null and label is not null").withColumn(
-        "fragment", F.floor(F.col("item_id") / F.lit(ids_per_fragment))
+        "fragment", F.expr(f"item_id div {int(ids_per_fragment)}")
     )
     return (
         ranged.groupBy("label", "outcome", "fragment")

@@ -58,6 +58,16 @@ class LabelModel:
         ]
         return local_frame(spark, rows, "criterion string, voted_idx int, true_idx int, p double")
 
+    @staticmethod
+    def from_frame(params: DataFrame, lfs: LabelingSet, n_classes: int, balance: list[float] | None = None) -> LabelModel:
+        """The model of stored parameters (``mu_frame``)."""
+        cells = CellMap(lfs, tuple(range(n_classes))).cells()
+        row = {(lfs.names[lf], voted): i for i, (lf, voted) in enumerate(cells)}
+        mu = np.zeros((len(cells), n_classes))
+        for r in params.collect():
+            mu[row[r.criterion, r.voted_idx], r.true_idx] = r.p
+        return LabelModel(lfs, n_classes, mu, np.array(balance) if balance else np.full(n_classes, 1 / n_classes))
+
 
 def co_occurrence(patterns: DataFrame, n_cells: int) -> DataFrame:
     """Items in which two cells fire together: (a, b, n), both orders and the diagonal.

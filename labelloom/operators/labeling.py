@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -312,6 +312,17 @@ def fired_by_answers(
     return united.select("item_id", *keep, F.when(judged, numbers).alias("fired"))
 
 
+def answer_schema(lfs: LabelingSet) -> dict:
+    """JSON schema of a judging answer: reasoning, and names among the known criteria."""
+    listed = {"type": "array", "items": {"type": "string", "enum": lfs.names}}
+    return {
+        "type": "object",
+        "properties": {"thoughts": {"type": "string"}, "found_criteria": listed},
+        "required": ["thoughts", "found_criteria"],
+        "additionalProperties": False,
+    }
+
+
 def answer_problems(answers: DataFrame, lfs: LabelingSet) -> DataFrame:
     """Answers that break the response contract: unreadable, or naming unknown criteria."""
     known = constant(lfs.names, "array<string>")
@@ -410,7 +421,3 @@ def patterns(ballot_table: DataFrame, *also: str) -> DataFrame:
     patterns: the rows are combined before the shuffle and once for all iterations.
     """
     return ballot_table.groupBy("votes", *also).agg(F.count("*").alias("n"))
-
-
-def any_vote_outside(votes: Column, classes: list[int]) -> Column:
-    return F.exists(votes, lambda v: ~reduce(lambda a, b: a | b, [v["c"] == c for c in classes], F.lit(False)))

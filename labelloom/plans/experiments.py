@@ -63,3 +63,9 @@ class Experiment:
         if not path_exists(self.spark, f"{path}/_SUCCESS"):
             make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
+
+    def export(self, iteration: int, name: str, write: Callable[[str], None]) -> None:
+        """Write a file output once; ``write`` gets the folder."""
+        path = self.stage_path(iteration, f"export/{name}")
+        if not path_exists(self.spark, f"{path}/_SUCCESS"):
+            write(path)

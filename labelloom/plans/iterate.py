@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.operators import dawid_skene, endmodel, label_model, majority
 from labelloom.operators.analysis import good_lfs, lf_summary, split_errors
-from labelloom.operators.classes import ClassList, class_list, require_known_labels, with_class_index
+from labelloom.operators.classes import class_list, require_known_labels, with_class_index
 from labelloom.operators.criteria import accumulate, cap_new, ingest_generated
 from labelloom.operators.generation import generation_requests
-from labelloom.operators.labeling import LabelingSet, ballots, labeling_set, request_chunks, with_votes
+from labelloom.operators.labeling import VOTES, LabelingSet, ballots, labeling_set, request_chunks, with_votes
 from labelloom.operators.metrics import macro_metrics
 from labelloom.plans.experiments import Experiment
+from labelloom.sizing import constant
 from labelloom.sources.writers import write_csv, write_jsonl, write_vote_matrix
 
 Model = Callable[[DataFrame], DataFrame]
@@ -118,13 +120,14 @@ def run_iteration(
     full = labeling_set(criteria, classes)
 
     def judge(split: str, lfs: LabelingSet) -> DataFrame:
-        used = criteria.filter(F.col("criterion").isin(lfs.names)) if config.classify_mode != "keywords" else None
-        chunks = request_chunks(used, config.domain_info) if used is not None else None
+        chunks = None
+        if config.classify_mode != "keywords":
+            chunks = request_chunks(criteria.filter(F.col("criterion").isin(lfs.names)), config.domain_info)
         found = stage(
             f"verdicts_{split}",
             lambda: ballots(parts[split], lfs, config.classify_mode, chunks, model).select("item_id", "fired"),
         )
-        return with_votes(found, lfs).withColumn("votes", F.coalesce("votes", F.array().cast("array<struct<lf:int,c:int>>")))
+        return _votes(found, lfs)
 
     def gold(found: DataFrame, split: str) -> DataFrame:
         labels = with_class_index(parts[split], classes).select("item_id", "label_idx")
@@ -132,66 +135,60 @@ def run_iteration(
 
     dev_full = judge("dev", full)
     summary = stage("lf_scores", lambda: lf_summary(gold(dev_full, "dev"), full))
-    write_csv(
-        summary.withColumn("polarity", F.to_json("polarity")), experiment.stage_path(iteration, "export/lf_scores")
-    )
     # train and test only see the functions that proved themselves on dev
     kept = full.only([r.criterion for r in good_lfs(summary, config.accuracy_threshold).collect()])
     if not len(kept):
         raise ValueError("no labeling function passes the accuracy threshold")
-    write_jsonl(
-        kept.frame(experiment.spark).select("criterion", "description"),
-        experiment.stage_path(iteration, "export/filtered_lfs"),
-    )
 
     votes = {s: judge(s, kept) for s in ("train", "test")}
-    votes["dev"] = _renumber(dev_full, full, kept)
-    for split, table in votes.items():
-        write_vote_matrix(table, kept.names, experiment.stage_path(iteration, f"export/votes_{split}"))
+    votes["dev"] = _renumbered(dev_full, full, kept)
     labelled = {s: gold(votes[s], s) for s in ("test", "dev")}
 
-    mv = majority.fit_majority(votes["train"], kept)
-    lm = label_model.fit(votes["train"], kept, len(classes), options=label_model.LabelModelOptions(seed=config.seed))
-    lm_params = stage("label_model", lambda: lm.mu_frame(experiment.spark))
-    predictors = {
-        "majority_vote": lambda t: majority.predict_hard(t, kept, mv, "prior"),
-        "label_model": lambda t: label_model.predict(t, lm),
-    }
-    del lm_params
-    if config.dawid_skene:
-        ds = dawid_skene.fit(votes["train"], kept)
-        predictors["dawid_skene"] = lambda t: dawid_skene.predict(t, ds)
+    def fitted_label_model() -> DataFrame:
+        options = label_model.LabelModelOptions(seed=config.seed)
+        return label_model.fit(votes["train"], kept, len(classes), options=options).mu_frame(experiment.spark)
+
+    lm = label_model.LabelModel.from_frame(stage("label_model", fitted_label_model), kept, len(classes))
 
     def predicted() -> DataFrame:
+        mv = majority.fit_majority(votes["train"], kept)
+        predictors = {
+            "majority_vote": lambda t: majority.predict_hard(t, kept, mv, "prior"),
+            "label_model": lambda t: label_model.predict(t, lm),
+        }
+        if config.dawid_skene:
+            ds = dawid_skene.fit(votes["train"], kept)
+            predictors["dawid_skene"] = lambda t: dawid_skene.predict(t, ds)
         tables = [
             predictions_frame(predict(labelled[split]), parts[split], name, split)
             for name, predict in predictors.items()
             for split in ("test", "dev")
         ]
         if config.end_model:
-            weak = majority.predict_hard(votes["train"], kept, mv, "prior").select(
-                "item_id", F.col("pred").alias("weak_label")
-            )
+            weak = predictors["majority_vote"](votes["train"]).select("item_id", F.col("pred").alias("weak_label"))
             taught = parts["train"].select("item_id", "text").join(weak, "item_id")
             test_items = with_class_index(parts["test"], classes).select("item_id", "text", "label_idx")
             tables.append(
                 predictions_frame(endmodel.weak_label_model(taught, test_items), parts["test"], "end_model", "test")
             )
-        out = tables[0]
-        for table in tables[1:]:
-            out = out.unionByName(table)
-        return out
+        return reduce(DataFrame.unionByName, tables)
 
     predictions = stage("predictions", predicted)
     metrics = stage("metrics", lambda: macro_metrics(predictions, "label", "pred", by=("model", "split")))
-    write_csv(
-        predictions.select(F.col("item_id").alias("idx"), "text", "label", "pred", "model", "split"),
-        experiment.stage_path(iteration, "export/predictions"),
-    )
-    write_jsonl(metrics, experiment.stage_path(iteration, "export/metrics"))
-
     own = predictions.filter("model = 'label_model' and split = 'dev'")
     outcome = stage("judged", lambda: _judged(own, dev))
+
+    scores = summary.withColumn("polarity", F.to_json("polarity"))
+    named = kept.frame(experiment.spark).select("criterion", "description")
+    rows = predictions.select(F.col("item_id").alias("idx"), "text", "label", "pred", "model", "split")
+    experiment.export(iteration, "criteria", lambda path: write_jsonl(criteria, path))
+    experiment.export(iteration, "lf_scores", lambda path: write_csv(scores, path))
+    experiment.export(iteration, "filtered_lfs", lambda path: write_jsonl(named, path))
+    experiment.export(iteration, "predictions", lambda path: write_csv(rows, path))
+    experiment.export(iteration, "metrics", lambda path: write_jsonl(metrics, path))
+    experiment.export(iteration, "judged", lambda path: write_jsonl(outcome, path))
+    for split, table in votes.items():
+        experiment.export(iteration, f"votes_{split}", lambda path, t=table: write_vote_matrix(t, kept.names, path))
     return IterationResult(criteria, summary, predictions, metrics, outcome)
 
 
@@ -200,15 +197,18 @@ def _judged(predictions: DataFrame, dev: DataFrame) -> DataFrame:
     return dev.select("item_id", "text", F.col("label").cast("string").alias("label")).join(marked, "item_id")
 
 
-def _renumber(found: DataFrame, full: LabelingSet, kept: LabelingSet) -> DataFrame:
-    """Ballots over all functions, reduced to the kept ones."""
-    from labelloom.sizing import constant
+def _votes(found: DataFrame, lfs: LabelingSet) -> DataFrame:
+    """Stored verdicts as ballots; an item that was not judged has no votes."""
+    table = with_votes(found, lfs)
+    return table.withColumn("votes", F.coalesce("votes", F.array().cast(VOTES)))
+
 
+def _renumbered(found: DataFrame, full: LabelingSet, kept: LabelingSet) -> DataFrame:
+    """Ballots over all functions, reduced to the kept ones."""
     number = {f.criterion: f.lf for f in kept.functions}
     new = constant([number.get(f.criterion) for f in full.functions], "array<int>")
     fired = F.filter(F.transform("fired", lambda lf: F.get(new, lf)), lambda lf: lf.isNotNull())
-    table = with_votes(found.withColumn("fired", fired), kept)
-    return table.withColumn("votes", F.coalesce("votes", F.array().cast("array<struct<lf:int,c:int>>")))
+    return _votes(found.withColumn("fired", fired), kept)
 
 
 def run_experiment(
@@ -226,7 +226,3 @@ def run_experiment(
             )
         )
     return results
-
-
-def classes_of(splits: DataFrame) -> ClassList:
-    return class_list(splits.filter("split = 'dev'"))

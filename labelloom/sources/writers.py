@@ -18,7 +18,7 @@ def keyed_json_lines(items: DataFrame, entries_per_line: int = 1000) -> DataFram
         *(["weak_labels"] if "weak_labels" in items.columns else []),
     )
     pair = F.struct(F.col("item_id").cast("string").alias("key"), entry.alias("value"))
-    block = F.floor(F.col("item_id") / F.lit(entries_per_line)).alias("_block")
+    block = F.expr(f"item_id div {int(entries_per_line)}").alias("_block")
     return (
         items.groupBy(block)
         .agg(F.sort_array(F.collect_list(F.struct("item_id", pair.alias("pair")))).alias("rows"))

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 import verify
 from labelloom.operators import endmodel, generation
 from labelloom.operators.classes import ClassList, class_list
-from labelloom.operators.labeling import keyword_ballots, labeling_set, verdicts
+from labelloom.operators.labeling import answer_schema, keyword_ballots, labeling_set, verdicts
 from labelloom.plans.documents import documents, language_criteria, table
 from labelloom.plans.experiments import Experiment, next_experiment_number
 from labelloom.plans.iterate import RunConfig, run_experiment
 from labelloom.session import checkpoint_root, scratch_table
-from labelloom.sources.readers import flatten_verdicts
+from labelloom.plans.standalone import label_table, write_criteria
+from labelloom.sources.readers import flatten_verdicts, read_verdicts
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
 
 
@@ -162,3 +163,32 @@ def test_end_models(spark, small_tables):
     with pytest.raises(ValueError):
         endmodel.text_pipeline(endmodel.EndModelOptions(algorithm="other"), "x")
     assert len(ClassList(("a",))) == 1
+
+
+def test_label_table_resumes_by_id(spark, small_tables, tmp_path):
+    docs, out = documents(spark, small_tables), str(tmp_path / "verdicts")
+    criteria = language_criteria(spark)
+    assert label_table(spark, docs.filter("item_id >= 150"), criteria, out) == 50
+    assert label_table(spark, docs, criteria, out) == 150
+    assert label_table(spark, docs, criteria, out) == 0
+    stored = read_verdicts(spark, out)
+    assert stored.count() == 200 and stored.select("item_id").distinct().count() == 200
+
+
+def test_write_criteria(spark):
+    samples = spark.createDataFrame([(0, "p", "a"), (1, "q", "b")], "item_id bigint, text string, label string")
+    existing = spark.createDataFrame([(0, "old", "x", "a")], "ord bigint, criterion string, description string, class string")
+
+    def generate(requests):
+        one = F.struct(F.concat(F.lit("new "), "label").alias("criterion"), F.lit("d").alias("description"), F.col("label").alias("class"))
+        return requests.select("request_no", F.to_json(F.struct(F.array(one).alias("criteria"))).alias("content"), F.lit(False).alias("failed"))
+
+    def dedup(request):
+        return request.select(F.lit('{"unique_criteria": ["old", "new b"]}').alias("content"))
+
+    got = write_criteria(samples, "demo", generate, dedup, existing)
+    assert [r.criterion for r in got.orderBy("ord").collect()] == ["old", "new b"]
+    assert write_criteria(samples, "demo", generate).count() == 2
+    assert generation.CRITERIA_SCHEMA["required"] == ["criteria"]
+    lfs = labeling_set(existing, ClassList(("a",)))
+    assert answer_schema(lfs)["properties"]["found_criteria"]["items"]["enum"] == ["old"]
