@@ -3,9 +3,11 @@
 "Random" here means ordered by an md5 of seed and id, so that a sample can be repeated.
 To take the lowest ``k`` keys of a group, rows are first counted per leading hex digits
 of the key (a map-side combined aggregate). The counts tell in which range the k-th key
-lies, and only the rows of that range, about a million, are ranked to find it. The
-sample is then a comparison with that key, made where the rows are. A class with a third
-of all rows is never brought together anywhere, and no text is ever shuffled.
+lies, and only the rows of that range are ranked to find it. Few digits are used, so
+that each task still combines its counts to a handful per group: for 10^11 rows three
+digits, and a range of some millions of short keys, which one task can sort. The sample
+is then a comparison with that key, made where the rows are. A class with a third of all
+rows is never brought together anywhere, and no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 from labelloom.functions.text import seeded_order
 from labelloom.sizing import local_frame, pin_small
 
-ROWS_PER_RANGE = 1_000_000
-MAX_HEX_DIGITS = 5
+ROWS_PER_RANGE = 25_000_000
+MAX_HEX_DIGITS = 4
 # Fixed value: how a missing label is named as a class of its own.
 NULL_CLASS = "NaN"
 

@@ -159,7 +159,7 @@ def holdout_split(spark, sf):
     return sampling.holdout(documents(spark, sf).select("item_id"), 0.1, 42)
 
 
-def balanced_orders(spark, sf):
+def balanced_lineitems(spark, sf):
     """The same split on the biggest table: line items balanced over return flag and status."""
     rows = table(spark, sf, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("item_id"),
@@ -200,6 +200,11 @@ def vote_matrix_wide(spark, sf):
     return labeling.vote_matrix(ballots, lfs)
 
 
+def vote_matrix_json(spark, sf):
+    ballots, _, lfs = language_task(spark, sf)
+    return writers.vote_matrix_lines(ballots, lfs.names)
+
+
 def lf_request_chunks(spark, sf):
     chunks = labeling.request_chunks(language_criteria(spark), "Short prose.", CRITERIA_PER_REQUEST)
     requests = labeling.model_requests(documents(spark, sf), chunks)
@@ -569,13 +574,14 @@ QUERIES: dict[str, Query] = {
     "prepare_splits_valid_only": prepare_splits_valid_only,
     "split_class_check": split_class_check,
     "balanced_split": balanced_split,
-    "balanced_orders": balanced_orders,
+    "balanced_lineitems": balanced_lineitems,
     "holdout_split": holdout_split,
     "lf_keyword_verdicts": lf_keyword_verdicts,
     "votes_long": votes_long,
     "votes_in_blocks": votes_in_blocks,
     "votes_per_item": votes_per_item,
     "vote_matrix_wide": vote_matrix_wide,
+    "vote_matrix_json": vote_matrix_json,
     "lf_request_chunks": lf_request_chunks,
     "lf_response_verdicts": lf_response_verdicts,
     "lf_summary": lf_summary,

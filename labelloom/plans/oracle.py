@@ -324,7 +324,7 @@ SELECT split, count(*) AS n_items, count(DISTINCT coalesce(label, 'NaN')) AS n_c
     "balanced_split": f"""WITH
 docs AS (SELECT doc_id AS item_id, CASE WHEN source <> 'src0' THEN lang END AS label FROM documents),
 {_balanced("docs", BALANCED_SIZE, "marked")} SELECT item_id, label, chosen FROM marked""",
-    "balanced_orders": f"""WITH
+    "balanced_lineitems": f"""WITH
 lines AS (SELECT l_orderkey * 8 + l_linenumber AS item_id, l_returnflag || '-' || l_linestatus AS label FROM lineitem),
 {_balanced("lines", BALANCED_SIZE, "marked")}
 SELECT label, chosen, count(*) AS n, CAST(sum(item_id) AS BIGINT) AS ids FROM marked GROUP BY label, chosen""",
@@ -342,6 +342,9 @@ FROM documents d LEFT JOIN votes v ON v.item_id = d.doc_id GROUP BY d.doc_id""",
 SELECT d.doc_id AS item_id, {", ".join(
     f"coalesce(max(v.class_idx) FILTER (WHERE v.ord = {i}), -1) AS {n}" for i, (n, _, _) in enumerate(LANGUAGE_CRITERIA))}
 FROM documents d LEFT JOIN votes v ON v.item_id = d.doc_id GROUP BY d.doc_id""",
+    "vote_matrix_json": f"""{WITH_VOTES}
+SELECT '{{' || string_agg('"' || c.criterion || '":' || coalesce(v.class_idx, -1), ',' ORDER BY c.ord) || '}}' AS value
+FROM documents d CROSS JOIN crit c LEFT JOIN votes v ON v.item_id = d.doc_id AND v.ord = c.ord GROUP BY d.doc_id""",
     "lf_request_chunks": f"""
 SELECT doc_id AS item_id, c.chunk, md5(c.prompt) AS prompt_md5, CAST(length(text) AS INTEGER) AS n_chars
 FROM documents CROSS JOIN (VALUES {_request_values()}) c(chunk, prompt)""",
