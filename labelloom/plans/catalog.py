@@ -525,9 +525,11 @@ def criteria_ingest(spark, sf):
 
 
 def _judged(spark, sf) -> DataFrame:
-    ballots, lfs, model = _voted(spark, sf)
-    outcome = analysis.split_errors(majority.predict_hard(ballots, lfs, model)).select("item_id", "outcome")
-    return documents(spark, sf).join(outcome, "item_id")
+    # the texts are needed with their outcome: judging them twice beats a join on the texts
+    task, classes, lfs = language_task(spark, sf, keep=("label", "text"))
+    model = majority.fit_majority(task, lfs)
+    scored = majority.predict_hard(with_gold(task, classes), lfs, model)
+    return analysis.split_errors(scored).select("item_id", "text", "label", "outcome")
 
 
 def generation_context(spark, sf):
