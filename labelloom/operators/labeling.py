@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from labelloom.functions.text import (
     contains_all,
-    int_or_text,
     keywords_of,
     once,
     parse_answer,

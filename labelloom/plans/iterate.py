@@ -181,7 +181,7 @@ def run_iteration(
     scores = summary.withColumn("polarity", F.to_json("polarity"))
     named = kept.frame(experiment.spark).select("criterion", "description")
     rows = predictions.select(F.col("item_id").alias("idx"), "text", "label", "pred", "model", "split")
-    experiment.export(iteration, "criteria", lambda path: write_jsonl(criteria, path))
+    experiment.export(iteration, "criteria", lambda path: write_jsonl(criteria.orderBy("ord").drop("ord"), path))
     experiment.export(iteration, "lf_scores", lambda path: write_csv(scores, path))
     experiment.export(iteration, "filtered_lfs", lambda path: write_jsonl(named, path))
     experiment.export(iteration, "predictions", lambda path: write_csv(rows, path))

@@ -12,7 +12,7 @@ from labelloom.plans.experiments import Experiment, next_experiment_number
 from labelloom.plans.iterate import RunConfig, run_experiment
 from labelloom.session import checkpoint_root, scratch_table
 from labelloom.plans.standalone import label_table, write_criteria
-from labelloom.sources.readers import flatten_verdicts, read_verdicts
+from labelloom.sources.readers import flatten_verdicts, read_criteria, read_verdicts
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
 
 
@@ -149,6 +149,8 @@ def test_whole_loop(spark, small_tables, tmp_path):
     # a second run over the same folder computes nothing anew
     again = run_experiment(experiment, splits, config, generate)
     assert len(seen) == 2 and again[1].metrics.count() == results[1].metrics.count()
+    stored = read_criteria(spark, experiment.stage_path(1, "export/criteria"))
+    assert [r.criterion for r in stored.orderBy("ord").collect()] == names
     exported = spark.read.csv(experiment.stage_path(0, "export/predictions"), header=True, escape='"', multiLine=True)
     assert exported.count() == results[0].predictions.count()
 
@@ -177,7 +179,8 @@ def test_label_table_resumes_by_id(spark, small_tables, tmp_path):
 
 def test_write_criteria(spark):
     samples = spark.createDataFrame([(0, "p", "a"), (1, "q", "b")], "item_id bigint, text string, label string")
-    existing = spark.createDataFrame([(0, "old", "x", "a")], "ord bigint, criterion string, description string, class string")
+    schema = "ord bigint, criterion string, description string, class string"
+    existing = spark.createDataFrame([(0, "old", "x", "a")], schema)
 
     def generate(requests):
         one = F.struct(F.concat(F.lit("new "), "label").alias("criterion"), F.lit("d").alias("description"), F.col("label").alias("class"))

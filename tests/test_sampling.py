@@ -76,7 +76,10 @@ def test_holdout_and_lowest(spark):
 
 
 def test_split_preparation(spark):
-    train, valid, test = (labelled(spark, ["a", "b"] * n).withColumn("item_id", F.col("item_id") + at) for n, at in ((10, 0), (5, 100), (4, 200)))
+    train, valid, test = (
+        labelled(spark, ["a", "b"] * n).withColumn("item_id", F.col("item_id") + at)
+        for n, at in ((10, 0), (5, 100), (4, 200))
+    )
     splits = sampling.prepare_splits(train, valid, test, 6)
     counts = {r.split: (r.n_items, r.n_classes) for r in split_class_counts(splits).collect()}
     assert counts == {"dev": (6, 2), "train": (24, 2), "test": (8, 2)}
