@@ -10,9 +10,8 @@ form (item_id, criterion, class_idx) is an explode away.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
@@ -132,24 +131,24 @@ def _automaton_udf(rules: list[tuple[int, list[str]]]) -> Callable[[Column], Col
     frozen = tuple((lf, tuple(pieces)) for lf, pieces in rules)
 
     @F.pandas_udf("array<int>")
-    def fired(texts: pd.Series) -> pd.Series:
-        automaton, needs, always = _automaton(frozen)
-        out = []
-        for text in texts:
-            hits = set(always)
-            if text is not None and needs:
-                missing = {}
-                for keyword_rules in {id(r): r for _, r in automaton.iter(text.lower())}.values():
-                    for lf in keyword_rules:
-                        missing[lf] = missing.get(lf, needs[lf]) - 1
-                hits.update(lf for lf, left in missing.items() if left == 0)
-            out.append(sorted(hits) if text is not None else [])
-        return pd.Series(out)
+    def fired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton, needs, always = _automaton(frozen)  # once per task
+        for texts in batches:
+            out = []
+            for text in texts:
+                hits = set(always)
+                if text is not None and needs:
+                    missing = {}
+                    for keyword_rules in {id(r): r for _, r in automaton.iter(text.lower())}.values():
+                        for lf in keyword_rules:
+                            missing[lf] = missing.get(lf, needs[lf]) - 1
+                    hits.update(lf for lf, left in missing.items() if left == 0)
+                out.append(sorted(hits) if text is not None else [])
+            yield pd.Series(out, dtype=object)
 
     return fired
 
 
-@lru_cache(maxsize=4)
 def _automaton(rules: tuple[tuple[int, tuple[str, ...]], ...]):
     """The automaton over all keywords, keywords needed per rule, and rules that need none."""
     users: dict[str, list[int]] = {}
@@ -161,11 +160,11 @@ def _automaton(rules: tuple[tuple[int, tuple[str, ...]], ...]):
             always.append(lf)
         for p in wanted:
             users.setdefault(p, []).append(lf)
+    if not users:
+        return None, {}, always
     automaton = ahocorasick.Automaton()
     for keyword, lf_list in users.items():
         automaton.add_word(keyword, lf_list)
-    if not users:
-        return None, {}, always
     automaton.make_automaton()
     return automaton, needs, always
 
