@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import lines, packing
+from labelloom.llm import bloom_lm, lines, packing
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +21,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_shared_lines(docs, min_docs=10, min_key=1).drop("text")
 
 
+def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_texts(table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 QUERIES = {
     "op2_packing": op2_packing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 
 ORACLE = {
