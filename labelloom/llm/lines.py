@@ -232,7 +232,8 @@ def drop_shared_lines(
     names = [f.name for f in passed]
     joined = (
         docs.select(*[quoted(n) for n in names], quoted(doc_id).cast("string").alias("_llm_id"))
-        .join(drops, F.col("_llm_id").eqNullSafe(F.col("id")), "left")
+        # the drop list grows with the corpus: always by a shuffle, at any size
+        .join(drops.hint("merge"), F.col("_llm_id").eqNullSafe(F.col("id")), "left")
         .select(*[quoted(n) for n in names], F.col("digests").alias("_llm_digests"))
     )
     schema = StructType(passed)
