@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, lines, packing, toxicity
+from labelloom.llm import bloom_lm, lines, ngram_join, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=5, fold=0)
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"), n=5, threshold=0.8).drop("node")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_shared_lines(docs, min_docs=10, min_key=1).drop("text")
@@ -32,6 +36,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_packing": op2_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_bloom_lm": op10_bloom_lm,
 }
