@@ -2,33 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import release, stored
 
 
-class Forest:
-    """Union-find over 0..n-1; ``edges`` are those that joined two trees."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.parent[max(a, b)] = min(a, b)
-        return True
-
-
 def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the symmetric boolean matrix connects; fewer than its rows."""
     n = len(linked)
@@ -47,6 +30,27 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(table, bounds): rows sorted by ``keys``, in tables that end where a group ends."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            table = pa.Table.from_batches([*kept, batch]).combine_chunks()
+            new = np.zeros(table.num_rows, bool)
+            for k in keys:
+                c = table.column(k).to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+            cuts = np.flatnonzero(new)
+            if len(cuts):
+                last = int(cuts[-1])
+                yield table.slice(0, last), np.concatenate([[0], cuts])
+                table = table.slice(last)
+            kept = table.to_batches()
+    if kept:
+        table = pa.Table.from_batches(kept)
+        yield table, np.array([0, table.num_rows])
+
+
 def components(edges: DataFrame, stem: str) -> DataFrame:
     """(node, component): for each node of ``edges(a, b)`` the smallest node it is connected with.
 
@@ -74,8 +78,9 @@ def components(edges: DataFrame, stem: str) -> DataFrame:
                 break
         hop = points.select(F.col("node").alias("root"), "to")
         newer = stored(found.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root")), stem)
-        pa, pb = points.select(F.col("node").alias("a"), F.col("to").alias("ra")), points.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        shorter = both.join(pa, "a").join(pb, "b").filter("ra <> rb")
+        to_a = points.select(F.col("node").alias("a"), F.col("to").alias("ra"))
+        to_b = points.select(F.col("node").alias("b"), F.col("to").alias("rb"))
+        shorter = both.join(to_a, "a").join(to_b, "b").filter("ra <> rb")
         ordered = shorter.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         left = stored(ordered, stem)
         release(both, found, points)

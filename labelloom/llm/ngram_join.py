@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType
 
 from labelloom.llm.bloom_lm import WordHashes, mix
 from labelloom.llm.common import quoted, release, stored
-from labelloom.llm.groups import blocked, components, spanning
+from labelloom.llm.groups import blocked, components, spanning, whole_groups
 
 HASHES = 150
 BAND_BLOCK = 2048
@@ -136,27 +136,6 @@ def prepared(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(made, PREPARED)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """(table, bounds): rows sorted by ``keys``, in tables that end where a group ends."""
-    kept: list[pa.RecordBatch] = []
-    for batch in batches:
-        if batch.num_rows:
-            table = pa.Table.from_batches([*kept, batch]).combine_chunks()
-            new = np.zeros(table.num_rows, bool)
-            for k in keys:
-                c = table.column(k).to_numpy()
-                new[1:] |= c[1:] != c[:-1]
-            cuts = np.flatnonzero(new)
-            if len(cuts):
-                last = int(cuts[-1])
-                yield table.slice(0, last), np.concatenate([[0], cuts])
-                table = table.slice(last)
-            kept = table.to_batches()
-    if kept:
-        table = pa.Table.from_batches(kept)
-        yield table, np.array([0, table.num_rows])
-
-
 def candidate_edges(classes: DataFrame, threshold: float) -> DataFrame:
     """Spanning edges (a, b) of sketches that may be similar, within each band's groups."""
     limit = most_unequal(threshold)
