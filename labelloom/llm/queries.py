@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, embeddings, lines, ngram_join, packing, toxicity
+from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs, repeats=3).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
@@ -46,7 +52,57 @@ QUERIES = {
     "op10_bloom_lm": op10_bloom_lm,
 }
 
+def mixing_sql(rounds: int = mixing.ROUNDS) -> str:
+    """Targets by capped shares, then per round the hashes up to which running sums stay within what is left."""
+    steps = ""
+    for k in range(rounds):
+        steps += f"""
+        e{k} AS (
+            SELECT b.key, b.h, b.size, t{k}.left_over,
+                   CAST(sum(b.size) OVER (PARTITION BY b.key ORDER BY b.h) AS BIGINT) AS upto
+            FROM b JOIN t{k} ON b.key = t{k}.key WHERE b.h > t{k}.low AND b.size <= t{k}.left_over AND b.size > 0),
+        f{k} AS (
+            SELECT key, min(h) FILTER (WHERE upto > left_over) AS stop,
+                   max(upto) FILTER (WHERE upto <= left_over) AS fits FROM e{k} GROUP BY key),
+        t{k + 1} AS (
+            SELECT t{k}.key, coalesce(f{k}.stop, CAST(1152921504606846976 AS BIGINT)) AS low,
+                   t{k}.left_over - coalesce(f{k}.fits, 0) AS left_over
+            FROM t{k} LEFT JOIN f{k} ON t{k}.key = f{k}.key),"""
+    more = " OR ".join(f"(b.h > t{k}.low AND b.h < t{k + 1}.low AND b.size <= t{k}.left_over)" for k in range(rounds))
+    joins = " ".join(f"JOIN t{k} ON b.key = t{k}.key" for k in range(rounds + 1))
+    return rf"""
+        WITH b AS (
+            SELECT doc_id, coalesce('=' || source, '') AS key,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                   CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+            FROM documents),
+        s AS (SELECT key, CAST(sum(size) AS BIGINT) AS total FROM b GROUP BY key),
+        w AS (SELECT key, total, (row_number() OVER (ORDER BY key = '', key) - 1) % 3 + 1 AS weight FROM s),
+        r AS (
+            SELECT *, CAST(total * 3 AS DOUBLE) / weight AS ratio,
+                   CAST(sum(total) OVER () AS BIGINT) AS budget, CAST(sum(weight) OVER () AS BIGINT) AS weights
+            FROM w),
+        v AS (
+            SELECT *, CAST(budget - coalesce(CAST(sum(total * 3) OVER o AS BIGINT), 0) AS DOUBLE)
+                      / (weights - coalesce(CAST(sum(weight) OVER o AS BIGINT), 0)) AS level,
+                   row_number() OVER (ORDER BY ratio, key = '', key) AS place
+            FROM r WINDOW o AS (ORDER BY ratio, key = '', key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        u AS (SELECT *, (SELECT arg_min(level, place) FROM v WHERE level <= ratio) AS share FROM v),
+        t AS (
+            SELECT key, total, CASE WHEN ratio < share THEN CAST(total * 3 AS DOUBLE) ELSE coalesce(share, 0) * weight END AS target
+            FROM u),
+        c AS (SELECT *, CASE WHEN total > 0 THEN CAST(floor(target / total) AS BIGINT) ELSE 0 END AS copies FROM t),
+        t0 AS (SELECT key, CAST(-1 AS BIGINT) AS low, target - CAST(copies * total AS DOUBLE) AS left_over FROM c),{steps}
+        x AS (
+            SELECT b.doc_id, b.size, c.total, c.target,
+                   CASE WHEN b.size > 0 THEN c.copies + CASE WHEN {more} THEN 1 ELSE 0 END ELSE 0 END AS copies
+            FROM b JOIN c ON b.key = c.key {joins})
+        SELECT doc_id, size, total AS source_size, target, CAST(size * copies AS BIGINT) AS taken, CAST(copies AS BIGINT) AS copies
+        FROM x"""
+
+
 ORACLE = {
+    "op1_mixing": mixing_sql(),
     "op9_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
