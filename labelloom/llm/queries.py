@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, toxicity
+from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
@@ -45,6 +49,7 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_join": op8_ngram_join,
