@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, quality, secrets, toxicity
+from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, _ = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select(
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_secrets": op3_secrets,
+    "op4_sharding": op4_sharding,
     "op5_quality": op5_quality,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_toxicity": op7_toxicity,
