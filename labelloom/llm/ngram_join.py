@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructType
 
 from labelloom.llm.bloom_lm import WordHashes, mix
 from labelloom.llm.common import quoted, release, stored
@@ -316,7 +316,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, do
     """``docs`` with one document of each group of near copies."""
     found = near_duplicates(docs, n, threshold, doc_id=doc_id, text=text)
     names = docs.columns
-    schema = docs.schema.add("_llm_node", LongType())
+    schema = StructType([*docs.schema.fields]).add("_llm_node", LongType())
     at = names.index(text)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,8 @@
 Texts are tokenized where they are read; only (id, piece, start, length, crc) goes on. Pieces are
 dealt by hash over tasks of about ``TOKENS_PER_TASK`` tokens, and each task packs online: a fixed
 number of open bins, a bit set of the free spaces that occur, the fullest bin that still takes a
-piece gets it. When too many bins are open, the fullest one closes. A full bin closes at once.
+piece gets it. When too many bins are open, the fullest one closes. A full bin closes at once. Of each
+``AHEAD`` pieces that come, the longest are placed first.
 
 A document longer than a sequence is cut into whole sequences; its first piece takes the rest.
 
@@ -32,6 +33,7 @@ from labelloom.llm.common import quoted, release, stored
 
 TOKENS_PER_TASK = 1 << 26
 OPEN_BINS = 1024
+AHEAD = 2048
 WORD_CACHE = 700_000
 # A word of letters and the punctuation behind it, which the tokenizer's own pre-splitting cuts apart.
 PLAIN_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%&$#*|<>]*)")
@@ -195,7 +197,12 @@ def pack(
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(capacity, open_bins)
         for batch in batches:
-            at = [bins.put(n) for n in batch.column(batch.schema.get_field_index("length")).to_pylist()]
+            lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
+            at = [(0, 0)] * len(lengths)
+            for first in range(0, len(lengths), AHEAD):
+                window = range(first, min(first + AHEAD, len(lengths)))
+                for k in sorted(window, key=lambda k: -lengths[k]):
+                    at[k] = bins.put(lengths[k])
             numbers, offsets = zip(*at) if at else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())],

@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -173,8 +174,8 @@ def copy_mark(text: str) -> int:
     return min(xxhash.xxh64_intdigest(g) for g in grams) - (1 << 63)
 
 
-def evidence(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], list]:
-    """Weights of significant features, and the sample's texts' labels by copy mark are counted once."""
+def evidence(sample: DataFrame, model: CharModel) -> dict[str, float]:
+    """Weights of the features that toxic texts hold significantly more often; near copies count once."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Readings(model)
@@ -199,7 +200,7 @@ def evidence(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], lis
     total = counts.filter("feature = ''").first()
     if total is None or not total.yes or not total.no:
         release(counts)
-        return {}, []
+        return {}
     # only what at least one in a hundred toxic texts holds, three or more: a bounded number of rows
     least = max(3, total.yes / 100)
     rows = counts.filter((F.col("feature") != "") & (F.col("yes") >= least)).collect()
@@ -209,7 +210,7 @@ def evidence(sample: DataFrame, model: CharModel) -> tuple[dict[str, float], lis
         w = math.log((r.yes + 0.5) / (total.yes + 1)) - math.log((r.no + 0.5) / (total.no + 1))
         if w >= 2.5 and w >= 3 * math.sqrt(1 / (r.yes + 0.5) + 1 / (r.no + 0.5)):
             weights[r.feature] = w
-    return weights, [total.yes, total.no]
+    return weights
 
 
 class Weights(dict):
@@ -252,70 +253,67 @@ def fit_curve(rows: list[tuple[float, float, int]]) -> list[float]:
     return beta.tolist()
 
 
-def score_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    folds: int = 5,
-    fold: int = 0,
-    sample_rows: int = SAMPLE_ROWS,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    keep: bool = False,
-) -> DataFrame:
-    """doc_id, held_out, score, predicted per row; with ``keep`` the rows of ``docs`` with score and predicted added."""
-    source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+@dataclass
+class Scorer:
+    """Everything that scoring a text needs: the character model, the evidence, and the curve."""
+
+    model: CharModel
+    weights: dict[str, float]
+    beta: list[float]
+
+    def scores(self, table: Weights, texts: list) -> list[float]:
+        sums = (self.beta[0] + self.beta[1] * a + self.beta[2] * b for a, b in map(table.summary, texts))
+        return [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in sums]
+
+
+def fit(source: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Scorer:
+    """A scorer for ``source(doc_id, text)`` from all its texts and the rows of ``labels(doc_id, toxic)``."""
     model = CharModel({r.gram: r.n for r in trigram_counts(source).collect()})
     # the sample: bounded by its parameter, so it may be sent to all tasks
-    train = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(
-        F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != fold
-    )
-    chosen = train.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = stored(source.join(F.broadcast(stored(chosen.limit(sample_rows), "toxic-labels")), "doc_id"), "toxic-sample")
-    weights, _ = evidence(sample, model)
+    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
+    one_each = known.agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = stored(one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "toxic-labels")
+    sample = stored(source.join(F.broadcast(chosen), "doc_id"), "toxic-sample")
+    weights = evidence(sample, model)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Weights(weights, model)
         for batch in batches:
-            texts, toxic = (c.to_pylist() for c in batch.columns)
-            out = [table.summary(t) for t in texts]
+            out = [table.summary(t) for t in batch.column(0).to_pylist()]
+            a, b = ([x[k] for x in out] for k in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in out], pa.float64()), pa.array([b for _, b in out], pa.float64()), pa.array(toxic, pa.int32())],
-                ["a", "b", "toxic"],
+                [pa.array(a, pa.float64()), pa.array(b, pa.float64()), batch.column(1).cast(pa.int32())], ["a", "b", "toxic"]
             )
 
     # three numbers for each row of the sample
     points = [tuple(r) for r in sample.select("text", "toxic").mapInArrow(summed, "a double, b double, toxic int").collect()]
-    release(sample)
+    release(sample, chosen)
     if weights:
-        beta = fit_curve(points)
-    else:
-        share = sum(p[2] for p in points) / max(len(points), 1)
-        beta = [math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0, 0.0, 0.0]
+        return Scorer(model, weights, fit_curve(points))
+    share = sum(p[2] for p in points) / max(len(points), 1)
+    level = math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0
+    return Scorer(model, weights, [level, 0.0, 0.0])
 
-    def scores_of(table: Weights, texts: list) -> list[float]:
-        sums = (beta[0] + beta[1] * a + beta[2] * b for a, b in map(table.summary, texts))
-        return [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in sums]
-
-    if keep:
-        from pyspark.sql.types import DoubleType, StructType
-
-        names = [f.name for f in docs.schema.fields if f.name.lower() != "score"]
-        at = names.index(text)
-        schema = StructType([docs.schema[n] for n in names]).add("score", DoubleType())
 
-        def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = Weights(weights, model)
-            for batch in batches:
-                scores = scores_of(table, batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
-
-        return docs.select(*[quoted(n) for n in names]).mapInArrow(added, schema)
+def score_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    folds: int = 5,
+    fold: int = 0,
+    sample_rows: int = SAMPLE_ROWS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; labels of the held-out fold teach nothing."""
+    source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
+    scorer = fit(source, labels.filter(remainder != fold), sample_rows)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Weights(weights, model)
+        table = Weights(scorer.weights, scorer.model)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
-            scores = scores_of(table, texts)
+            scores = scorer.scores(table, texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -327,3 +325,24 @@ def score_toxicity(
             )
 
     return source.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    limit: float = 0.5,
+    sample_rows: int = SAMPLE_ROWS,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` whose score lies below ``limit``."""
+    scorer = fit(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text")), labels, sample_rows)
+    at = docs.columns.index(text)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Weights(scorer.weights, scorer.model)
+        for batch in batches:
+            scores = scorer.scores(table, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([s < limit for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
