@@ -48,7 +48,9 @@ LOOKS = {
 GAPS = " .-_*~'"
 WORD = re.compile(r"[^\W\d_]+")
 DISGUISED = re.compile(r"[^\W\d_]*(?:[^\W\d_][0-9@$!|+€£*#%.\-_~']+[^\W\d_]|[0-9@$!|+€£][^\W\d_]{2})|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*~]{1,2}){3,}[^\W\d_](?![^\W_])")
+# Cheap to look for, and part of every run of lone letters between blanks.
+LONE = re.compile(r" .[.\-_*~]? .[.\-_*~]? .[.\-_*~]? ")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_*~]? ){3,}[^\W\d_](?![^\W_])")
 
 
 def symbol(c: str) -> int:
@@ -63,16 +65,28 @@ def byte_symbols() -> np.ndarray:
     return out
 
 
+def chunks(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[bytes]:
+    """About a megabyte of texts at a time, kept apart by two blanks."""
+    parts, size = [], 0
+    for t in texts:
+        parts.append(t or b"")
+        size += len(parts[-1])
+        if size >= most:
+            yield b"  ".join(parts) + b"  "
+            parts, size = [], 0
+    if parts:
+        yield b"  ".join(parts) + b"  "
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(gram, n) over all texts, summed per task first."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to_symbol, total = byte_symbols(), np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for t in batch.column(0).cast(pa.large_binary()).to_pylist():
-                s = to_symbol[np.frombuffer(t or b"", np.uint8)]
-                if len(s) > 2:
-                    total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
+            for joined in chunks(batch.column(0).cast(pa.large_binary()).to_pylist()):
+                s = to_symbol[np.frombuffer(joined, np.uint8)]
+                total += np.bincount((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], minlength=SYMBOLS**3)
         grams = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(total[grams])], ["gram", "n"])
 
@@ -138,6 +152,8 @@ def readings(token: str, model: CharModel) -> list[str]:
 def gapped(text: str, model: CharModel) -> list[str]:
     """Words spelled with gaps: each run of lone letters, read from each of its letters on."""
     out = []
+    if not LONE.search(f" {text} "):
+        return out
     for run in SPACED.findall(text):
         joined = model.restore(re.sub(r"[ .\-_*~]", "", run)[:LONGEST_TOKEN])
         out += [joined[k:] for k in range(max(1, len(joined) - 3))]
