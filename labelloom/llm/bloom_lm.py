@@ -33,8 +33,9 @@ PART_BYTES = 1 << 17
 LINES = PART_BYTES // 64
 BITS_PER_ENTRY = 12
 PROBES = 4
-CHUNK_TOKENS = 400_000
-CACHE_WORDS = 400_000
+COUNT_TOKENS = 400_000
+SCORE_TOKENS = 100_000
+CACHE_WORDS = 150_000
 # Hashes of two tokens that no text contains: the end, and what stands before the first word.
 END = xxhash.xxh64_intdigest(b" end")
 START = xxhash.xxh64_intdigest(b" start")
@@ -82,14 +83,14 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(rows: Iterator[tuple], hashes: WordHashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def chunks(rows: Iterator[tuple], hashes: WordHashes, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, lengths, tokens) of some whole documents at a time."""
     ids, parts, total = [], [], 0
     for i, text in rows:
         ids.append(i)
         parts.append(token_hashes(text, hashes))
         total += len(parts[-1])
-        if total >= CHUNK_TOKENS:
+        if total >= most:
             yield ids, np.array([len(p) for p in parts]), np.concatenate(parts)
             ids, parts, total = [], [], 0
     if ids:
@@ -98,7 +99,9 @@ def chunks(rows: Iterator[tuple], hashes: WordHashes) -> Iterator[tuple[list, np
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        yield from zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist())
+        for k in range(0, batch.num_rows, 256):
+            part = batch.slice(k, 256)
+            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist())
 
 
 def gram_counts(docs: DataFrame, folds: int, fold: int) -> DataFrame:
@@ -106,7 +109,7 @@ def gram_counts(docs: DataFrame, folds: int, fold: int) -> DataFrame:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         training = (r for r in rows_of(batches) if not is_held_out(r[0], folds, fold))
-        for _, _, tokens in chunks(training, WordHashes()):
+        for _, _, tokens in chunks(training, WordHashes(), COUNT_TOKENS):
             for kind, grams in ((0, tokens), (1, pair_hash(before(tokens), tokens))):
                 h, n = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -229,7 +232,7 @@ def score_texts(
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bytes, known_h, known_n = shared.value
         hashes = WordHashes()
-        for ids, lengths, tokens in chunks(rows_of(batches), hashes):
+        for ids, lengths, tokens in chunks(rows_of(batches), hashes, SCORE_TOKENS):
             doc = np.repeat(np.arange(len(ids)), lengths)
             at = np.minimum(np.searchsorted(known_h, tokens), max(len(known_h) - 1, 0))
             hit = known_h[at] == tokens if len(known_h) else np.zeros(len(tokens), bool)
