@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.functions.text import int_or_text, outer_json, parse_answer, seeded_order
+from labelloom.functions.text import int_or_text, parse_answer, seeded_order
 from labelloom.operators.sampling import take_lowest
 from labelloom.sizing import compute_once
 
@@ -45,9 +45,14 @@ def ingest_generated(answers: DataFrame) -> DataFrame:
 
 
 def keep_unique(criteria: DataFrame, answer: DataFrame) -> DataFrame:
-    """Rows whose name is in the deduplication answer; order and repeats are kept."""
-    parsed = F.from_json(outer_json(F.col("content")), "unique_criteria array<string>")["unique_criteria"]
-    names = answer.select(F.explode(parsed).alias("criterion")).distinct()
+    """Rows whose name is in the deduplication answer; order and repeats are kept.
+
+    An answer that can't be read says nothing about any criterion: all of them stay.
+    """
+    parsed = answer.select(parse_answer(F.col("content"), "unique_criteria array<string>")["unique_criteria"].alias("names"))
+    if not parsed.filter("names IS NULL").isEmpty():
+        return criteria
+    names = parsed.select(F.explode("names").alias("criterion")).distinct()
     return criteria.join(names, "criterion", "left_semi")
 
 

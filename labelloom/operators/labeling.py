@@ -10,11 +10,10 @@ form (item_id, criterion, class_idx) is an explode away.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,16 +28,9 @@ from labelloom.operators.criteria import last_wins
 from labelloom.sizing import compute_once, constant, local_frame, rows_within
 from labelloom.sources.writers import dense_row
 
-try:
-    import ahocorasick
-except ImportError:
-    ahocorasick = None
-
 ABSTAIN = -1
 # Up to this many criteria travel inside the plan; more are joined in blocks.
 MAX_PLANNED_CRITERIA = 20_000
-# From about this many keywords on, one automaton pass was measured to beat one scan per keyword.
-AUTOMATON_FROM = 16
 # Fixed value: how many criteria one model request carries.
 CRITERIA_PER_REQUEST = 300
 
@@ -105,70 +97,30 @@ def labeling_set(criteria: DataFrame, classes: ClassList) -> LabelingSet:
 # --- keyword criteria ----------------------------------------------------------------
 
 
-def _pieces(description: str) -> list[str]:
-    return [k.lower() for k in description.split("+")]
+def lowered_pieces(descriptions: list[str]) -> list[list[str]]:
+    """The '+'-separated pieces of each description, lower-cased by the engine that lower-cases the texts.
+
+    A local relation: the driver evaluates it without a job.
+    """
+    spark = SparkSession.active()
+    rows = local_frame(spark, [(d,) for d in descriptions], "d string").select(keywords_of(F.col("d")).alias("k"))
+    return [r.k for r in rows.collect()]
 
 
-def fired_by_keywords(text: Column, lfs: LabelingSet, use_automaton: bool | None = None) -> Column:
+def fired_by_keywords(text: Column, lfs: LabelingSet) -> Column:
     """Numbers of the keyword criteria that hold for a text, ascending.
 
     A criterion holds when the lower-cased text contains each of its '+'-separated
-    pieces. A null text or description holds for nothing.
+    pieces. A null text or description holds for nothing. Built-in functions are the only
+    matcher, whatever the number of keywords: another one could lower-case differently.
     """
-    rules = [(f.lf, _pieces(f.description)) for f in lfs.functions if f.description is not None]
-    n_keywords = len({k for _, pieces in rules for k in pieces})
-    if use_automaton is None:
-        use_automaton = ahocorasick is not None and n_keywords >= AUTOMATON_FROM
-    if use_automaton:
-        return _automaton_udf(rules)(text)
-    table = constant([{"lf": lf, "kws": kws} for lf, kws in rules], "array<struct<lf:int,kws:array<string>>>")
+    described = [f for f in lfs.functions if f.description is not None]
+    rules = [{"lf": f.lf, "kws": k} for f, k in zip(described, lowered_pieces([f.description for f in described]))]
+    table = constant(rules, "array<struct<lf:int,kws:array<string>>>")
     held = once(F.lower(text), lambda t: F.filter(table, lambda rule: contains_all(t, rule["kws"])))
     return F.when(text.isNotNull(), held["lf"]).otherwise(F.array().cast("array<int>"))
 
 
-def _automaton_udf(rules: list[tuple[int, list[str]]]) -> Callable[[Column], Column]:
-    """One pass over each text for all keywords together, in Arrow batches."""
-    frozen = tuple((lf, tuple(pieces)) for lf, pieces in rules)
-
-    @F.pandas_udf("array<int>")
-    def fired(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton, needs, always = _automaton(frozen)  # once per task
-        for texts in batches:
-            out = []
-            for text in texts:
-                hits = set(always)
-                if text is not None and needs:
-                    missing = {}
-                    for keyword_rules in {id(r): r for _, r in automaton.iter(text.lower())}.values():
-                        for lf in keyword_rules:
-                            missing[lf] = missing.get(lf, needs[lf]) - 1
-                    hits.update(lf for lf, left in missing.items() if left == 0)
-                out.append(sorted(hits) if text is not None else [])
-            yield pd.Series(out, dtype=object)
-
-    return fired
-
-
-def _automaton(rules: tuple[tuple[int, tuple[str, ...]], ...]):
-    """The automaton over all keywords, keywords needed per rule, and rules that need none."""
-    users: dict[str, list[int]] = {}
-    needs, always = {}, []
-    for lf, pieces in rules:
-        wanted = {p for p in pieces if p}
-        needs[lf] = len(wanted)
-        if not wanted:
-            always.append(lf)
-        for p in wanted:
-            users.setdefault(p, []).append(lf)
-    if not users:
-        return None, {}, always
-    automaton = ahocorasick.Automaton()
-    for keyword, lf_list in users.items():
-        automaton.add_word(keyword, lf_list)
-    automaton.make_automaton()
-    return automaton, needs, always
-
-
 def votes_of(fired: Column, lfs: LabelingSet) -> Column:
     """Votes of the criteria that hold; a criterion without a class never votes."""
     class_of = constant(lfs.class_of, "array<int>")
@@ -274,14 +226,14 @@ def model_requests(items: DataFrame, chunks: list[str]) -> DataFrame:
 
 
 def fired_by_answers(
-    answers: DataFrame, lfs: LabelingSet, on_unreadable: str = "skip", keep: tuple[str, ...] = ()
+    answers: DataFrame, lfs: LabelingSet, on_unreadable: str = "fail", keep: tuple[str, ...] = ()
 ) -> DataFrame:
     """Ballots from model answers (item_id, chunk, content, failed).
 
     The names found are united over the chunks of an item. ``fired`` is null, not empty,
     when nothing at all was found or when a request failed for good: the item was not
-    judged. Unknown names match nothing. An unreadable answer adds nothing
-    (``on_unreadable="skip"``) or counts as a failed request (``"fail"``).
+    judged. Unknown names match nothing. An unreadable answer counts as a failed request
+    (``on_unreadable="fail"``), or adds nothing (``"skip"``).
     """
     if on_unreadable not in ("skip", "fail"):
         raise ValueError(f"unknown on_unreadable: {on_unreadable}")
@@ -337,7 +289,7 @@ def model_ballots(
     chunks: list[str],
     model: Callable[[DataFrame], DataFrame],
     keep: tuple[str, ...] = (),
-    on_unreadable: str = "skip",
+    on_unreadable: str = "fail",
 ) -> DataFrame:
     """Ballots through a caller's model.
 
@@ -356,13 +308,14 @@ def ballots(
     chunks: list[str] | None = None,
     model: Callable[[DataFrame], DataFrame] | None = None,
     keep: tuple[str, ...] = (),
+    on_unreadable: str = "fail",
 ) -> DataFrame:
     """Judge the criteria by keywords, or by a model (any other mode)."""
     if mode == "keywords":
         return keyword_ballots(items, lfs, keep)
     if model is None or chunks is None:
         raise ValueError("model mode needs request chunks and a model")
-    return model_ballots(items, lfs, chunks, model, keep)
+    return model_ballots(items, lfs, chunks, model, keep, on_unreadable)
 
 
 # --- other forms ---------------------------------------------------------------------

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import seeded_order
+from labelloom.operators.classes import require_class_count
 from labelloom.sizing import local_frame, pin_small
 
 ROWS_PER_RANGE = 25_000_000
@@ -130,6 +131,55 @@ def prepare_splits(
     return named.unionByName(test.withColumn("split", F.lit("test")))
 
 
+# The parts that raw files come in.
+RAW_SPLITS = ("train", "valid", "test")
+
+
+def rekeyed(df: DataFrame, part: str) -> DataFrame:
+    """Item numbers that are unique over all parts, for parts that are each numbered from 0.
+
+    ``item_id`` becomes 3 * old number + place of the part; the old number and the part stay
+    as ``old_id`` and ``old_split``.
+    """
+    place = RAW_SPLITS.index(part)
+    kept = [c for c in df.columns if c != "item_id"]
+    return df.select(
+        (F.col("item_id") * len(RAW_SPLITS) + place).alias("item_id"),
+        F.col("item_id").alias("old_id"),
+        F.lit(part).alias("old_split"),
+        *kept,
+    )
+
+
+def require_unique_ids(df: DataFrame, id_col: str = "item_id") -> None:
+    """Refuse a table in which a number is missing or stands for two items."""
+    twice = df.groupBy(id_col).count().filter(F.col(id_col).isNull() | (F.col("count") > 1)).limit(5).collect()
+    if twice:
+        raise ValueError(f"item numbers that are missing or not unique, for instance {[r[0] for r in twice]}: use rekeyed()")
+
+
+def prepare_raw_splits(
+    train: DataFrame,
+    valid: DataFrame,
+    test: DataFrame,
+    dev_size: int,
+    label: str = "label",
+    seed: int = 0,
+    n_classes: int | None = None,
+) -> DataFrame:
+    """Splits of raw parts with numbers of their own each: re-keyed, checked, then prepared.
+
+    With ``n_classes`` every split must hold that many labels.
+    """
+    parts = [rekeyed(df, part) for df, part in zip((train, valid, test), RAW_SPLITS)]
+    for part in parts:
+        require_unique_ids(part)
+    splits = prepare_splits(*parts, dev_size, label, seed)
+    if n_classes is not None:
+        require_class_count(splits.withColumn("label", F.col(label)), n_classes)
+    return splits
+
+
 def prepare_splits_from_valid(
     train: DataFrame, valid: DataFrame, test: DataFrame, dev_size: int, label: str = "label", seed: int = 0
 ) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.operators import analysis, criteria, dawid_skene, endmodel, generation, label_model, labeling, majority
@@ -31,7 +32,7 @@ from labelloom.plans.documents import (
 from labelloom.plans.experiments import next_experiment_number
 from labelloom.plans.iterate import predictions_frame
 from labelloom.session import scratch_path, settled
-from labelloom.sizing import constant, spread
+from labelloom.sizing import constant
 from labelloom.sources import readers, writers
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
 
@@ -139,6 +140,20 @@ def prepare_splits(spark, sf):
     return _prepared(spark, sf).select("item_id", "label", "split")
 
 
+def prepare_colliding_ids(spark, sf):
+    """Raw parts that are each numbered from 0, as raw files are."""
+
+    def renumbered(part: DataFrame) -> DataFrame:
+        numbers = part.select("item_id").withColumn("n", F.row_number().over(W.orderBy("item_id")) - 1)
+        return part.join(numbers, "item_id").select(
+            F.col("n").cast("bigint").alias("item_id"), "label", F.col("item_id").alias("real_id")
+        )
+
+    parts = [renumbered(p) for p in gold_splits(spark, sf)]
+    splits = sampling.prepare_raw_splits(*parts, DEV_SIZE, seed=SPLIT_SEED)
+    return splits.select("item_id", "old_split", "old_id", "label", "real_id", "split")
+
+
 def prepare_splits_valid_only(spark, sf):
     splits = sampling.prepare_splits_from_valid(*gold_splits(spark, sf), DEV_SIZE, seed=SPLIT_SEED)
     return splits.select("item_id", "label", "split")
@@ -454,14 +469,14 @@ def endmodel_weak(spark, sf):
     classes = class_list(held)
     lfs = labeling.labeling_set(language_criteria(spark), classes)
     # training reads the texts anyway, so judging them again there beats a join on the texts
-    ballots = labeling.keyword_ballots(spread(train), lfs, keep=("text",))
+    ballots = labeling.keyword_ballots(train, lfs, keep=("text",))
     model = majority.fit_majority(ballots, lfs)
     taught = majority.predict_hard(ballots, lfs, model).withColumnRenamed("pred", "weak_label")
-    return metrics.macro_metrics(endmodel.weak_label_model(taught, with_gold(spread(held), classes)))
+    return metrics.macro_metrics(endmodel.weak_label_model(taught, with_gold(held, classes)))
 
 
 def baseline_supervised(spark, sf):
-    items = spread(documents(spark, sf))
+    items = documents(spark, sf)
     runs = endmodel.supervised_baseline(items, class_list(items), DEV_SIZE)
     return metrics.run_summary(runs).select("metric", "mean", "std")
 
@@ -508,6 +523,14 @@ def criteria_dedup(spark, sf):
     return criteria.keep_unique(proposed_criteria(docs), answers).select("ord", "criterion", "description", "class")
 
 
+def criteria_dedup_unreadable(spark, sf):
+    """One of the answers breaks off: no criterion may be lost for it."""
+    docs = table(spark, sf, "documents")
+    named = F.to_json(F.struct(F.array(word(F.col("text"), 1)).alias("unique_criteria")))
+    answers = docs.select(F.when(F.col("source") == "src1", F.lit('{"unique_criteria": ["a')).otherwise(named).alias("content"))
+    return criteria.keep_unique(proposed_criteria(docs), answers).select("ord", "criterion", "description", "class")
+
+
 def criteria_ingest(spark, sf):
     docs = table(spark, sf, "documents")
     one = F.struct(
@@ -573,6 +596,7 @@ QUERIES: dict[str, Query] = {
     "sample_loader": sample_loader,
     "sample_loader_named": sample_loader_named,
     "prepare_splits": prepare_splits,
+    "prepare_colliding_ids": prepare_colliding_ids,
     "prepare_splits_valid_only": prepare_splits_valid_only,
     "split_class_check": split_class_check,
     "balanced_split": balanced_split,
@@ -623,6 +647,7 @@ QUERIES: dict[str, Query] = {
     "criteria_cap": criteria_cap,
     "criteria_accumulate": criteria_accumulate,
     "criteria_dedup": criteria_dedup,
+    "criteria_dedup_unreadable": criteria_dedup_unreadable,
     "criteria_ingest": criteria_ingest,
     "generation_context": generation_context,
     "generation_sizes": generation_sizes,

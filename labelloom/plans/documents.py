@@ -10,7 +10,7 @@ from labelloom.operators.labeling import LabelingSet, keyword_ballots, labeling_
 from labelloom.operators.majority import fit_majority, predict_hard
 from labelloom.operators.metrics import macro_metrics
 from labelloom.session import settled
-from labelloom.sizing import local_frame, spread
+from labelloom.sizing import local_frame
 
 # Keyword criteria for the language of a document (name, keywords, class).
 LANGUAGE_CRITERIA = (
@@ -56,7 +56,7 @@ def language_task(
     items = documents(spark, sf_dir)
     classes = class_list(items)
     lfs = labeling_set(language_criteria(spark), classes)
-    return keyword_ballots(spread(items), lfs, keep=keep), classes, lfs
+    return keyword_ballots(items, lfs, keep=keep), classes, lfs
 
 
 def with_gold(ballots: DataFrame, classes: ClassList) -> DataFrame:
@@ -72,12 +72,14 @@ def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word(text: Column, n: int) -> Column:
-    """The n-th blank-separated word, without splitting the rest of the text."""
-    return F.split_part(F.substring_index(text, " ", n), F.lit(" "), F.lit(n))
+    """The n-th longest of the different blank-separated words of the whole text; empty if there are fewer."""
+    words = F.array_remove(F.array_distinct(F.split(text, " ")), "")
+    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
+    return F.coalesce(F.get(ranked, n - 1)["w"], F.lit(""))
 
 
 def proposed_criteria(docs: DataFrame) -> DataFrame:
-    """Keyword criteria proposed by each document: its first words, for its class.
+    """Keyword criteria proposed by each document: its longest words, for its class.
 
     Names repeat across documents, as they do when a model is asked again and again.
     """

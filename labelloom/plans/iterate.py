@@ -16,6 +16,7 @@ from labelloom.operators.criteria import accumulate, cap_new, ingest_generated
 from labelloom.operators.generation import generation_requests
 from labelloom.operators.labeling import VOTES, LabelingSet, ballots, labeling_set, request_chunks, with_votes
 from labelloom.operators.metrics import macro_metrics
+from labelloom.operators.sampling import require_unique_ids
 from labelloom.plans.experiments import Experiment
 from labelloom.sizing import constant
 from labelloom.sources.writers import write_csv, write_jsonl, write_vote_matrix
@@ -100,6 +101,7 @@ def run_iteration(
     ``generate`` answers criteria requests and ``model`` classification requests. Train
     labels are never looked at.
     """
+    require_unique_ids(splits)
     parts = {s: splits.filter(F.col("split") == s).drop("split") for s in ("train", "dev", "test")}
     dev = parts["dev"]
 
@@ -122,7 +124,7 @@ def run_iteration(
     def judge(split: str, lfs: LabelingSet) -> DataFrame:
         chunks = None
         if config.classify_mode != "keywords":
-            chunks = request_chunks(criteria.filter(F.col("criterion").isin(lfs.names)), config.domain_info)
+            chunks = request_chunks(criteria.join(lfs.frame(criteria.sparkSession), "criterion", "left_semi"), config.domain_info)
         found = stage(
             f"verdicts_{split}",
             lambda: ballots(parts[split], lfs, config.classify_mode, chunks, model).select("item_id", "fired"),

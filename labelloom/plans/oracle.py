@@ -190,10 +190,16 @@ def _cm(i: int, decimals: int) -> str:
 
 # --- document-derived criteria -------------------------------------------------------
 
-PROPOSED = """
+def _word(n: str) -> str:
+    """The n-th longest different word of a text."""
+    words = "list_filter(list_distinct(string_split(text, ' ')), lambda w: w <> '')"
+    return f"coalesce(list_sort(list_transform({words}, lambda w: {{'k': -length(w), 'w': w}}))[{n}].w, '')"
+
+
+PROPOSED = f"""
 proposed AS (
-  SELECT doc_id AS ord, source, lang, split_part(text, ' ', 1) AS criterion,
-    lower(split_part(text, ' ', 1)) || '+' || lower(split_part(text, ' ', 2)) AS description,
+  SELECT doc_id AS ord, source, lang, {_word("1")} AS criterion,
+    lower({_word("1")}) || '+' || lower({_word("2")}) AS description,
     CASE WHEN lang = 'de' THEN lang ELSE '0' || substr(source, 4) END AS class
   FROM documents)"""
 
@@ -250,7 +256,7 @@ usable AS (
   WHERE NOT (a.source = 'src5' AND a.chunk = 1)),
 state AS (
   SELECT d.doc_id AS item_id,
-    d.source = 'src3' OR (d.source <> 'src6' AND count(u.criterion) = 0) AS blank
+    d.source IN ('src3', 'src5') OR (d.source <> 'src6' AND count(u.criterion) = 0) AS blank
   FROM documents d LEFT JOIN usable u ON u.item_id = d.doc_id GROUP BY d.doc_id, d.source)
 SELECT s.item_id, c.criterion,
   CASE WHEN s.blank THEN NULL ELSE u.criterion IS NOT NULL END AS hit
@@ -315,6 +321,17 @@ FROM documents d CROSS JOIN crit c LEFT JOIN hits h ON h.item_id = d.doc_id AND
     "sample_loader": f"SELECT doc_id AS item_id, text, lang AS label FROM documents ORDER BY doc_id LIMIT {SAMPLE_SIZE}",
     "sample_loader_named": "SELECT p_partkey AS item_id, p_name AS text, 'size ' || p_size AS label FROM part",
     "prepare_splits": f"WITH {GOLD_SPLITS}, {PREPARED} SELECT item_id, label, split FROM splits",
+    "prepare_colliding_ids": f"""WITH {GOLD_SPLITS},
+renumbered AS (
+  SELECT item_id AS real_id, 'train' AS old_split, row_number() OVER (ORDER BY item_id) - 1 AS old_id, label FROM train
+  UNION ALL SELECT item_id, 'valid', row_number() OVER (ORDER BY item_id) - 1, label FROM valid
+  UNION ALL SELECT item_id, 'test', row_number() OVER (ORDER BY item_id) - 1, label FROM test),
+keyed AS (
+  SELECT *, old_id * 3 + CASE old_split WHEN 'train' THEN 0 WHEN 'valid' THEN 1 ELSE 2 END AS item_id FROM renumbered),
+pool2 AS (SELECT item_id, label FROM keyed WHERE old_split <> 'test'), {_balanced("pool2", DEV_SIZE, "marked2")}
+SELECT k.item_id, k.old_split, k.old_id, k.label, k.real_id,
+  CASE WHEN k.old_split = 'test' THEN 'test' WHEN m.chosen THEN 'dev' ELSE 'train' END AS split
+FROM keyed k LEFT JOIN marked2 m ON m.item_id = k.item_id AND k.old_split <> 'test'""",
     "prepare_splits_valid_only": f"""WITH {GOLD_SPLITS}, {_balanced("valid", DEV_SIZE, "marked")}
 SELECT item_id, label, 'train' AS split FROM train
 UNION ALL SELECT item_id, label, 'dev' FROM marked WHERE chosen
@@ -435,9 +452,10 @@ FROM proposed WHERE lang <> 'fr'""",
     "criteria_dedup": f"""WITH {PROPOSED}
 SELECT ord, criterion, description, class FROM proposed
 WHERE criterion IN (SELECT criterion FROM proposed WHERE lang = 'fr')""",
-    "criteria_ingest": """
-SELECT doc_id * 4294967296 + i AS ord, split_part(text, ' ', i + 1) AS criterion,
-  lower(split_part(text, ' ', i + 2)) AS description, lang AS class
+    "criteria_dedup_unreadable": f"WITH {PROPOSED} SELECT ord, criterion, description, class FROM proposed",
+    "criteria_ingest": f"""
+SELECT doc_id * 4294967296 + i AS ord, {_word("i + 1")} AS criterion,
+  lower({_word("i + 2")}) AS description, lang AS class
 FROM documents CROSS JOIN (VALUES (0), (1)) p(i) WHERE source NOT IN ('src3', 'src4')""",
     "generation_context": f"""{WITH_MV}, {JUDGED}
 SELECT label, outcome, CAST(item_id // 64 AS BIGINT) AS fragment, count(*) AS n_texts,

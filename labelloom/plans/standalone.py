@@ -12,7 +12,6 @@ from labelloom.operators.criteria import accumulate, ingest_generated, keep_uniq
 from labelloom.operators.generation import dedup_request, generation_requests
 from labelloom.operators.labeling import ballots, labeling_set, request_chunks, verdicts
 from labelloom.session import path_exists
-from labelloom.sizing import spread
 from labelloom.sources.readers import read_verdicts
 from labelloom.sources.writers import append_verdicts
 from labelloom.streaming.labelling import remaining
@@ -39,7 +38,7 @@ def label_table(
         return 0
     lfs = labeling_set(criteria, ClassList(()))  # verdicts need no classes
     chunks = None if mode == "keywords" else request_chunks(criteria, domain_info)
-    judged = ballots(spread(left), lfs, mode, chunks, model, keep=("text",))
+    judged = ballots(left, lfs, mode, chunks, model, keep=("text",))
     append_verdicts(verdicts(judged, lfs, keep=("text",)), out)
     return n_left
 

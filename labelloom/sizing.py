@@ -58,16 +58,3 @@ def compute_once(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
 def constant(value: Any, ddl: str) -> Column:
     """A nested Python value as one literal (folded once, at planning time)."""
     return F.from_json(F.lit(json.dumps(value)), ddl)
-
-
-def spread(items: DataFrame, key: str = "item_id") -> DataFrame:
-    """Use every core when the input is smaller than the cluster.
-
-    A table of fewer input splits than cores (one small file, say) would leave cores
-    idle during text matching, so it is redistributed by its unique key. A big table
-    has many more splits than cores and passes through untouched, without a shuffle.
-    """
-    cores = items.sparkSession.sparkContext.defaultParallelism
-    if items.rdd.getNumPartitions() >= cores:
-        return items
-    return items.repartition(cores, key)

@@ -25,7 +25,11 @@ def parse_keyed_json(objects: DataFrame, value: str = "value") -> DataFrame:
 
     Missing ``data``, ``text`` or ``label`` become null.
     """
-    entries = objects.select(F.explode(F.from_json(F.col(value), KEYED_ENTRY)).alias("key", "entry"))
+    parsed = F.from_json(F.col(value), KEYED_ENTRY)
+    lost = F.raise_error(F.concat(F.lit("not a keyed JSON object: "), F.substring(F.col(value), 1, 200)))
+    # a value that doesn't parse must not vanish: an indented file is read with pretty_printed
+    checked = F.coalesce(parsed, F.when(F.trim(F.col(value)) != "", lost.cast(KEYED_ENTRY)))
+    entries = objects.select(F.explode(checked).alias("key", "entry"))
     return entries.select(
         F.col("key").cast("bigint").alias("item_id"),
         F.col("entry.data.text").alias("text"),
@@ -84,11 +88,13 @@ def read_tolerant_jsonl(spark: SparkSession, path: str, text_field: str, flag_fi
 
 
 def parse_criteria(lines: DataFrame, order: Column, value: str = "value") -> DataFrame:
-    """Criteria in file order (``ord``); blank lines are skipped."""
+    """Criteria in file order (``ord``); blank lines are skipped, a malformed one raises."""
     usable = lines.filter(F.trim(F.col(value)) != "")
-    return usable.select(
-        order.cast("bigint").alias("ord"), F.from_json(F.col(value), CRITERION).alias("c")
-    ).select("ord", "c.criterion", "c.description", F.col("c.class").alias("class"))
+    parsed = F.from_json(F.col(value), f"{CRITERION}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    lines_of = compute_once(usable.select(order.cast("bigint").alias("ord"), value), "ord", value, c=parsed)
+    lost = F.raise_error(F.concat(F.lit("malformed criteria line: "), F.col(value)))
+    name = F.when(F.col("c").isNull() | F.col("c._bad").isNotNull(), lost.cast("string")).otherwise(F.col("c.criterion"))
+    return lines_of.select("ord", name.alias("criterion"), "c.description", F.col("c.class").alias("class"))
 
 
 def read_criteria(spark: SparkSession, path: str) -> DataFrame:

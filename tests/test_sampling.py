@@ -114,3 +114,18 @@ def test_validation_labels(spark):
     got = {r.item_id: r.label for r in project_validation_labels(valid, train).collect()}
     assert got == {0: "0", 1: "1", 2: "1"}
     assert project_validation_labels(valid, train, mode="drop").count() == 2
+
+
+def test_parts_numbered_alike_stay_apart(spark):
+    def part(n):
+        return spark.createDataFrame([(i, f"t{i}", str(i % 2)) for i in range(n)], "item_id long, text string, label string")
+
+    splits = sampling.prepare_raw_splits(part(6), part(4), part(3), dev_size=4, n_classes=2)
+    rows = splits.collect()
+    assert len(rows) == 13 == len({r.item_id for r in rows})
+    assert {(r.old_split, r.old_id) for r in rows} == {(s, i) for s, n in (("train", 6), ("valid", 4), ("test", 3)) for i in range(n)}
+    sampling.require_unique_ids(splits)
+    with pytest.raises(ValueError):
+        sampling.require_unique_ids(part(3).unionByName(part(2)))
+    with pytest.raises(ValueError):
+        sampling.prepare_raw_splits(part(6), part(4), part(3), dev_size=4, n_classes=3)

@@ -23,6 +23,8 @@ def test_keyed_json_file(spark, tmp_path):
         path.write_text(json.dumps(objects, indent=indent), encoding="utf-8")
         rows = readers.read_keyed_json(spark, str(path), pretty_printed=indent is not None).collect()
         assert {r.item_id: (r.text, r.label, r.weak_labels) for r in rows} == want
+    with pytest.raises(Exception, match="not a keyed JSON object"):
+        readers.read_keyed_json(spark, str(tmp_path / "split2.json")).collect()
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         readers.read_keyed_json(spark, str(tmp_path / "missing.json")).collect()
 
@@ -95,6 +97,18 @@ def test_accumulate_cap_and_dedup(spark):
         criteria.cap_new(old, new, 1)
     answer = spark.createDataFrame([('ok {"unique_criteria": ["n3", "a", "zz"]}',)], "content string")
     assert sorted(r.criterion for r in criteria.keep_unique(criteria.accumulate(old, new), answer).collect()) == ["a", "n3"]
+    raw_break = spark.createDataFrame([('{"unique_criteria": ["n3"], "why": "a\tb\nc"}',)], "content string")
+    assert [r.criterion for r in criteria.keep_unique(new, raw_break).collect()] == ["n3"]
+    for broken in ('{"unique_criteria": ["n3"', "nothing", None):
+        unread = spark.createDataFrame([(broken,)], "content string")
+        assert criteria.keep_unique(new, unread).count() == new.count()
+
+
+def test_malformed_criteria_line_raises(spark):
+    lines = spark.createDataFrame([(0, '{"criterion": "a", "description": "b", "class": 1}'), (1, " "), (2, "{broken")], "ord long, value string")
+    assert readers.parse_criteria(lines.filter("ord < 2"), F.col("ord")).count() == 1
+    with pytest.raises(Exception, match="broken"):
+        readers.parse_criteria(lines, F.col("ord")).collect()
 
 
 def test_generated_criteria(spark):
