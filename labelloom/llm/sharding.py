@@ -92,10 +92,11 @@ def propagate(state: DataFrame, quota: dict[int, int], round_no: int) -> DataFra
     able = (F.col("shard") >= 0) & ((looked_up(room, F.col("shard")) >= fair) | (rest == 0))
     pull = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
     best = F.max(F.when(able, pull)).over(of_group)
-    # documents without a place of a group none of whose shards has room ask at one that has
+    # of a group none of whose shards has room, documents without a place ask at one that has; a small group moves whole
     other = F.get(F.array(*map(F.lit, free)).cast("array<int>"), F.pmod(F.xxhash64("group", F.lit(round_no)), F.lit(max(len(free), 1))).cast("int"))
     # nobody leaves a shard for one that holds less of the group
-    goal = F.when(F.col("shard") < 0, F.coalesce(best["shard"], other)).when(F.col("n") <= best["n"], best["shard"])
+    stuck = best.isNull() & (rest > 0) & (16 * F.col("whole") <= looked_up(quota, F.lit(0)))
+    goal = F.when((F.col("shard") < 0) | stuck, F.coalesce(best["shard"], other)).when(F.col("n") <= best["n"], best["shard"])
     moves = stored(seen.withColumn("goal", goal), "shard-wishes")
     asked = (
         moves.filter("goal IS NOT NULL AND shard <> goal")
