@@ -47,7 +47,8 @@ LOOKS = {
 }
 GAPS = " .-_*~'"
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]*(?:[^\W\d_][0-9@$!|+€£*#%.\-_~']+[^\W\d_]|[0-9@$!|+€£][^\W\d_]{2})|([^\W\d_])\1\1")
+THRICE = re.compile(r"(.)\1\1")
+DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£*#%.\-_~']+[^\W\d_]|[0-9@$!|+€£][^\W\d_]{2}|([^\W\d_])\1\1")
 # Cheap to look for, and part of every run of lone letters between blanks.
 LONE = re.compile(r" .[.\-_*~]? .[.\-_*~]? .[.\-_*~]? ")
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_*~]? ){3,}[^\W\d_](?![^\W_])")
@@ -139,7 +140,7 @@ class CharModel:
 def readings(token: str, model: CharModel) -> list[str]:
     """The plain words that a lower-cased token may hold."""
     core = token.strip(EDGE)
-    if core.isalpha() and not DISGUISED.search(core):
+    if core.isalpha() and not THRICE.search(core):
         return [core]
     if not core or len(core) > LONGEST_TOKEN:
         return WORD.findall(core)
