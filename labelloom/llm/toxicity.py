@@ -140,7 +140,7 @@ class CharModel:
 def readings(token: str, model: CharModel) -> list[str]:
     """The plain words that a lower-cased token may hold."""
     core = token.strip(EDGE)
-    if core.isalpha() and not THRICE.search(core):
+    if core.isalpha() and token[0] not in "$@!|+" and not THRICE.search(core):
         return [core]
     if not core or len(core) > LONGEST_TOKEN:
         return WORD.findall(core)
