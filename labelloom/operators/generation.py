@@ -183,8 +183,15 @@ def _existing_text(existing: DataFrame | None) -> str | None:
 
 
 def dedup_request(criteria: DataFrame) -> DataFrame:
-    """The request that asks a model which criteria say something of their own."""
-    listed = _existing_text(criteria) or "[]"
+    """The request that asks a model which criteria say something of their own.
+
+    The whole list is sent, in order, with classes and with names that occur more than once.
+    """
+    rows = rows_within(criteria.orderBy("ord"), MAX_PLANNED_CRITERIA)
+    if rows is None:
+        raise ValueError("too many criteria for a prompt")
+    fields = [f for f in ("criterion", "description", "class") if f in criteria.columns]
+    listed = json.dumps([{f: r[f] for f in fields} for r in rows], ensure_ascii=False, indent=2)
     text = (
         "Some of the criteria below say the same. Answer with a JSON object "
         '{"unique_criteria": [names]} that names each distinct criterion once.\n\n## Criteria\n' + listed

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from labelloom.operators.labeling import request_chunk_text
 from labelloom.plans.catalog import (
     BALANCED_SIZE,
     CONFIDENCE,
@@ -239,12 +238,6 @@ judged AS (
   FROM gold g JOIN mv m USING (item_id) JOIN documents d ON d.doc_id = g.item_id)"""
 
 
-def _request_values() -> str:
-    rows = [(n, d) for n, d, _ in LANGUAGE_CRITERIA]
-    chunks = [rows[i : i + CRITERIA_PER_REQUEST] for i in range(0, len(rows), CRITERIA_PER_REQUEST)]
-    return ", ".join(f"({i}, {quoted(request_chunk_text(c, 'Short prose.'))})" for i, c in enumerate(chunks))
-
-
 _FLAG = """
 CASE source WHEN 'src2' THEN 0 WHEN 'src5' THEN 1 WHEN 'src6' THEN 1 WHEN 'src7' THEN 1 ELSE n_chars END"""
 
@@ -362,9 +355,17 @@ FROM documents d LEFT JOIN votes v ON v.item_id = d.doc_id GROUP BY d.doc_id""",
     "vote_matrix_json": f"""{WITH_VOTES}
 SELECT '{{' || string_agg('"' || c.criterion || '":' || coalesce(v.class_idx, -1), ',' ORDER BY c.ord) || '}}' AS value
 FROM documents d CROSS JOIN crit c LEFT JOIN votes v ON v.item_id = d.doc_id AND v.ord = c.ord GROUP BY d.doc_id""",
-    "lf_request_chunks": f"""
+    "lf_request_chunks": f"""WITH crit(ord, criterion, description, class) AS (VALUES {_RULES}),
+c AS (
+  SELECT CAST(ord // {CRITERIA_PER_REQUEST} AS INTEGER) AS chunk,
+    '## Domain' || chr(10) || 'Short prose.' || chr(10) || chr(10)
+    || 'Decide which of the criteria below hold for the text you are given. Answer with a JSON object with the keys '
+    || '"thoughts" (your reasoning) and "found_criteria" (names of the criteria that hold).'
+    || chr(10) || chr(10) || '## Criteria' || chr(10)
+    || string_agg('- ' || criterion || ': ' || description, chr(10) ORDER BY ord) AS prompt
+  FROM crit GROUP BY ord // {CRITERIA_PER_REQUEST})
 SELECT doc_id AS item_id, c.chunk, md5(c.prompt) AS prompt_md5, CAST(length(text) AS INTEGER) AS n_chars
-FROM documents CROSS JOIN (VALUES {_request_values()}) c(chunk, prompt)""",
+FROM documents CROSS JOIN c""",
     "lf_response_verdicts": _RESPONSES,
     "lf_summary": f"""{WITH_VOTES}, {_SUMMARY}
 SELECT criterion, polarity, round(coverage, 6) AS coverage, round("overlaps", 6) AS "overlaps",

@@ -82,7 +82,9 @@ def test_generation_requests(spark):
     assert "already covered" not in bare and "Existing" not in bare and "Domain" not in bare
     with pytest.raises(ValueError):
         generation.generation_requests(judged, "demo", max_chars=10)
-    assert '"old": "x+y"' in generation.dedup_request(existing).first().prompt
+    twice = existing.union(existing.selectExpr("1", "criterion", "'z'"))
+    listed = [{"criterion": "old", "description": "x+y"}, {"criterion": "old", "description": "z"}]
+    assert json.dumps(listed, indent=2) in generation.dedup_request(twice).first().prompt
 
 
 def test_stream_equals_batch_and_resumes(spark, small_tables, tmp_path):
