@@ -31,6 +31,8 @@ from labelloom.llm.groups import blocked, components, spanning, whole_groups
 WINDOW = 128
 BLOCK = 2048
 KEY_BITS = 64
+# For pairs that the ends of partitions keep apart.
+SPARE_PASSES = 2
 
 
 def passes_needed(vectors: int, threshold: float, recall: float, window: int = WINDOW) -> int:
@@ -38,7 +40,7 @@ def passes_needed(vectors: int, threshold: float, recall: float, window: int = W
     when they agree in as many leading signs as it takes to cut the table down to a window."""
     agree = 1 - math.acos(threshold) / math.pi
     meet = agree ** math.log2(max(vectors / window, 1.0))
-    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
+    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet)) + SPARE_PASSES
 
 
 def usable(vector) -> np.ndarray | None:
@@ -99,7 +101,7 @@ def pass_keys(classes: DataFrame, passes: int) -> DataFrame:
     return classes.mapInArrow(keyed, "pass int, key long, node long, half binary")
 
 
-def window_edges(keys: DataFrame, threshold: float, window: int) -> DataFrame:
+def window_edges(keys: DataFrame, rows: int, threshold: float, window: int) -> DataFrame:
     """Spanning edges (a, b) of the pairs that windows of neighbours hold; half precision errs by less than 0.002."""
     limit = threshold - 0.002
 
@@ -126,8 +128,10 @@ def window_edges(keys: DataFrame, threshold: float, window: int) -> DataFrame:
             b = np.concatenate(right) if right else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    parts = keys.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ordered = keys.repartitionByRange(int(parts), "pass", "key").sortWithinPartitions("pass", "key", "node")
+    # windows end at a partition's end: a small table takes fewer partitions, of many windows each
+    most = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, rows // (64 * window)))
+    ordered = keys.repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "node")
     return ordered.mapInArrow(slid, "a long, b long").distinct()
 
 
@@ -180,9 +184,10 @@ def near_vectors(
         .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")),
         "vector-classes",
     )
-    passes = passes_needed(classes.count(), threshold, recall, window)
-    # a stage's tasks should hold many windows: keys are cheap, so a file's worth of vectors makes one task
-    edges = stored(window_edges(pass_keys(classes.select("node", "vector"), passes), threshold, window), "vector-edges")
+    n = classes.count()
+    passes = passes_needed(n, threshold, recall, window)
+    keys = pass_keys(classes.select("node", "vector"), passes)
+    edges = stored(window_edges(keys, n * passes, threshold, window), "vector-edges")
     near = components(edges, "near-vectors")
     members = stored(near.join(classes, "node").select("component", "node", "copies", "vector"), "vector-members")
     found = verified(members, threshold)

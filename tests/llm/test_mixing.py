@@ -34,8 +34,9 @@ def test_odd_rows_keep_the_limits(odd):
         assert target[s] <= 3 * size[s] + 1e-6 and taken[s] <= target[s] + 1e-6
 
 
-def test_sources_come_near_their_targets(documents):
-    rows = mixing.mix(documents).collect()
+def test_sources_come_near_their_targets(spark):
+    # fifty documents a source
+    rows = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
     taken, target = defaultdict(int), {}
     for r in rows:
         taken[r.source] += r.taken
