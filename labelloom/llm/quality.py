@@ -120,11 +120,21 @@ def features() -> dict[str, Column]:
     }
 
 
+def bin_name(feature: str) -> str:
+    return "bin_" + feature.replace(" ", "_")
+
+
 @dataclass(frozen=True)
 class Condition:
     feature: str
     above: bool
     limit: float
+    place: int = 0  # of the limit among its feature's cuts
+
+    def on_bins(self) -> Column:
+        """The same over interval numbers: a value lies above cut k when its interval's number does."""
+        number = F.col(bin_name(self.feature))
+        return number > self.place if self.above else number <= self.place
 
     def column(self) -> Column:
         value = features()[self.feature]
@@ -144,13 +154,21 @@ def all_of(rule: Rule) -> Column:
     return out
 
 
-def any_of(rules: list[Rule]) -> Column:
-    out = F.lit(False)
-    for r in rules:
-        out = out | all_of(r)
+def covers(rule: Rule) -> Column:
+    out = F.lit(True)
+    for c in rule:
+        out = out & c.on_bins()
     return out
 
 
+def binned(labelled: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """(bad, grow) and for each feature the number of cuts that a row's value exceeds."""
+    numbers = [
+        sum(((features()[name] > x).cast("int") for x in cuts[name]), F.lit(0)).alias(bin_name(name)) for name in cuts
+    ]
+    return labelled.select("bad", "grow", *numbers)
+
+
 def gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
     """FOIL's gain of a narrower rule."""
     if not bad:
@@ -159,17 +177,8 @@ def gain(bad: int, good: int, bad_before: int, good_before: int) -> float:
 
 
 def best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, int, int] | None:
-    """The condition with the highest gain over ``rows(bad, features)``, with the rows it leaves."""
-    bins = [
-        F.struct(
-            F.lit(name).alias("name"),
-            sum((features()[name] > x).cast("int") for x in cuts[name]).alias("bin"),
-        )
-        for name in cuts
-        if cuts[name]
-    ]
-    if not bins:
-        return None
+    """The condition with the highest gain over binned rows, with the rows it leaves."""
+    bins = [F.struct(F.lit(name).alias("name"), F.col(bin_name(name)).alias("bin")) for name in cuts]
     counts = rows.select("bad", F.inline(F.array(*bins))).groupBy("name", "bin").agg(
         F.sum("bad").alias("bad"), F.count("*").alias("n")
     )
@@ -187,18 +196,18 @@ def best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condi
             for above, (bad, good) in ((False, low), (True, [bad_all - low[0], good_all - low[1]])):
                 worth = gain(bad, good, bad_all, good_all)
                 if worth > best[0]:
-                    best = (worth, (Condition(name, above, limit), bad, good))
+                    best = (worth, (Condition(name, above, limit, k), bad, good))
     return best[1]
 
 
 def learn(labelled: DataFrame, cuts: dict[str, list[float]]) -> list[Rule]:
     """The decision list for ``labelled(bad, grow, statistics)``: rules for bad texts, in order."""
     rules: list[Rule] = []
+    rows = left = stored(binned(labelled, cuts), "quality-bins")
     while len(rules) < MOST_RULES:
-        left = labelled.filter(~any_of(rules))
         rule: Rule = ()
         while len(rule) < MOST_CONDITIONS:
-            found = best_condition(left.filter("grow").filter(all_of(rule)), cuts)
+            found = best_condition(left.filter("grow").filter(covers(rule)), cuts)
             if found is None:
                 break
             rule += (found[0],)
@@ -209,7 +218,7 @@ def learn(labelled: DataFrame, cuts: dict[str, list[float]]) -> list[Rule]:
         # pruning: the beginning of the rule that does best where it wasn't grown
         sums = []
         for k in range(1, len(rule) + 1):
-            hit = all_of(rule[:k]).cast("int")
+            hit = covers(rule[:k]).cast("int")
             sums += [F.sum(hit * F.col("bad")).alias(f"bad{k}"), F.sum(hit).alias(f"n{k}")]
         r = left.filter("NOT grow").agg(*sums).first()
         worth = {k: (2 * (r[f"bad{k}"] or 0) - (r[f"n{k}"] or 0)) / max(r[f"n{k}"] or 0, 1) for k in range(1, len(rule) + 1)}
@@ -218,6 +227,8 @@ def learn(labelled: DataFrame, cuts: dict[str, list[float]]) -> list[Rule]:
         if bad < LEAST_COVER or bad < LEAST_PRECISION * n:
             break
         rules.append(rule[:k])
+        left = left.filter(~covers(rule[:k]))
+    release(rows)
     return rules
 
 
