@@ -104,8 +104,11 @@ class CharModel:
         n = n.reshape(SYMBOLS * SYMBOLS, SYMBOLS)
         self.log = np.log(n / n.sum(axis=1, keepdims=True)).tolist()
 
-    def restore(self, token: str) -> str:
-        """The likeliest plain spelling of a disguised token (Viterbi over the last two symbols)."""
+    def restore(self, token: str, masks_drop: bool = True) -> str:
+        """The likeliest plain spelling of a disguised token (Viterbi over the last two symbols).
+
+        A mask may stand between letters or for one: with ``masks_drop`` false, it must stand for a letter.
+        """
         token = token[:LONGEST_TOKEN]
         beams = {(0, 0): (0.0, "")}
         for k, c in enumerate(token):
@@ -120,7 +123,7 @@ class CharModel:
             else:
                 stands = LOOKS.get(c, "")
                 options += [(x, -1.0 - math.log(len(stands))) for x in stands]
-                if c in GAPS or not stands:
+                if c in GAPS and (masks_drop or not stands) or not stands:
                     options.append(("", -1.0))
             following: dict[tuple[int, int], tuple[float, str]] = {}
             for (a, b), (score, text) in beams.items():
@@ -147,7 +150,10 @@ def readings(token: str, model: CharModel) -> list[str]:
     whole = token.strip(" \t\n\x0b\x0c\r.,;:?\"'`()[]{}<>…«»“”‘’¿¡")
     if len(whole) > LONGEST_TOKEN or not DISGUISED.search(core) and not re.fullmatch(r"[$!@|+][^\W\d_]{2,}", whole):
         return WORD.findall(core)
-    return [*dict.fromkeys([*WORD.findall(core), model.restore(core)] + ([model.restore(whole)] if whole[0] in "$@!|+" else []))]
+    found = [*WORD.findall(core), model.restore(core), model.restore(core, masks_drop=False)]
+    if whole[0] in "$@!|+":
+        found.append(model.restore(whole))
+    return [*dict.fromkeys(found)]
 
 
 def gapped(text: str, model: CharModel) -> list[str]:
