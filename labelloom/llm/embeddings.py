@@ -1,12 +1,15 @@
 """Embedding near-dedup by sorted projection passes.
 
 1. Rows with equal vectors form a class; one vector of a class goes on.
-2. In each pass a vector's key is 64 concatenated signs of random projections. Vectors are sorted by
-   (pass, key) over range partitions, and each is compared with a bounded window of neighbours. The
-   number of passes follows from the number of vectors, the window and the wanted recall.
+2. In each pass a vector's key is the concatenated signs of random projections. Vectors are sorted by
+   (pass, leading signs), and all that agree in the leading signs are compared, in blocks where they are
+   many. A pair at the threshold agrees in a sign with a probability that depends on nothing else, so the
+   number of passes follows from the number of signs and the wanted recall, however dense the table is.
+   Density decides the cost only: how many vectors agree in 0, 1, 2, ... signs is counted over all
+   vectors, and the cheapest number of signs is taken. With none, all pairs are compared.
 3. What a pass finds is sent on as a spanning forest. The forests of all passes together give
    components, and within each component all pairs are compared in double precision, in blocks. So the
-   window limits only how a group is found, never how many links its members have.
+   passes limit only how a group is found, never how many links its members have.
 
 Cases: vectors that are null, zero, empty, or hold null or non-finite components have no links.
 Vectors of different lengths aren't compared. Rows with equal vectors are linked with each other.
@@ -31,16 +34,18 @@ from labelloom.llm.groups import blocked, components, spanning, whole_groups
 WINDOW = 128
 BLOCK = 2048
 KEY_BITS = 64
-# For pairs that the ends of partitions keep apart.
-SPARE_PASSES = 2
+# Passes over all vectors that the density is counted in.
+COUNTED_PASSES = 4
+# To send a vector costs as much as to compare it with so many windows.
+SEND_WINDOWS = 16
 
 
 def passes_needed(vectors: int, threshold: float, recall: float, window: int = WINDOW) -> int:
-    """Two vectors at the threshold agree in a sign with probability 1 - angle / pi; they are neighbours
-    when they agree in as many leading signs as it takes to cut the table down to a window."""
+    """Two vectors at the threshold agree in a sign with probability 1 - angle / pi; they are compared when
+    they agree in as many leading signs as cut evenly spread vectors down to a window."""
     agree = 1 - math.acos(threshold) / math.pi
     meet = agree ** math.log2(max(vectors / window, 1.0))
-    return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet)) + SPARE_PASSES
+    return 1 if meet >= recall else math.ceil(math.log1p(-recall) / math.log1p(-meet))
 
 
 def usable(vector) -> np.ndarray | None:
@@ -75,12 +80,12 @@ def named(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(made, "vec_id long, node long, vector binary")
 
 
-def pass_keys(classes: DataFrame, passes: int) -> DataFrame:
-    """(pass, key, node, half): one row per pass, with the unit vector in half precision."""
+def pass_keys(classes: DataFrame, passes: int, signs: int) -> DataFrame:
+    """(pass, bucket, node, half): one row per pass, with the leading signs and the unit vector in half precision."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
-        weights = np.uint64(1) << np.arange(KEY_BITS - 1, -1, -1, dtype=np.uint64)
+        weights = np.uint64(1) << np.arange(signs, dtype=np.uint64)[::-1]
         for batch in batches:
             nodes = batch.column(0).to_numpy()
             units = [unit(np.frombuffer(r)) for r in batch.column(1).to_pylist()]
@@ -90,49 +95,97 @@ def pass_keys(classes: DataFrame, passes: int) -> DataFrame:
                 half = pa.array([h.tobytes() for h in x.astype(np.float16)], pa.binary())
                 for p in range(passes):
                     if (p, dims) not in planes:
-                        planes[p, dims] = projections(p, dims)
-                    signs = x @ planes[p, dims].T > 0
-                    key = (signs * weights).sum(axis=1, dtype=np.uint64) ^ np.uint64(1 << 63)
+                        planes[p, dims] = projections(p, dims)[:signs]
+                    bucket = ((x @ planes[p, dims].T > 0) * weights).sum(axis=1, dtype=np.uint64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(own), p, np.int32)), pa.array(key.view(np.int64)), pa.array(nodes[own]), half],
-                        ["pass", "key", "node", "half"],
+                        [pa.array(np.full(len(own), p, np.int32)), pa.array(bucket.view(np.int64)), pa.array(nodes[own]), half],
+                        ["pass", "bucket", "node", "half"],
                     )
 
-    return classes.mapInArrow(keyed, "pass int, key long, node long, half binary")
+    return classes.mapInArrow(keyed, "pass int, bucket long, node long, half binary")
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (pass, key): per batch and number of signs, the runs of equal leading signs at both ends of
+    the batch with their lengths, and the sum of squares of the lengths between."""
+    for batch in batches:
+        out = []
+        p, key = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        for signs in range(KEY_BITS + 1) if len(key) else ():
+            lead = key >> np.uint64(KEY_BITS - signs) if signs else np.zeros_like(key)
+            at = np.flatnonzero(np.append(True, (lead[1:] != lead[:-1]) | (p[1:] != p[:-1])))
+            n = np.diff(np.append(at, len(key)))
+            for k in {0, len(at) - 1}:
+                out.append((signs, int(p[at[k]]), int(lead[at[k] : at[k] + 1].view(np.int64)[0]), int(n[k]), 0))
+            out.append((signs, None, None, 0, int((n[1:-1] ** 2).sum())))
+        types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        names = ("signs", "pass", "lead", "n", "squares")
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(types)], names)
+
+
+def meetings(classes: DataFrame) -> dict[int, float]:
+    """For each number of leading signs: comparisons in a pass if all vectors that agree in them are compared."""
+    keys = pass_keys(classes, COUNTED_PASSES, KEY_BITS).select("pass", F.col("bucket").alias("key"))
+    ordered = keys.repartitionByRange("pass", "key").sortWithinPartitions("pass", "key")
+    whole = (
+        ordered.mapInArrow(runs, "signs int, pass int, lead long, n long, squares long")
+        .groupBy("signs", "pass", "lead")
+        .agg(F.sum(F.col("n").cast("double")).alias("n"), F.sum(F.col("squares").cast("double")).alias("squares"))
+    )
+    # one number for each number of signs
+    rows = whole.groupBy("signs").agg(F.sum(F.col("n") * F.col("n") + F.col("squares")).alias("pairs")).collect()
+    return {r.signs: r.pairs / COUNTED_PASSES for r in rows}
 
 
-def window_edges(keys: DataFrame, rows: int, threshold: float, window: int) -> DataFrame:
-    """Spanning edges (a, b) of the pairs that windows of neighbours hold; half precision errs by less than 0.002."""
+def cheapest(classes: DataFrame, n: int, threshold: float, recall: float, window: int) -> tuple[int, int, float]:
+    """(signs, passes, comparisons) of least cost among those that give the wanted recall."""
+    if n <= BLOCK:
+        return 0, 1, float(n * n)
+    sent = SEND_WINDOWS * window
+    agree = 1 - math.acos(threshold) / math.pi
+    best = None
+    for signs, pairs in sorted(meetings(classes).items()):
+        if agree**signs < 1e-6:
+            break
+        passes = passes_needed(window << signs, threshold, recall, window)
+        # a vector is sent once, and once more for every further block of its bucket
+        cost = passes * (pairs + sent * (n + pairs / BLOCK))
+        if best is None or cost < best[0]:
+            best = cost, signs, passes, passes * pairs
+    return best[1:]
+
+
+def bucket_edges(keys: DataFrame, comparisons: float, threshold: float) -> DataFrame:
+    """Spanning edges (a, b) of the pairs that buckets hold; half precision errs by less than 0.002."""
     limit = threshold - 0.002
+    order = ["pass", "bucket", "one", "two"]
 
-    def slid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_n, kept_h = np.empty(0, np.int64), []
-        for batch in batches:
-            nodes = np.concatenate([kept_n, batch.column(2).to_numpy()])
-            halves = kept_h + batch.column(3).to_pylist()
-            left, right = [], []
-            for k in range(0, len(nodes), window):
-                raw, own = halves[k : k + 2 * window], nodes[k : k + 2 * window]
-                for size in {len(r) for r in raw}:
-                    same = [i for i, r in enumerate(raw) if len(r) == size]
-                    x = np.frombuffer(b"".join(raw[i] for i in same), np.float16).reshape(len(same), -1).astype(np.float32)
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in whole_groups(batches, order):
+            left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            nodes, halves = table.column("node").to_numpy(), table.column("half").to_pylist()
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                for size in {len(r) for r in halves[s:e]}:
+                    same = [i for i in range(s, e) if len(halves[i]) == size]
+                    x = np.frombuffer(b"".join(halves[i] for i in same), np.float16).reshape(len(same), -1).astype(np.float32)
                     linked = x @ x.T >= limit
                     np.fill_diagonal(linked, False)
-                    if linked.any():
-                        ids = own[same]
-                        edges = np.array(spanning(linked), np.int64)
+                    near = np.flatnonzero(linked.any(axis=1))
+                    if len(near):
+                        edges = np.array(spanning(linked[np.ix_(near, near)]), np.int64)
+                        ids = nodes[same][near]
                         left.append(ids[edges[:, 0]])
                         right.append(ids[edges[:, 1]])
-            kept_n, kept_h = nodes[-window:], halves[-window:]
-            a = np.concatenate(left) if left else np.empty(0, np.int64)
-            b = np.concatenate(right) if right else np.empty(0, np.int64)
+            a, b = np.concatenate(left), np.concatenate(right)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    # windows end at a partition's end: a small table takes fewer partitions, of many windows each
+    sizes = keys.groupBy("pass", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    dealt = blocked(keys, sizes, ["pass", "bucket"], "node", BLOCK).select(*order, "node", "half")
+    # tasks by comparisons, not by bytes
     most = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(most, rows // (64 * window)))
-    ordered = keys.repartitionByRange(parts, "pass", "key").sortWithinPartitions("pass", "key", "node")
-    return ordered.mapInArrow(slid, "a long, b long").distinct()
+    parts = max(1, min(most, int(comparisons) >> 24))
+    ordered = dealt.repartition(parts, *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(compared, "a long, b long").distinct()
 
 
 def verified(members: DataFrame, threshold: float) -> DataFrame:
@@ -185,9 +238,9 @@ def near_vectors(
         "vector-classes",
     )
     n = classes.count()
-    passes = passes_needed(n, threshold, recall, window)
-    keys = pass_keys(classes.select("node", "vector"), passes)
-    edges = stored(window_edges(keys, n * passes, threshold, window), "vector-edges")
+    vectors = classes.select("node", "vector")
+    signs, passes, comparisons = cheapest(vectors, n, threshold, recall, window)
+    edges = stored(bucket_edges(pass_keys(vectors, passes, signs), comparisons, threshold), "vector-edges")
     near = components(edges, "near-vectors")
     members = stored(near.join(classes, "node").select("component", "node", "copies", "vector"), "vector-members")
     found = verified(members, threshold)

@@ -91,7 +91,7 @@ def components(edges: DataFrame, stem: str) -> DataFrame:
     return out
 
 
-def blocked(members: DataFrame, sizes: DataFrame, key: str, item: str, block: int) -> DataFrame:
+def blocked(members: DataFrame, sizes: DataFrame, key: str | list[str], item: str, block: int) -> DataFrame:
     """Each member of each group, once for every pair of blocks it takes part in.
 
     Groups of up to ``block`` members stay whole (block pair 0, 0). Larger ones are cut by a hash

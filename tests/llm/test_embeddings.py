@@ -68,3 +68,57 @@ def test_empty_table(spark):
 def test_passes_grow_with_the_table():
     few, many = (embeddings.passes_needed(n, 0.9, 0.999) for n in (10_000, 10_000_000))
     assert 1 == embeddings.passes_needed(100, 0.9, 0.999) < few < many
+
+
+def crowd_with_pairs(cosine, n, pairs, dims=64, seed=6):
+    """Unlinked vectors of about that cosine with each other, and ``pairs`` isolated pairs at 0.905."""
+    rng = np.random.default_rng(seed)
+
+    def unit(v):
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    mean = unit(rng.standard_normal((1, dims)))
+    away = rng.standard_normal((n, dims))
+    crowd = math.sqrt(cosine) * mean + math.sqrt(1 - cosine) * unit(away - (away @ mean.T) * mean)
+    aside = rng.standard_normal((pairs, dims))
+    u = crowd[:pairs]
+    aside = unit(aside - (aside * u).sum(axis=1, keepdims=True) * u)
+    # partners keep the crowd's share of the mean as far as a pair can
+    return np.concatenate([crowd, 0.905 * u + math.sqrt(1 - 0.905**2) * aside])
+
+
+@pytest.mark.parametrize("cosine", [0.5, 0.85])
+def test_pairs_in_a_crowd_are_found(spark, cosine):
+    n, pairs = 6000, 300
+    x = crowd_with_pairs(cosine, n, pairs)
+    rows = [(k, v, 0, None) for k, v in enumerate(x.tolist())]
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame(spark, rows)).collect()}
+    x = unit_rows(np.float32(x).astype(float))
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert (links > 0).sum() >= 2 * pairs and [got[k] for k in range(len(x))] == links.tolist()
+
+
+def unit_rows(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_recall_of_passes_does_not_depend_on_density(spark, monkeypatch):
+    passes = embeddings.passes_needed(embeddings.WINDOW << 5, 0.9, 0.999)
+    assert passes > 5
+    monkeypatch.setattr(embeddings, "BLOCK", 500)
+    monkeypatch.setattr(embeddings, "cheapest", lambda *_: (5, passes, 1e9))
+    n, pairs = 3000, 300
+    x = crowd_with_pairs(0.7, n, pairs)
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(frame(spark, [(k, v, 0, None) for k, v in enumerate(x.tolist())])).collect()}
+    assert sum(got[k] > 0 for k in range(pairs)) >= 0.99 * pairs
+
+
+def test_meetings_are_counted_over_all_vectors(spark):
+    x = crowd_with_pairs(0.7, 500, 10)
+    classes = spark.createDataFrame([(k, v.tobytes()) for k, v in enumerate(x)], "node long, vector binary").repartition(3)
+    met = embeddings.meetings(classes)
+    want = 0
+    for p in range(embeddings.COUNTED_PASSES):
+        signs = (x.astype(np.float32) @ embeddings.projections(p, 64)[:7].T > 0) @ (1 << np.arange(7))
+        want += (np.bincount(signs) ** 2).sum() / embeddings.COUNTED_PASSES
+    assert met[0] == len(x) ** 2 and met[7] == pytest.approx(want, rel=0.01) and met[64] >= len(x)
