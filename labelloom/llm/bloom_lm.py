@@ -1,10 +1,11 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 1. Tasks hash words and bigrams of the training texts and count them per chunk; Spark sums by hash.
-2. A count c >= 2 has the level floor(log2 c) // step. The filter holds a gram once per level, so a
-   count is read by asking for level 1, 2, ... until the answer is no. Grams of level 0 aren't stored.
+2. A count c has the level floor(log2 c). The filter holds a gram once per level from 0 on, so a
+   count is read by asking for level 0, 1, 2, ... until the answer is no.
    The filter is cut into parts of 128 KB by the first bits of the hash; each part is set by one task.
-   ``max_parts`` bounds what is broadcast; a corpus too big for it gets a coarser ``step``.
+   Up to ``max_parts`` parts are broadcast. A larger filter stays where it is: the different grams of each
+   64 documents are sent to their parts, and what was read there comes back to the documents.
 3. A token's probability mixes the bigram estimate with a unigram estimate, both read from the filter:
    (1 - bigram_weight) * (c(w) + 0.5) / (N + 0.5 (V + 1)) + bigram_weight * c(v, w) / c(v).
 
@@ -19,12 +20,12 @@ log10(1 / 1) = 0 a token. Texts are whole, however long. An empty table gives an
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import quoted, release, stored
@@ -33,6 +34,7 @@ PART_BYTES = 1 << 17
 LINES = PART_BYTES // 64
 BITS_PER_ENTRY = 12
 PROBES = 4
+DOCS_PER_CHUNK_BITS = 6
 COUNT_TOKENS = 400_000
 SCORE_TOKENS = 100_000
 CACHE_WORDS = 150_000
@@ -134,50 +136,96 @@ def places(h: np.ndarray, level: int, shift: int) -> tuple[np.ndarray, np.ndarra
     return line * np.uint64(64) + (bits >> np.uint64(3)), (np.uint64(1) << (bits & np.uint64(7))).astype(np.uint8)
 
 
-def read_levels(h: np.ndarray, filter_bytes: np.ndarray, shift: int) -> np.ndarray:
-    """The level of each gram: ask for 1, 2, ... until one is missing."""
-    found = np.zeros(len(h), np.int64)
-    left, level = np.arange(len(h)), 1
+def read_levels(h: np.ndarray, filter_bytes: np.ndarray, shift: int, first: int = 1, begin: int = 0) -> np.ndarray:
+    """The level of each gram: ask for ``first``, ``first`` + 1, ... until one is missing.
+
+    ``filter_bytes`` are those of the filter from byte ``begin`` on.
+    """
+    found = np.full(len(h), first - 1, np.int64)
+    left, level = np.arange(len(h)), first
     while len(left):
         at, mask = places(h[left], level, shift)
-        left = left[((filter_bytes[at] & mask) != 0).all(axis=0)]
+        left = left[((filter_bytes[at - np.uint64(begin)] & mask) != 0).all(axis=0)]
         found[left] = level
         level += 1
     return found
 
 
-def typical_count(level: np.ndarray, step: int, least: float) -> np.ndarray:
-    """A count for a level: the middle of its range on a log scale; ``least`` for level 0."""
-    return np.where(level > 0, 2.0 ** (level * step + step / 2), least)
+def typical_count(level: np.ndarray) -> np.ndarray:
+    """A count for a level: the middle of its range on a log scale; 1 for level 0, 0 for unknown grams."""
+    return np.where(level > 0, 2.0 ** (level + 0.5), level + 1.0)
 
 
-def log_filter(counts: DataFrame, per_level: dict[int, int], max_parts: int) -> tuple[np.ndarray, int, int]:
-    """The filter as bytes, the shift that gives the part of a hash, and the step of the levels."""
-    step = 1
-    while sum(k // step * n for k, n in per_level.items()) * BITS_PER_ENTRY > max_parts * PART_BYTES * 8:
-        step += 1
-    entries = sum(k // step * n for k, n in per_level.items())
-    bits = max(0, -(-entries * BITS_PER_ENTRY // (PART_BYTES * 8)) - 1).bit_length()
-    shift = 64 - bits
+def entries_of(per_level: dict[int, int], step: int, first: int) -> int:
+    return sum((k // step + 1 - first) * n for k, n in per_level.items())
+
+
+def part_bits(entries: int) -> int:
+    return max(0, -(-entries * BITS_PER_ENTRY // (PART_BYTES * 8)) - 1).bit_length()
+
+
+def part_of(bits: int) -> Column:
+    return F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def filter_parts(counts: DataFrame, bits: int, step: int, first: int) -> DataFrame:
+    """(part, bytes) of all parts that hold anything."""
 
     def built(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
         level = levels_of(table.column("n").to_numpy(), step)
         part = table.column("part")[0].as_py()
         out = np.zeros(PART_BYTES, np.uint8)
-        for k in range(1, int(level.max(initial=0)) + 1):
-            at, mask = places(h[level >= k], k, shift)
+        for k in range(first, int(level.max(initial=0)) + 1):
+            at, mask = places(h[level >= k], k, 64 - bits)
             np.bitwise_or.at(out, (at.ravel() - np.uint64(part * PART_BYTES)).astype(np.int64), mask.ravel())
         return pa.table({"part": [part], "bytes": pa.array([out.tobytes()], pa.binary())})
 
-    part = F.shiftrightunsigned("h", shift) if bits else F.lit(0).cast("long")
-    kept = counts.filter(F.col("n") >= 2**step).select("h", "n", part.alias("part"))
+    kept = counts.filter(F.col("n") >= 2 ** (step * first)).select("h", "n", part_of(bits).alias("part"))
+    return kept.groupBy("part").applyInArrow(built, "part long, bytes binary")
+
+
+def log_filter(
+    counts: DataFrame, per_level: dict[int, int], max_parts: int, first: int = 1
+) -> tuple[np.ndarray, int, int]:
+    """The filter as bytes, the shift that gives the part of a hash, and the step of the levels."""
+    step = 1
+    while entries_of(per_level, step, first) * BITS_PER_ENTRY > max_parts * PART_BYTES * 8:
+        step += 1
+    bits = part_bits(entries_of(per_level, step, first))
     # at most max_parts rows of 128 KB
-    parts = kept.groupBy("part").applyInArrow(built, "part long, bytes binary").toArrow()
+    parts = filter_parts(counts, bits, step, first).toArrow()
     whole = np.zeros(PART_BYTES << bits, np.uint8)
     for p, raw in zip(parts.column("part").to_pylist(), parts.column("bytes").to_pylist()):
         whole[p * PART_BYTES : (p + 1) * PART_BYTES] = np.frombuffer(raw, np.uint8)
-    return whole, shift, step
+    return whole, 64 - bits, step
+
+
+def levels_by_chunk(texts: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
+    """(chunk, h, level) of the different words and bigrams of each chunk of ``texts(chunk, doc_id, text)``."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            chunk = batch.column(0).to_numpy()
+            for c in np.unique(chunk):
+                part = batch.filter(pa.array(chunk == c)).select(["doc_id", "text"])
+                for _, _, tokens in chunks(rows_of(iter([part])), hashes, COUNT_TOKENS):
+                    grams = np.unique(np.concatenate([tokens, pair_hash(before(tokens), tokens)]))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(grams), c)), pa.array(grams.view(np.int64))], ["chunk", "h"]
+                    )
+
+    def answered(probes: pa.Table, part: pa.Table) -> pa.Table:
+        h = probes.column("h").to_numpy()
+        level = np.full(len(h), -1)
+        if part.num_rows and len(h):
+            own = np.frombuffer(part.column("bytes")[0].as_py(), np.uint8)
+            level = read_levels(h.view(np.uint64), own, 64 - bits, 0, part.column("part")[0].as_py() * PART_BYTES)
+        return pa.table({"chunk": probes.column("chunk"), "h": pa.array(h), "level": pa.array(level)})
+
+    probes = texts.mapInArrow(asked, "chunk long, h long").withColumn("part", part_of(bits))
+    return probes.groupBy("part").cogroup(parts.groupBy("part")).applyInArrow(answered, "chunk long, h long, level long")
 
 
 SCORED = (
@@ -198,8 +246,7 @@ def score_texts(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    # a bigram seen once has level 0: no later step asks for it
-    counts = stored(gram_counts(source, folds, fold).filter("kind = 0 OR n >= 2"), "gram-counts")
+    counts = stored(gram_counts(source, folds, fold), "gram-counts")
     words = counts.filter("kind = 0")
     log2 = F.floor(F.log2("n") + 1e-9).cast("int")
     sizes = counts.groupBy("kind", log2.alias("k")).agg(F.count("*").alias("grams"), F.sum("n").alias("tokens")).collect()
@@ -211,7 +258,9 @@ def score_texts(
     per_level: dict[int, int] = {}
     for r in sizes:
         per_level[r.k] = per_level.get(r.k, 0) + r.grams
-    whole, shift, step = log_filter(counts, per_level, max_parts)
+    bits = part_bits(entries_of(per_level, 1, 0))
+    sent = 1 << bits <= max_parts
+    whole, shift, _ = log_filter(counts, per_level, 1 << bits, 0) if sent else (None, 64 - bits, 1)
 
     # the head: all words from the lowest power of two on, from which they fit
     cut, room = 0, head_words
@@ -229,49 +278,68 @@ def score_texts(
     log_all = float(np.log10(n_train + n_words + 1))
     smooth = n_train + 0.5 * (n_words + 1)
 
+    def told(ids: list, lengths: np.ndarray, tokens: np.ndarray, level_of: Callable) -> pa.RecordBatch:
+        _, known_h, known_n = shared.value
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        at = np.minimum(np.searchsorted(known_h, tokens), max(len(known_h) - 1, 0))
+        hit = known_h[at] == tokens if len(known_h) else np.zeros(len(tokens), bool)
+        exact = np.where(hit, known_n[at] if len(known_h) else 0, 0)
+        base = np.bincount(doc, np.where(hit, np.log10(exact + 1.0) - log_all, 0.0), len(ids))
+        known = np.bincount(doc, hit, len(ids)).astype(np.int64)
+        # what the head doesn't hold: per document its words with their numbers
+        rest = np.flatnonzero(~hit)
+        keys = np.lexsort((tokens[rest], doc[rest]))
+        d, h = doc[rest][keys], tokens[rest][keys]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        starts = np.flatnonzero(new)
+        times = np.diff(np.append(starts, len(h)))
+        offsets = np.searchsorted(d[starts], np.arange(len(ids) + 1)).astype(np.int32)
+        # the model
+        previous = before(tokens)
+        count_w = typical_count(level_of(tokens))
+        first = previous == np.uint64(START)
+        count_v = np.where(first, n_starts, np.append(1.0, count_w[:-1]))
+        count_vw = typical_count(level_of(pair_hash(previous, tokens)))
+        p = (1 - bigram_weight) * (count_w + 0.5) / smooth + bigram_weight * np.minimum(count_vw / np.maximum(count_v, 1.0), 1.0)
+        score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(ids))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.int64()),
+                pa.array([is_held_out(i, folds, fold) for i in ids]),
+                pa.array(lengths.astype(np.int64)),
+                pa.array(known),
+                pa.array(base),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[starts].view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
+                pa.array(score),
+            ],
+            [x.split()[0] for x in SCORED.split(", ")],
+        )
+
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_bytes, known_h, known_n = shared.value
-        hashes = WordHashes()
-        for ids, lengths, tokens in chunks(rows_of(batches), hashes, SCORE_TOKENS):
-            doc = np.repeat(np.arange(len(ids)), lengths)
-            at = np.minimum(np.searchsorted(known_h, tokens), max(len(known_h) - 1, 0))
-            hit = known_h[at] == tokens if len(known_h) else np.zeros(len(tokens), bool)
-            exact = np.where(hit, known_n[at] if len(known_h) else 0, 0)
-            base = np.bincount(doc, np.where(hit, np.log10(exact + 1.0) - log_all, 0.0), len(ids))
-            known = np.bincount(doc, hit, len(ids)).astype(np.int64)
-            # what the head doesn't hold: per document its words with their numbers
-            rest = np.flatnonzero(~hit)
-            keys = np.lexsort((tokens[rest], doc[rest]))
-            d, h = doc[rest][keys], tokens[rest][keys]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            starts = np.flatnonzero(new)
-            times = np.diff(np.append(starts, len(h)))
-            offsets = np.searchsorted(d[starts], np.arange(len(ids) + 1)).astype(np.int32)
-            # the model
-            previous = before(tokens)
-            level_w = read_levels(tokens, filter_bytes, shift)
-            count_w = typical_count(level_w, step, 0.5)
-            first = previous == np.uint64(START)
-            count_v = np.where(first, n_starts, np.append(1.0, count_w[:-1]))
-            count_vw = typical_count(read_levels(pair_hash(previous, tokens), filter_bytes, shift), step, 0.0)
-            p = (1 - bigram_weight) * (count_w + 0.5) / smooth + bigram_weight * np.minimum(count_vw / np.maximum(count_v, 1.0), 1.0)
-            score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(ids))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([is_held_out(i, folds, fold) for i in ids]),
-                    pa.array(lengths.astype(np.int64)),
-                    pa.array(known),
-                    pa.array(base),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[starts].view(np.int64))),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(times.astype(np.int64))),
-                    pa.array(score),
-                ],
-                [x.split()[0] for x in SCORED.split(", ")],
-            )
-
-    rows = stored(source.mapInArrow(scored, SCORED).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+        filter_bytes = shared.value[0]
+        for ids, lengths, tokens in chunks(rows_of(batches), WordHashes(), SCORE_TOKENS):
+            yield told(ids, lengths, tokens, lambda h: read_levels(h, filter_bytes, shift, 0))
+
+    def scored_chunk(texts: pa.Table, levels: pa.Table) -> pa.Table:
+        h = levels.column("h").to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, level = h[order], levels.column("level").to_numpy()[order]
+        rows = rows_of(iter(texts.select(["doc_id", "text"]).to_batches()))
+        made = [
+            told(*x, lambda g: level[np.searchsorted(h, g)]) for x in chunks(rows, WordHashes(), SCORE_TOKENS)
+        ]
+        return pa.Table.from_batches(made)
+
+    if sent:
+        found = source.mapInArrow(scored, SCORED)
+    else:
+        chunk = F.shiftright(F.monotonically_increasing_id(), DOCS_PER_CHUNK_BITS)
+        texts = stored(source.select(chunk.alias("chunk"), "doc_id", "text"), "lm-texts")
+        levels = levels_by_chunk(texts, filter_parts(counts, bits, 1, 0), bits)
+        found = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(scored_chunk, SCORED)
+    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     tail = rows.select("row", F.inline(F.arrays_zip("tail_h", "tail_n"))).join(
         words.filter(F.col("n") < 2**cut).select(F.col("h").alias("tail_h"), F.col("n").alias("c")), "tail_h", "left"
     )
@@ -290,6 +358,6 @@ def score_texts(
         "score",
     )
     result = stored(out, "lm-scores")
-    release(counts, rows)
+    release(counts, rows, *([] if sent else [texts]))
     return result
 

@@ -59,3 +59,22 @@ def test_filter_returns_levels(spark):
         unknown = rng.integers(-(1 << 62), 1 << 62, 50_000).view(np.uint64)
         assert (bloom_lm.read_levels(unknown, whole, shift) > 0).mean() < 0.03
     assert step > 1
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, odd, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(bloom_lm, "LINES", 16)
+    extra = spark.createDataFrame([(1000 + k, " ".join(f"w{k * j % 701}" for j in range(60))) for k in range(200)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(extra).repartition(3)
+    one, cut = (ordered(tuple(r) for r in bloom_lm.score_texts(docs, max_parts=most).collect()) for most in (1024, 1))
+    assert len(one) == docs.count() and [r[:5] for r in one] == [r[:5] for r in cut]
+    assert [r[5:] for r in one] == [pytest.approx(r[5:], rel=1e-9) for r in cut]
+
+
+def test_a_word_seen_once_is_not_an_unknown_word(spark):
+    texts = [(k, "common words here") for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2]
+    texts[0] = (texts[0][0], "common words here seldom")
+    held = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    docs = spark.createDataFrame(texts + [(held[0], "seldom"), (held[1], "unheard")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in bloom_lm.score_texts(docs).collect()}
+    assert score[held[0]] > score[held[1]] + 0.3
