@@ -2,7 +2,7 @@
 
 1. A character trigram model (28 symbols, so at most 21,952 counts) is counted over all texts.
 2. Tokens that look disguised (digits or signs among letters, a letter three times in a row, letters
-   with gaps between them) become a lattice of what each sign may stand for. Viterbi finds the reading
+   or signs with gaps of one or two separators between them) become a lattice of what each sign may stand for. Viterbi finds the reading
    with the best product of channel and character probabilities.
 3. Evidence: words, and word beginnings of 4 to 6 letters, that toxic texts of a labelled sample hold
    significantly more often than the others. Near copies count once there. A logistic curve over the
@@ -49,9 +49,13 @@ GAPS = " .-_*~'"
 WORD = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£*#%.\-_~']+[^\W\d_]|[0-9@$!|+€£][^\W\d_]{2}|([^\W\d_])\1\1")
-# Cheap to look for, and part of every run of lone letters between blanks.
-LONE = re.compile(r" .[.\-_*~]? .[.\-_*~]? .[.\-_*~]? ")
-SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][.\-_*~]? ){3,}[^\W\d_](?![^\W_])")
+# Four or more lone letters, or signs for letters, one or two separators apart. Nothing is tried twice, as
+# a character once taken isn't given back.
+LONE = r"(?:[^\W\d_]|[0-9@$!|+€£#%*])(?![^\W_])"
+SPACED = re.compile(rf"(?<![^\W_]){LONE}(?>[ .\-_*~]{{1,2}}{LONE}){{3,}}+")
+# Cheap to look for: the two characters within each such run, which have separators on both sides.
+WITHIN = re.compile(r"[ .\-_*~]\S[ .\-_*~]{1,2}\S[ .\-_*~]")
+
 
 
 def symbol(c: str) -> int:
@@ -157,13 +161,17 @@ def readings(token: str, model: CharModel) -> list[str]:
 
 
 def gapped(text: str, model: CharModel) -> list[str]:
-    """Words spelled with gaps: each run of lone letters, read from each of its letters on."""
+    """Words spelled with gaps: each run of lone letters and signs, read from each of its letters on."""
     out = []
-    if not LONE.search(f" {text} "):
+    if not WITHIN.search(text):
         return out
     for run in SPACED.findall(text):
-        joined = model.restore(re.sub(r"[ .\-_*~]", "", run)[:LONGEST_TOKEN])
-        out += [joined[k:] for k in range(max(1, len(joined) - 3))]
+        lone = re.sub(r"[ .\-_~]", "", run)[:LONGEST_TOKEN]
+        if sum(map(str.isalpha, lone)) < 2:
+            continue
+        found = [model.restore(lone)] + ([model.restore(lone, masks_drop=False)] if "*" in lone else [])
+        for joined in dict.fromkeys(found):
+            out += [joined[k:] for k in range(max(1, len(joined) - 3))]
     return out
 
 

@@ -24,6 +24,21 @@ def test_gaps_and_plain_words(model):
     assert toxicity.readings("ordinary,", model) == ["ordinary"] and toxicity.readings("&&&", model) == []
 
 
+@pytest.mark.parametrize(
+    "text, plain",
+    [
+        ("an  i  d  i  o  t  he is", "idiot"), ("an i d-i o t he is", "idiot"), ("so\ns c u m\nhe is", "scum"), ('he said "s c u m"', "scum"),
+        ("(s c u m)", "scum"), ("an i d 1 o t he is", "idiot"), ("an i.d. i.o.t he is", "idiot"), ("m 0 r 0 n", "moron"), ("s t * p i d", "stupid"),
+    ],
+)
+def test_gaps_of_all_forms(model, text, plain):
+    assert plain in toxicity.gapped(text, model)
+
+
+def test_numbers_and_rules_are_no_words(model):
+    assert toxicity.gapped("1 2 3 4 5 6 and " + "* " * 50_000 + "*" * 50_000 + "x", model) == []
+
+
 def test_held_out_labels_are_predicted(spark, small_tables):
     tables = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
