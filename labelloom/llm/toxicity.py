@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,7 +39,8 @@ from labelloom.llm.common import quoted, release, stored
 SYMBOLS = 28  # 0: not a letter, 1 to 26: a to z, 27: other letters
 SAMPLE_ROWS = 20_000
 CACHE_WORDS = 400_000
-LONGEST_TOKEN = 40
+# Longer tokens are read in pieces of about this length that overlap.
+PIECE = 40
 EDGE = " \t\n\x0b\x0c\r.,;:!?\"'`()[]{}<>%&#*|$-_~=/\\…«»“”‘’¿¡"
 # What a sign may stand for between letters.
 LOOKS = {
@@ -48,6 +50,8 @@ LOOKS = {
 GAPS = " .-_*~'"
 WORD = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
+REPEATED = re.compile(r"([^\W\d_])\1{3,}")
+CHAIN = re.compile(r"[^\w@$!|+€£*#%]+|_+")
 DISGUISED = re.compile(r"[^\W\d_][0-9@$!|+€£*#%.\-_~']+[^\W\d_]|[0-9@$!|+€£][^\W\d_]{2}|([^\W\d_])\1\1")
 # Four or more lone letters, or signs for letters, one or two separators apart. Nothing is tried twice, as
 # a character once taken isn't given back.
@@ -111,10 +115,9 @@ class CharModel:
     def restore(self, token: str, masks_drop: bool = True) -> str:
         """The likeliest plain spelling of a disguised token (Viterbi over the last two symbols).
 
-        A mask may stand between letters or for one: with ``masks_drop`` false, it must stand for a letter.
+        Letters point back at what stands before them, so the work grows with the length. A mask may stand between letters or for one: with ``masks_drop`` false, it must stand for a letter.
         """
-        token = token[:LONGEST_TOKEN]
-        beams = {(0, 0): (0.0, "")}
+        beams: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None)}
         for k, c in enumerate(token):
             options = []
             if c.isalpha():
@@ -129,19 +132,36 @@ class CharModel:
                 options += [(x, -1.0 - math.log(len(stands))) for x in stands]
                 if c in GAPS and (masks_drop or not stands) or not stands:
                     options.append(("", -1.0))
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple] = {}
             for (a, b), (score, text) in beams.items():
                 for letter, cost in options:
                     if letter:
                         s = symbol(letter)
-                        key, value = (b, s), (score + cost + self.log[a * SYMBOLS + b][s], text + letter)
+                        key, value = (b, s), (score + cost + self.log[a * SYMBOLS + b][s], (text, letter))
                     else:
                         key, value = (a, b), (score + cost, text)
-                    if key not in following or value > following[key]:
+                    if key not in following or value[0] > following[key][0]:
                         following[key] = value
             beams = following
-        ends = ((score + self.log[a * SYMBOLS + b][0], text) for (a, b), (score, text) in beams.items())
-        return max(ends, default=(0.0, ""))[1]
+        best = max(beams, key=lambda k: beams[k][0] + self.log[k[0] * SYMBOLS + k[1]][0])
+        text, letters = beams[best][1], []
+        while text:
+            text, letter = text
+            letters.append(letter)
+        return "".join(reversed(letters))
+
+
+def pieces(token: str) -> list[str]:
+    """The token; of a long one, from the start of each link of its chain as many links as a piece holds.
+
+    A link that is longer stays whole, with its repeated letters shrunk.
+    """
+    if len(token) <= PIECE:
+        return [token]
+    token = REPEATED.sub(r"\1\1\1", token)
+    gaps = [m.span() for m in CHAIN.finditer(token)]
+    starts, ends = [0] + [e for _, e in gaps], [s for s, _ in gaps] + [len(token)]
+    return [token[s : ends[max(k, bisect_right(ends, s + PIECE) - 1)]] for k, s in enumerate(starts)]
 
 
 def readings(token: str, model: CharModel) -> list[str]:
@@ -149,14 +169,16 @@ def readings(token: str, model: CharModel) -> list[str]:
     core = token.strip(EDGE)
     if core.isalpha() and token[0] not in "$@!|+" and not THRICE.search(core):
         return [core]
-    if not core or len(core) > LONGEST_TOKEN:
-        return WORD.findall(core)
+    if not core:
+        return []
     whole = token.strip(" \t\n\x0b\x0c\r.,;:?\"'`()[]{}<>…«»“”‘’¿¡")
-    if len(whole) > LONGEST_TOKEN or not DISGUISED.search(core) and not re.fullmatch(r"[$!@|+][^\W\d_]{2,}", whole):
+    if not DISGUISED.search(core) and not re.fullmatch(r"[$!@|+][^\W\d_]{2,}", whole):
         return WORD.findall(core)
-    found = [*WORD.findall(core), model.restore(core), model.restore(core, masks_drop=False)]
+    found = WORD.findall(core)
+    for piece in pieces(core):
+        found += [model.restore(piece), model.restore(piece, masks_drop=False)]
     if whole[0] in "$@!|+":
-        found.append(model.restore(whole))
+        found.append(model.restore(pieces(whole)[0]))
     return [*dict.fromkeys(found)]
 
 
@@ -166,12 +188,12 @@ def gapped(text: str, model: CharModel) -> list[str]:
     if not WITHIN.search(text):
         return out
     for run in SPACED.findall(text):
-        lone = re.sub(r"[ .\-_~]", "", run)[:LONGEST_TOKEN]
+        lone = re.sub(r"[ .\-_~]", "", run)
         if sum(map(str.isalpha, lone)) < 2:
             continue
         found = [model.restore(lone)] + ([model.restore(lone, masks_drop=False)] if "*" in lone else [])
         for joined in dict.fromkeys(found):
-            out += [joined[k:] for k in range(max(1, len(joined) - 3))]
+            out += [joined[k : k + PIECE] for k in range(max(1, len(joined) - 3))]
     return out
 
 

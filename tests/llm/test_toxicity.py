@@ -39,6 +39,15 @@ def test_numbers_and_rules_are_no_words(model):
     assert toxicity.gapped("1 2 3 4 5 6 and " + "* " * 50_000 + "*" * 50_000 + "x", model) == []
 
 
+def test_long_spellings_are_read_to_their_end(model):
+    spelled = " ".join("you are without any doubt the most extraordinary idiot".replace(" ", ""))
+    assert any(w.startswith("idiot") for w in toxicity.gapped(spelled, model))
+    assert "loser" in toxicity.readings("l" + "o" * 60 + "ser", model)
+    chain = "never_seen-such.a_big_and-really.very_annoying-m0r0n.or_st*pid"
+    assert {"moron", "stupid"} <= {w[:k] for w in toxicity.readings(chain, model) for k in (5, 6)}
+    assert len(model.restore("m0r0n" * 4000)) == 20_000
+
+
 def test_held_out_labels_are_predicted(spark, small_tables):
     tables = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
