@@ -144,7 +144,15 @@ def prepare_colliding_ids(spark, sf):
     """Raw parts that are each numbered from 0, as raw files are."""
 
     def renumbered(part: DataFrame) -> DataFrame:
-        numbers = part.select("item_id").withColumn("n", F.row_number().over(W.orderBy("item_id")) - 1)
+        # rows are numbered within ranges of ids, behind the rows of the ranges before; the ranges are cut once
+        cut = part.select("item_id").repartitionByRange("item_id").withColumn("range", F.spark_partition_id())
+        cut = settled(cut)
+        before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+        offsets = cut.groupBy("range").count().select("range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
+        inner = F.row_number().over(W.partitionBy("range").orderBy("item_id"))
+        numbers = cut.withColumn("inner", inner).join(offsets, "range").select(
+            "item_id", (F.col("first") + F.col("inner") - 1).alias("n")
+        )
         return part.join(numbers, "item_id").select(
             F.col("n").cast("bigint").alias("item_id"), "label", F.col("item_id").alias("real_id")
         )

@@ -197,3 +197,16 @@ def test_write_criteria(spark):
     assert generation.CRITERIA_SCHEMA["required"] == ["criteria"]
     lfs = labeling_set(existing, ClassList(("a",)))
     assert answer_schema(lfs)["properties"]["found_criteria"]["items"]["enum"] == ["old"]
+
+
+def test_colliding_ids_are_numbered_by_ranges(spark, small_tables):
+    from labelloom.plans import catalog
+
+    df = catalog.prepare_colliding_ids(spark, small_tables)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "windowspecdefinition(item_id" not in plan
+    parts = {}
+    for r in df.collect():
+        parts.setdefault(r.old_split, []).append((r.real_id, r.old_id))
+    for rows in parts.values():
+        assert [n for _, n in sorted(rows)] == sorted(n for _, n in rows)
