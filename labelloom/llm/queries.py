@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelloom.llm import bloom_lm, embeddings, lines, mixing, ngram_join, packing, quality, secrets, sharding, toxicity
+from labelloom.llm import (
+    bloom_lm,
+    embeddings,
+    lines,
+    mixing,
+    ngram_join,
+    packing,
+    prefix_trie,
+    quality,
+    secrets,
+    sharding,
+    toxicity,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +69,10 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_texts(table(spark, sf_dir, "documents"), folds=7, fold=2)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -68,6 +84,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_bloom_lm": op10_bloom_lm,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 def mixing_sql(rounds: int = mixing.ROUNDS) -> str:
@@ -136,4 +153,43 @@ ORACLE = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id""",
+    "op12_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (
+                       PARTITION BY conv_id
+                       ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 5 AS base,
+                   xor(4294967295, list_reduce(
+                       list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+                       lambda a, x: list_reduce(
+                           list_prepend(xor(a, x), [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]),
+                           lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 9 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)),
+        r AS (
+            SELECT c.conv_id, 0 AS own, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+            UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+        l AS (
+            SELECT c.conv_id, coalesce(list({'role': r.role, 'text': r.text} ORDER BY r.own, r.pos) FILTER (WHERE r.pos IS NOT NULL), []) AS turns
+            FROM c LEFT JOIN r ON c.conv_id = r.conv_id GROUP BY c.conv_id),
+        m AS (SELECT conv_id, turns, unnest(generate_series(0, len(turns))) AS depth FROM l),
+        n AS (
+            SELECT depth, turns[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '') AS ends
+            FROM m GROUP BY depth, turns[1:depth]),
+        k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY path[1:depth - 1]),
+        w AS (
+            SELECT n.*, coalesce(k.n_children, 0) AS n_children,
+                   CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * octet_length(encode(n.path[n.depth].text)) ELSE 0 END AS worth
+            FROM n LEFT JOIN k ON n.path = k.path),
+        u AS (SELECT path, n_children, worth, unnest(generate_series(0, depth)) AS upto FROM w),
+        s AS (
+            SELECT path[1:upto] AS path, CAST(count(*) FILTER (WHERE n_children = 0) AS BIGINT) AS n_leaves,
+                   CAST(sum(worth) AS BIGINT) AS saved_tokens
+            FROM u GROUP BY path[1:upto])
+        SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens,
+               sha256(w.ends) AS ends_sha256
+        FROM w JOIN s ON w.path = s.path LEFT JOIN n p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]""",
 }
