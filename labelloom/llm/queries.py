@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelloom.llm import (
     bloom_lm,
     embeddings,
+    language,
     lines,
     mixing,
     ngram_join,
@@ -69,6 +70,10 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score_texts(table(spark, sf_dir, "documents"), folds=7, fold=2)
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predict_languages(table(spark, sf_dir, "documents"), folds=5, fold=0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_line_dedup": op9_line_dedup,
     "op10_bloom_lm": op10_bloom_lm,
+    "op11_language": op11_language,
     "op12_prefix_trie": op12_prefix_trie,
 }
 
