@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.llm import (
+    ball_search,
     bloom_lm,
     embeddings,
     language,
@@ -78,6 +79,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ball_search.search(docs, items, k=10).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -91,6 +97,7 @@ QUERIES = {
     "op10_bloom_lm": op10_bloom_lm,
     "op11_language": op11_language,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_ball_search": op13_ball_search,
 }
 
 def mixing_sql(rounds: int = mixing.ROUNDS) -> str:
@@ -198,4 +205,30 @@ ORACLE = {
         SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens,
                sha256(w.ends) AS ends_sha256
         FROM w JOIN s ON w.path = s.path LEFT JOIN n p ON w.depth > 0 AND p.path = w.path[1:w.depth - 1]""",
+    "op13_ball_search": r"""
+        WITH t AS (
+            SELECT doc_id, rn, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM (SELECT *, row_number() OVER () AS rn FROM documents)),
+        f AS (SELECT doc_id, rn, term, count(*) AS tf FROM t GROUP BY doc_id, rn, term),
+        d AS (SELECT rn, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY rn),
+        c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+        q AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM benchmark),
+        s AS (
+            SELECT q.item_id, f.rn, f.doc_id,
+                   CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * d.n * c.docs) // c.terms)))) AS BIGINT) AS score
+            FROM q JOIN f ON q.term = f.term JOIN w ON q.term = w.term JOIN d ON f.rn = d.rn, c
+            GROUP BY q.item_id, f.rn, f.doc_id),
+        r AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+            FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
