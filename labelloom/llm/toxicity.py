@@ -5,7 +5,8 @@
    or signs with gaps of one or two separators between them) become a lattice of what each sign may stand for. Viterbi finds the reading
    with the best product of channel and character probabilities.
 3. Evidence: words, and word beginnings of 4 to 6 letters, that toxic texts of a labelled sample hold
-   significantly more often than the others. Near copies count once there. A logistic curve over the
+   significantly more often than the others (Fisher's exact test, false-discovery rate of 0.05, at any number of
+   labels). Near copies count once there. A logistic curve over the
    strongest evidence and the number of such words gives the score.
 
 The classifier is fitted on at most ``sample_rows`` labelled rows (those with the lowest hashes of
@@ -35,10 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.llm.common import quoted, release, stored
+from labelloom.sizing import local_frame
 
 SYMBOLS = 28  # 0: not a letter, 1 to 26: a to z, 27: other letters
 SAMPLE_ROWS = 20_000
 CACHE_WORDS = 400_000
+# A feature counts if toxic texts hold it about exp(2.5) times as often as others.
+LEAST_WEIGHT = 2.5
 # Longer tokens are read in pieces of about this length that overlap.
 PIECE = 40
 EDGE = " \t\n\x0b\x0c\r.,;:!?\"'`()[]{}<>%&#*|$-_~=/\\…«»“”‘’¿¡"
@@ -227,7 +231,35 @@ def copy_mark(text: str) -> int:
     return min(xxhash.xxh64_intdigest(g) for g in grams) - (1 << 63)
 
 
-def evidence(sample: DataFrame, model: CharModel) -> dict[str, float]:
+def upper_tails(yes: int, n: int, toxic: int, clean: int, log_fact: np.ndarray) -> tuple[float, float]:
+    """The chance that ``yes`` or more of n draws are toxic, and the least such chance that n draws can reach."""
+    x = np.arange(yes, min(n, toxic) + 1)
+    x = x[n - x <= clean]
+    choose = lambda a, b: log_fact[a] - log_fact[b] - log_fact[a - b]
+    p = np.exp(choose(toxic, x) + choose(clean, n - x) - choose(toxic + clean, n))
+    return float(min(p.sum(), 1.0)), float(p[-1])
+
+
+def telling_counts(pairs: list[tuple[int, int, int]], toxic: int, clean: int, rate: float) -> list[tuple[int, int]]:
+    """The (yes, no) of features that toxic texts hold too often for chance, by Fisher's exact test.
+
+    ``pairs`` are (yes, no, number of features). The false-discovery rate is held over those features only
+    whose counts could reach the limit at all (Tarone's bound), so words of one or two texts don't raise it.
+    """
+    log_fact = np.append(0.0, np.cumsum(np.log(np.arange(1, toxic + clean + 1))))
+    p, least = (np.array(x) for x in zip(*(upper_tails(y, y + n, toxic, clean, log_fact) for y, n, _ in pairs)))
+    count = np.array([k for _, _, k in pairs], float)
+    order = np.argsort(p)
+    found = np.cumsum(count[order])
+    by_least = np.argsort(least)
+    # ties of rounding count as reached
+    tested = np.append(0.0, np.cumsum(count[by_least]))[np.searchsorted(least[by_least], p[order] * (1 + 1e-9), "right")]
+    held = np.flatnonzero(p[order] * tested <= rate * found)
+    limit = p[order][held[-1]] if len(held) else -1.0
+    return [(y, n) for (y, n, _), x in zip(pairs, p) if x <= limit]
+
+
+def evidence(sample: DataFrame, model: CharModel, rate: float = 0.05) -> dict[str, float]:
     """Weights of the features that toxic texts hold significantly more often; near copies count once."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,15 +286,18 @@ def evidence(sample: DataFrame, model: CharModel) -> dict[str, float]:
     if total is None or not total.yes or not total.no:
         release(counts)
         return {}
-    # only what at least one in a hundred toxic texts holds, three or more: a bounded number of rows
-    least = max(3, total.yes / 100)
-    rows = counts.filter((F.col("feature") != "") & (F.col("yes") >= least)).collect()
+    # features of equal counts are equally telling, so only the different counts come here
+    words = counts.filter("feature <> '' AND yes > 0")
+    pairs = [tuple(r) for r in words.groupBy("yes", "no").count().collect()]
+    table = {}
+    for yes, no in telling_counts(pairs, total.yes, total.no, rate):
+        w = math.log((yes + 0.5) / (total.yes + 1)) - math.log((no + 0.5) / (total.no + 1))
+        if w >= LEAST_WEIGHT:
+            table[yes, no] = w
+    chosen = local_frame(sample.sparkSession, list(table), "yes long, no long")
+    rows = words.join(chosen, ["yes", "no"]).select("feature", "yes", "no").collect() if table else []
     release(counts)
-    weights = {}
-    for r in rows:
-        w = math.log((r.yes + 0.5) / (total.yes + 1)) - math.log((r.no + 0.5) / (total.no + 1))
-        if w >= 2.5 and w >= 3 * math.sqrt(1 / (r.yes + 0.5) + 1 / (r.no + 0.5)):
-            weights[r.feature] = w
+    weights = {r.feature: table[r.yes, r.no] for r in rows}
     return weights
 
 

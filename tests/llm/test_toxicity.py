@@ -77,3 +77,54 @@ def test_odd_rows_and_labels(spark, odd, empty):
     assert {r.predicted for r in none} == {0}
     kept = toxicity.drop_toxic(odd, labels.limit(0))
     assert kept.columns == odd.columns and kept.count() == odd.count()
+
+
+def test_evidence_by_an_exact_test():
+    """Tails are those of the hypergeometric distribution; the limit is that of the discrete false-discovery rule."""
+    import math
+
+    import numpy as np
+
+    toxic, clean = 11, 72
+    log_fact = np.append(0.0, np.cumsum(np.log(np.arange(1, toxic + clean + 1))))
+
+    def tail(yes, n):
+        ways = [math.comb(toxic, x) * math.comb(clean, n - x) for x in range(yes, min(n, toxic) + 1) if n - x <= clean]
+        return sum(ways) / math.comb(toxic + clean, n), ways[-1] / math.comb(toxic + clean, n)
+
+    for yes, no in ((5, 0), (3, 0), (4, 4), (1, 30), (11, 72), (2, 70)):
+        assert np.allclose(toxicity.upper_tails(yes, yes + no, toxic, clean, log_fact), tail(yes, yes + no))
+    pairs = [(5, 0, 11), (4, 0, 11), (3, 0, 12), (4, 4, 3), (2, 0, 400), (1, 0, 9000), (1, 5, 2000)]
+    told = toxicity.telling_counts(pairs, toxic, clean, 0.05)
+    kept = set()
+    for limit in sorted(tail(y, y + n)[0] for y, n, _ in pairs):
+        tested = sum(k for y, n, k in pairs if tail(y, y + n)[1] <= limit * (1 + 1e-9))
+        found = [(y, n, k) for y, n, k in pairs if tail(y, y + n)[0] <= limit * (1 + 1e-9)]
+        if limit * tested <= 0.05 * sum(k for _, _, k in found):
+            kept = {(y, n) for y, n, _ in found}
+    assert set(told) == kept and (5, 0) in kept and (1, 5) not in kept
+
+
+def test_few_and_many_labels_teach(spark):
+    """Ten toxic labels are enough, and no share of the toxic texts is asked for."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeilmnorstu") for _ in range(7)) for _ in range(3000)]
+    rows, labels = [], []
+    for k in range(100):
+        text = rng.choices(words, k=40)
+        if k < 10:
+            text[rng.randrange(40)] = ("zorkblat", "m0r0n", "moron")[k % 3] if k % 2 else "zorkblat"
+        rows.append((k, " ".join(text)))
+        labels.append((k, int(k < 10)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.score_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), folds=10**9, fold=1).collect()
+    assert sum(r.predicted for r in found if r.doc_id < 10) >= 6 and sum(r.predicted for r in found if r.doc_id >= 10) == 0
+    # one word in 8 of 2,000 toxic texts
+    rare = [(k, "zorkblat" if k < 8 else f"quux{k % 2}" if k < 2000 else rng.choice(words)) for k in range(6000)]
+    rare = [(k, f"{w} {rng.choice(words)} {rng.choice(words)}") for k, w in rare]
+    frame = spark.createDataFrame(rare, "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 2000)) for k in range(6000)], "doc_id long, toxic int")
+    scorer = toxicity.fit(frame, marks)
+    assert scorer.weights["zorkblat"] >= toxicity.LEAST_WEIGHT
