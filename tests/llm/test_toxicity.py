@@ -121,8 +121,8 @@ def test_few_and_many_labels_teach(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     found = toxicity.score_toxicity(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), folds=10**9, fold=1).collect()
     assert sum(r.predicted for r in found if r.doc_id < 10) >= 6 and sum(r.predicted for r in found if r.doc_id >= 10) == 0
-    # one word in 8 of 2,000 toxic texts
-    rare = [(k, "zorkblat" if k < 8 else f"quux{k % 2}" if k < 2000 else rng.choice(words)) for k in range(6000)]
+    # one word in 14 of 2,000 toxic texts
+    rare = [(k, "zorkblat" if k < 14 else f"quux{k % 2}" if k < 2000 else rng.choice(words)) for k in range(6000)]
     rare = [(k, f"{w} {rng.choice(words)} {rng.choice(words)}") for k, w in rare]
     frame = spark.createDataFrame(rare, "doc_id long, text string")
     marks = spark.createDataFrame([(k, int(k < 2000)) for k in range(6000)], "doc_id long, toxic int")
