@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import prompt, section
-from labelloom.operators.labeling import MAX_PLANNED_CRITERIA
 from labelloom.sizing import constant, local_frame, rows_within
 
 IDS_PER_FRAGMENT = 64
@@ -175,10 +174,7 @@ def _existing_text(existing: DataFrame | None) -> str | None:
     """Existing criteria as one JSON object, names to descriptions."""
     if existing is None:
         return None
-    rows = rows_within(existing.orderBy("ord"), MAX_PLANNED_CRITERIA)
-    if rows is None:
-        raise ValueError("too many existing criteria for a prompt")
-    named = {r.criterion: r.description for r in rows}
+    named = {r.criterion: r.description for r in existing.orderBy("ord").collect()}
     return json.dumps(named, ensure_ascii=False, indent=2) if named else None
 
 
@@ -187,9 +183,7 @@ def dedup_request(criteria: DataFrame) -> DataFrame:
 
     The whole list is sent, in order, with classes and with names that occur more than once.
     """
-    rows = rows_within(criteria.orderBy("ord"), MAX_PLANNED_CRITERIA)
-    if rows is None:
-        raise ValueError("too many criteria for a prompt")
+    rows = criteria.orderBy("ord").collect()
     fields = [f for f in ("criterion", "description", "class") if f in criteria.columns]
     listed = json.dumps([{f: r[f] for f in fields} for r in rows], ensure_ascii=False, indent=2)
     text = (

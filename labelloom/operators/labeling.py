@@ -9,9 +9,9 @@ form (item_id, criterion, class_idx) is an explode away.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -25,12 +25,17 @@ from labelloom.functions.text import (
 )
 from labelloom.operators.classes import ClassList
 from labelloom.operators.criteria import last_wins
+from labelloom.operators.rule_index import rules_that_hold
+from labelloom.session import release, stored
 from labelloom.sizing import compute_once, constant, local_frame, rows_within
 from labelloom.sources.writers import dense_row
 
 ABSTAIN = -1
-# Up to this many criteria travel inside the plan; more are joined in blocks.
-MAX_PLANNED_CRITERIA = 20_000
+# Up to this many keyword criteria are tested one by one on every text; more are looked up in an
+# index of their rarest grams. Both ways give the same verdicts.
+PLANNED_CRITERIA = 400
+# Up to this many criteria are written into the plan one by one, which spares a lookup per text.
+LITERAL_CRITERIA = 64
 # Fixed value: how many criteria one model request carries.
 CRITERIA_PER_REQUEST = 300
 
@@ -47,7 +52,7 @@ class LabelingFunction(NamedTuple):
 
 @dataclass(frozen=True)
 class LabelingSet:
-    """Numbered labeling functions of one run, small enough to travel in the plan."""
+    """Numbered labeling functions of one run."""
 
     functions: tuple[LabelingFunction, ...]
 
@@ -74,17 +79,14 @@ class LabelingSet:
         return LabelingSet(tuple(f._replace(lf=i) for i, f in enumerate(left)))
 
 
-def planned_criteria(criteria: DataFrame) -> list[Row] | None:
-    """The distinct criteria in order, or None when there are too many for a plan."""
-    rows = rows_within(last_wins(criteria), MAX_PLANNED_CRITERIA)
-    return None if rows is None else sorted(rows, key=lambda r: r.ord)
+def ordered_criteria(criteria: DataFrame) -> list[Row]:
+    """The distinct criteria in order. They are the columns of a model, so a run holds their list."""
+    return sorted(last_wins(criteria).collect(), key=lambda r: r.ord)
 
 
 def labeling_set(criteria: DataFrame, classes: ClassList) -> LabelingSet:
     """Functions of a criteria table; a class outside the list always abstains."""
-    rows = planned_criteria(criteria)
-    if rows is None:
-        raise ValueError("too many criteria for one plan: use keyword_votes_long")
+    rows = ordered_criteria(criteria)
     index = {name: i for i, name in enumerate(classes.names)}
     return LabelingSet(
         tuple(
@@ -115,10 +117,25 @@ def fired_by_keywords(text: Column, lfs: LabelingSet) -> Column:
     matcher, whatever the number of keywords: another one could lower-case differently.
     """
     described = [f for f in lfs.functions if f.description is not None]
-    rules = [{"lf": f.lf, "kws": k} for f, k in zip(described, lowered_pieces([f.description for f in described]))]
+    pieces = lowered_pieces([f.description for f in described])
+    none = F.array().cast("array<int>")
+    if not described:
+        return none
+    if len(described) <= LITERAL_CRITERIA:
+
+        def held(t: Column) -> Column:
+            rules = [F.when(all_of([F.contains(t, F.lit(k)) for k in kws]), F.lit(f.lf)) for f, kws in zip(described, pieces)]
+            return F.array_compact(F.array(*rules))
+
+        return F.when(text.isNotNull(), once(F.lower(text), held)).otherwise(none)
+    rules = [{"lf": f.lf, "kws": k} for f, k in zip(described, pieces)]
     table = constant(rules, "array<struct<lf:int,kws:array<string>>>")
-    held = once(F.lower(text), lambda t: F.filter(table, lambda rule: contains_all(t, rule["kws"])))
-    return F.when(text.isNotNull(), held["lf"]).otherwise(F.array().cast("array<int>"))
+    held_rules = once(F.lower(text), lambda t: F.filter(table, lambda rule: contains_all(t, rule["kws"])))
+    return F.when(text.isNotNull(), held_rules["lf"]).otherwise(none)
+
+
+def all_of(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
 
 
 def votes_of(fired: Column, lfs: LabelingSet) -> Column:
@@ -134,9 +151,28 @@ def _ballot(items: DataFrame, keep: tuple[str, ...], fired: Column, lfs: Labelin
     return compute_once(once_fired, "item_id", *keep, "fired", votes=votes_of(F.col("fired"), lfs))
 
 
-def keyword_ballots(items: DataFrame, lfs: LabelingSet, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ballots (item_id, kept columns, fired, votes) from one scan of the texts."""
-    return _ballot(items, keep, fired_by_keywords(F.col("text"), lfs), lfs)
+def keyword_ballots(
+    items: DataFrame, lfs: LabelingSet, keep: tuple[str, ...] = (), planned: int = PLANNED_CRITERIA
+) -> DataFrame:
+    """Ballots (item_id, kept columns, fired, votes).
+
+    Up to ``planned`` criteria are tested in one scan of the texts. More of them are looked up in an
+    index of grams, and the numbers of those that hold come back by item_id, which has to be unique.
+    """
+    if len(lfs) <= planned:
+        return _ballot(items, keep, fired_by_keywords(F.col("text"), lfs), lfs)
+    found = rules_that_hold(items, keyword_rules(lfs.frame(items.sparkSession), F.col("lf"), "lf"))
+    # an item has each function once at most
+    per_item = found.groupBy("item_id").agg(F.sort_array(F.collect_list("lf")).alias("fired"))
+    joined = items.select("item_id", *keep).join(per_item, "item_id", "left")
+    fired = F.coalesce("fired", F.array().cast("array<int>"))
+    return compute_once(joined.withColumn("fired", fired), "item_id", *keep, "fired", votes=votes_of(F.col("fired"), lfs))
+
+
+def keyword_rules(criteria: DataFrame, order: Column, *columns: str) -> DataFrame:
+    """Rules (ord, columns, kws) of criteria with a description."""
+    described = criteria.filter("description IS NOT NULL")
+    return described.select(order.cast("long").alias("ord"), *columns, keywords_of(F.col("description")).alias("kws"))
 
 
 def with_votes(fired: DataFrame, lfs: LabelingSet) -> DataFrame:
@@ -152,43 +188,22 @@ def expression_ballots(
 
 
 def keyword_votes_long(
-    items: DataFrame, criteria: DataFrame, classes: ClassList, planned: int = MAX_PLANNED_CRITERIA
+    items: DataFrame, criteria: DataFrame, classes: ClassList, planned: int = PLANNED_CRITERIA
 ) -> DataFrame:
     """Votes (item_id, criterion, class_idx) for criteria tables of any size.
 
-    Up to ``planned`` criteria go into the plan as a constant. A bigger table is cut
-    into blocks of that size; texts meet the blocks in an equi-join on (block, salt),
-    where the salt spreads the texts of a block over many tasks.
+    Up to ``planned`` criteria go into the plan. A bigger table stays a table: its rules are filed
+    under their rarest grams, see ``rule_index``. Criteria of classes outside the list never vote.
     """
-    merged = last_wins(criteria)
+    merged = stored(last_wins(criteria), "criteria")
     if rows_within(merged.select("ord"), planned) is not None:
-        lfs = labeling_set(criteria, classes)
-        return votes_long(keyword_ballots(items, lfs), lfs)
-
-    spark = items.sparkSession
-    n_blocks = math.ceil(merged.count() / planned)
-    n_salts = spark.sparkContext.defaultParallelism
-    rule = F.struct("criterion", "class", keywords_of(F.col("description")).alias("kws"))
-    blocks = (
-        merged.filter("description is not null")
-        # criteria of classes outside the list can never vote
-        .join(classes.frame(spark), F.col("class") == F.col("class_name"), "left_semi")
-        .groupBy(F.pmod(F.xxhash64("criterion"), F.lit(n_blocks)).cast("int").alias("block"))
-        .agg(F.collect_list(rule).alias("rules"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n_salts - 1))))
-    )
-    texts = items.filter("text is not null").select(
-        "item_id",
-        F.lower("text").alias("lowered"),
-        F.pmod(F.xxhash64("item_id"), F.lit(n_salts)).cast("int").alias("salt"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
-    )
-    met = texts.join(blocks, ["block", "salt"])
-    held = F.filter("rules", lambda r: contains_all(F.col("lowered"), r["kws"]))
-    fired = met.select("item_id", F.explode(held).alias("r")).select("item_id", "r.criterion", "r.class")
-    return fired.join(classes.frame(spark), F.col("class") == F.col("class_name")).select(
-        "item_id", "criterion", "class_idx"
-    )
+        lfs = labeling_set(merged, classes)
+        release(merged)
+        return votes_long(keyword_ballots(items, lfs, planned=planned), lfs)
+    voting = merged.join(classes.frame(items.sparkSession), F.col("class") == F.col("class_name"))
+    held = rules_that_hold(items, keyword_rules(voting, F.xxhash64("criterion"), "criterion", "class_idx"))
+    release(merged)
+    return held.select("item_id", "criterion", "class_idx")
 
 
 # --- criteria judged by a model ------------------------------------------------------
@@ -198,10 +213,7 @@ def request_chunks(
     criteria: DataFrame, domain_info: str | None = None, per_request: int = CRITERIA_PER_REQUEST
 ) -> list[str]:
     """Instruction texts, each covering the next ``per_request`` criteria in order."""
-    rows = planned_criteria(criteria)
-    if rows is None:
-        raise ValueError("too many criteria for model requests")
-    listed = [(r.criterion, r.description) for r in rows]
+    listed = [(r.criterion, r.description) for r in ordered_criteria(criteria)]
     return [
         request_chunk_text(listed[start : start + per_request], domain_info)
         for start in range(0, len(listed), per_request)

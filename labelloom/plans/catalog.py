@@ -23,6 +23,8 @@ from labelloom.plans.documents import (
     gold_splits,
     language_criteria,
     language_task,
+    longest_words,
+    nth_word,
     proposed_criteria,
     table,
     weak_label_quality,
@@ -32,7 +34,7 @@ from labelloom.plans.documents import (
 from labelloom.plans.experiments import next_experiment_number
 from labelloom.plans.iterate import predictions_frame
 from labelloom.session import scratch_path, settled
-from labelloom.sizing import constant
+from labelloom.sizing import compute_once, constant
 from labelloom.sources import readers, writers
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
 
@@ -207,11 +209,18 @@ def votes_long(spark, sf):
 
 
 def votes_in_blocks(spark, sf):
-    """The same votes by the way taken for criteria tables too big for a plan."""
+    """The same votes by the way taken for large criteria tables: an index of rare grams."""
     items = documents(spark, sf)
     return labeling.keyword_votes_long(items, language_criteria(spark), class_list(items), planned=5)
 
 
+def votes_many_criteria(spark, sf):
+    """Criteria that the documents themselves propose, as many as there are different first words."""
+    proposed = proposed_criteria(table(spark, sf, "documents"))
+    classes = class_list(proposed, label="class")
+    return labeling.keyword_votes_long(documents(spark, sf), proposed, classes)
+
+
 def votes_per_item(spark, sf):
     ballots, _, _ = language_task(spark, sf)
     pair = F.transform("votes", lambda v: F.concat(v["lf"].cast("string"), F.lit(":"), v["c"].cast("string")))
@@ -541,13 +550,13 @@ def criteria_dedup_unreadable(spark, sf):
 
 def criteria_ingest(spark, sf):
     docs = table(spark, sf, "documents")
-    one = F.struct(
-        word(F.col("text"), 1).alias("criterion"), F.lower(word(F.col("text"), 2)).alias("description"), F.col("lang").alias("class")
-    )
-    two = F.struct(
-        word(F.col("text"), 2).alias("criterion"), F.lower(word(F.col("text"), 3)).alias("description"), F.col("lang").alias("class")
-    )
-    object_text = F.to_json(F.struct(F.array(one, two).alias("criteria")))
+    docs = compute_once(docs, "doc_id", "source", "lang", words=F.slice(longest_words(F.col("text")), 1, 3))
+    named = [nth_word(F.col("words"), n) for n in (1, 2, 3)]
+    listed = [
+        F.struct(a.alias("criterion"), F.lower(b).alias("description"), F.col("lang").alias("class"))
+        for a, b in zip(named, named[1:])
+    ]
+    object_text = F.to_json(F.struct(F.array(*listed).alias("criteria")))
     content = F.when(F.col("source") == "src4", F.lit("{broken")).otherwise(F.concat(F.lit("```"), object_text, F.lit("```")))
     answers = docs.select(
         F.col("doc_id").alias("request_no"), content.alias("content"), (F.col("source") == "src3").alias("failed")
@@ -613,6 +622,7 @@ QUERIES: dict[str, Query] = {
     "lf_keyword_verdicts": lf_keyword_verdicts,
     "votes_long": votes_long,
     "votes_in_blocks": votes_in_blocks,
+    "votes_many_criteria": votes_many_criteria,
     "votes_per_item": votes_per_item,
     "vote_matrix_wide": vote_matrix_wide,
     "vote_matrix_json": vote_matrix_json,

@@ -10,7 +10,7 @@ from labelloom.operators.labeling import LabelingSet, keyword_ballots, labeling_
 from labelloom.operators.majority import fit_majority, predict_hard
 from labelloom.operators.metrics import macro_metrics
 from labelloom.session import settled
-from labelloom.sizing import local_frame
+from labelloom.sizing import compute_once, local_frame
 
 # Keyword criteria for the language of a document (name, keywords, class).
 LANGUAGE_CRITERIA = (
@@ -71,11 +71,20 @@ def weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro_metrics(predict_hard(ballots, lfs, model, "prior"))
 
 
-def word(text: Column, n: int) -> Column:
-    """The n-th longest of the different blank-separated words of the whole text; empty if there are fewer."""
+def longest_words(text: Column) -> Column:
+    """The different blank-separated words of the whole text, longest first."""
     words = F.array_remove(F.array_distinct(F.split(text, " ")), "")
     ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("k"), w.alias("w"))))
-    return F.coalesce(F.get(ranked, n - 1)["w"], F.lit(""))
+    return ranked["w"]
+
+
+def nth_word(words: Column, n: int) -> Column:
+    return F.coalesce(F.get(words, F.lit(n - 1)), F.lit(""))
+
+
+def word(text: Column, n: int) -> Column:
+    """The n-th longest word of the whole text; empty if there are fewer."""
+    return nth_word(longest_words(text), n)
 
 
 def proposed_criteria(docs: DataFrame) -> DataFrame:
@@ -84,10 +93,11 @@ def proposed_criteria(docs: DataFrame) -> DataFrame:
     Names repeat across documents, as they do when a model is asked again and again.
     """
     zero_padded = F.concat(F.lit("0"), F.substring("source", 4, 10))
-    return docs.select(
+    first, second = (nth_word(F.col("words"), n) for n in (1, 2))
+    return compute_once(docs, "doc_id", "source", "lang", words=F.slice(longest_words(F.col("text")), 1, 2)).select(
         F.col("doc_id").alias("ord"),
-        word(F.col("text"), 1).alias("criterion"),
-        F.concat(F.lower(word(F.col("text"), 1)), F.lit("+"), F.lower(word(F.col("text"), 2))).alias("description"),
+        first.alias("criterion"),
+        F.concat(F.lower(first), F.lit("+"), F.lower(second)).alias("description"),
         F.when(F.col("lang") == "de", F.col("lang")).otherwise(zero_padded).alias("class"),
     )
 

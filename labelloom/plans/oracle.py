@@ -344,6 +344,17 @@ FROM (SELECT doc_id AS item_id FROM documents)""",
     "lf_keyword_verdicts": _VERDICTS,
     "votes_long": _VOTES_LONG,
     "votes_in_blocks": _VOTES_LONG,
+    "votes_many_criteria": f"""WITH {PROPOSED}, {LAST_WINS},
+names AS (
+  SELECT DISTINCT coalesce(CAST(TRY_CAST(class AS BIGINT) AS VARCHAR), class) AS name FROM proposed WHERE class IS NOT NULL),
+numbered AS (
+  SELECT name, CAST(row_number() OVER (ORDER BY TRY_CAST(name AS BIGINT) IS NULL, TRY_CAST(name AS BIGINT), name) - 1 AS INTEGER) AS class_idx
+  FROM names),
+rules AS MATERIALIZED (SELECT criterion, class, string_split(lower(description), '+') AS kws FROM merged),
+texts AS MATERIALIZED (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT d.doc_id AS item_id, r.criterion, n.class_idx
+FROM texts d JOIN rules r ON contains(d.t, r.kws[1]) AND len(list_filter(r.kws, lambda k: NOT contains(d.t, k))) = 0
+JOIN numbered n ON r.class = n.name""",
     "votes_per_item": f"""{WITH_VOTES}
 SELECT d.doc_id AS item_id, count(v.item_id) AS n_votes,
   coalesce(string_agg(v.ord || ':' || v.class_idx, ',' ORDER BY v.ord), '') AS votes

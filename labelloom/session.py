@@ -59,6 +59,24 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def stored(df: DataFrame, stem: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back, until ``release`` removes it.
+
+    This cuts the lineage with files that outlive any executor, and gives later plans exact sizes.
+    """
+    path = scratch_path(df.sparkSession, stem)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in frames:
+        _delete(df.sparkSession, df._stored_at)
+
+
 @contextmanager
 def scratch_table(df: DataFrame, stem: str) -> Iterator[DataFrame]:
     """Write ``df`` once to the shared folder and read it back for the ``with`` block.
