@@ -2,29 +2,37 @@
 
 From the vote co-occurrence rates O the model finds mu[cell, y] = P(cell fires | Y = y)
 such that mu P mu' matches O off the function's own block and mu P 1 matches its
-diagonal, with a ridge towards the starting point (Ratner et al., 2019). Spark reduces
-the items to O; the descent then runs on a cells x cells matrix, whatever the row count.
+diagonal, with a ridge towards the starting point (Ratner et al., 2019).
+
+O is a sparse table that never leaves the executors. It is cut into blocks of rows of at most
+``BLOCK_NUMBERS`` numbers. All pairs that never meet enter the gradient through a classes x classes
+product, so an epoch costs one product of each block with the parameters. With one block (up to
+1,024 cells) all epochs run in one task; with more, an epoch is a job over the blocks, and only
+cells x classes numbers, the parameters themselves, travel between them and the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import once
 from labelloom.functions.vectors import first_argmax, tied_at_top
+from labelloom.operators.co_occurrence import co_occurrence
 from labelloom.operators.labeling import ABSTAIN, LabelingSet
-from labelloom.operators.posterior import PARTIAL, CellMap, cell_patterns, dense_blocks, nonzero_rows, posterior
+from labelloom.operators.posterior import CellMap, cell_patterns, posterior
+from labelloom.session import release, scratch_table, stored
 from labelloom.sizing import constant, local_frame
 
-# Cells up to which one task can hold a dense co-occurrence block (8 bytes squared).
-MAX_CELLS = 4_096
+# Numbers of a block of O as a matrix inside a task (8 MB).
+BLOCK_NUMBERS = 1 << 20
 
 # Fixed values of the estimator.
 START_PRECISION = 0.7
@@ -69,45 +77,21 @@ class LabelModel:
         return LabelModel(lfs, n_classes, mu, np.array(balance) if balance else np.full(n_classes, 1 / n_classes))
 
 
-def co_occurrence(patterns: DataFrame, n_cells: int) -> DataFrame:
-    """Items in which two cells fire together: (a, b, n), both orders and the diagonal.
-
-    Each task adds up one dense cells x cells block from its patterns and emits only the
-    non-zero sums, so neither the pairs of an item nor those of a group are ever listed.
-    """
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} cells exceed the dense block of a task ({MAX_CELLS})")
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = np.zeros((n_cells, n_cells))
-        for fired, n in dense_blocks(batches, n_cells):
-            block += fired.T @ (fired * n[:, None])
-        yield nonzero_rows(together=block)
-
-    blocks = patterns.select("cells", "n").mapInArrow(partial, PARTIAL)
-    return blocks.groupBy(F.col("i").alias("a"), F.col("j").alias("b")).agg(F.sum("value").cast("bigint").alias("n"))
-
-
 def moments(ballots: DataFrame, lfs: LabelingSet) -> DataFrame:
     """How often two functions vote on the same item: (criterion_a, criterion_b, n_both, rate).
 
-    Each pair is listed once, in function order, and each function with itself.
+    Each pair that meets is listed once, in function order, and each function with itself.
     """
     lf_patterns = ballots.groupBy(F.col("votes.lf").alias("cells")).agg(F.count("*").alias("n"))
-    # a virtual function that always fires counts the items in the same pass
-    always = len(lfs)
-    counted = co_occurrence(
-        lf_patterns.withColumn("cells", F.concat("cells", F.array(F.lit(always)))), always + 1
-    )
-    gathered = counted.filter("a <= b").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
-    n_items = F.filter("pairs", lambda p: p["a"] == always)["n"][0]
-    flat = gathered.select(n_items.alias("n_items"), F.inline("pairs")).filter(F.col("b") < always)
+    with scratch_table(lf_patterns, "patterns") as patterns:
+        n_items = patterns.agg(F.sum("n")).first()[0] or 0
+        pairs = stored(co_occurrence(patterns), "moments")
     names = constant(lfs.names, "array<string>")
-    return flat.select(
+    return pairs.select(
         F.get(names, F.col("a")).alias("criterion_a"),
         F.get(names, F.col("b")).alias("criterion_b"),
         F.col("n").alias("n_both"),
-        (F.col("n") / F.col("n_items")).alias("rate"),
+        (F.col("n") / F.lit(n_items)).alias("rate"),
     )
 
 
@@ -118,47 +102,171 @@ def fit(
     balance: list[float] | None = None,
     options: LabelModelOptions = LabelModelOptions(),
 ) -> LabelModel:
-    """Fit by full-batch Adam on the co-occurrence matrix; the balance is uniform unless given."""
+    """Fit by full-batch Adam on the co-occurrence rates; the balance is uniform unless given."""
     cell_map = CellMap(lfs, tuple(range(n_classes)))
     cells = cell_map.cells()
-    always = len(cells)
-    patterns = cell_patterns(ballots, cell_map).withColumn("cells", F.concat("cells", F.array(F.lit(always))))
-    observed = np.zeros((always + 1, always + 1))
-    for r in co_occurrence(patterns, always + 1).collect():
-        observed[r.a, r.b] = r.n
-    n_items = observed[always, always]
-    if n_items == 0:
-        raise ValueError("cannot fit a label model to no items")
-    rates = observed[:always, :always] / n_items
     p = np.array(balance) if balance else np.full(n_classes, 1 / n_classes)
-    mu = descend(rates, cells, p, options)
+    with scratch_table(cell_patterns(ballots, cell_map), "patterns") as patterns:
+        n_items = patterns.agg(F.sum("n")).first()[0]
+        if not n_items:
+            raise ValueError("cannot fit a label model to no items")
+        pairs = stored(co_occurrence(patterns), "co-occurrence")
+    # one number per cell
+    propensity = np.zeros(len(cells))
+    for r in pairs.filter("a = b").collect():
+        propensity[r.a] = r.n / n_items
+    descent = Descent.start(propensity, cells, p, options)
+    blocks = stored(moment_blocks(pairs, cells, n_items), "moment-blocks")
+    mu = descended(blocks, descent, options.epochs)
+    release(pairs, blocks)
     floor = min(MU_FLOOR, 1 / 10 ** math.ceil(math.log10(n_items)))
     mu = np.clip(mu, floor, 1 - floor)
     return LabelModel(lfs, n_classes, align_columns(mu, cells, p), p)
 
 
-def descend(rates: np.ndarray, cells: list[tuple[int, int]], p: np.ndarray, options: LabelModelOptions) -> np.ndarray:
-    """Minimise the moment mismatch. Entries of one function against itself are masked."""
-    propensity = np.diag(rates)
-    anchor = np.zeros((len(cells), len(p)))
-    for i, (_, voted) in enumerate(cells):
-        anchor[i, voted] = np.clip(propensity[i] * START_PRECISION / p[voted], 0, 1)
+# --- descent -------------------------------------------------------------------------
+
+
+@dataclass
+class Descent:
+    """Parameters on their way down, with Adam's moments.
+
+    The gradient needs of O only its product with the weighted parameters, which may come from
+    many tasks; the rest is a classes x classes product and the functions' own blocks.
+    """
+
+    mu: np.ndarray
+    anchor: np.ndarray
+    propensity: np.ndarray
+    owner: np.ndarray  # function of each cell, ascending
+    p: np.ndarray
+    options: LabelModelOptions
+    first: np.ndarray
+    second: np.ndarray
+    step: int = 0
+
+    @staticmethod
+    def start(propensity: np.ndarray, cells: list[tuple[int, int]], p: np.ndarray, options: LabelModelOptions) -> Descent:
+        owner, voted = (np.array(x, np.int64) for x in (list(zip(*cells)) or ([], [])))
+        anchor = np.zeros((len(cells), len(p)))
+        anchor[np.arange(len(cells)), voted] = np.clip(propensity * START_PRECISION / p[voted], 0, 1)
+        scale = options.start_scale
+        if scale is None:
+            scale = np.random.default_rng(options.seed).random()
+        zero = np.zeros_like(anchor)
+        return Descent(anchor * scale, anchor, propensity, owner, p, options, zero, zero)
+
+    def weighted(self) -> np.ndarray:
+        return self.mu * self.p
+
+    def own_blocks(self, weighted: np.ndarray) -> np.ndarray:
+        """(mu P mu' restricted to the cells of one function) times the weighted parameters."""
+        out = (self.mu * weighted).sum(axis=1, keepdims=True) * weighted
+        starts = np.flatnonzero(np.append(True, self.owner[1:] != self.owner[:-1]))
+        ends = np.append(starts[1:], len(self.owner))
+        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+            out[a:b] = weighted[a:b] @ (self.mu[a:b].T @ weighted[a:b])
+        return out
+
+    def move(self, together: np.ndarray) -> None:
+        """One epoch; ``together`` is O off the functions' own blocks, times the weighted parameters."""
+        o, w = self.options, self.weighted()
+        side = self.mu @ self.p - self.propensity
+        gap = together - w @ (self.mu.T @ w) + self.own_blocks(w)
+        gradient = -4 * gap + 2 * side[:, None] * self.p + 2 * o.l2**2 * (self.mu - self.anchor)
+        self.step += 1
+        self.first = 0.9 * self.first + 0.1 * gradient
+        self.second = 0.999 * self.second + 0.001 * gradient**2
+        scaled = (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8)
+        self.mu = self.mu - o.learning_rate * scaled
+
+
+def rows_per_block(n_cells: int) -> int:
+    return max(1, BLOCK_NUMBERS // max(n_cells, 1))
+
+
+def moment_blocks(pairs: DataFrame, cells: list[tuple[int, int]], n_items: int) -> DataFrame:
+    """(block, a, b, rate): the non-zero entries of some rows of O, without the functions' own blocks."""
+    spark, n, rows = pairs.sparkSession, len(cells), rows_per_block(len(cells))
     owner = np.array([lf for lf, _ in cells])
-    apart = (owner[:, None] != owner[None, :]).astype(float)
-    scale = options.start_scale
-    if scale is None:
-        scale = np.random.default_rng(options.seed).random()
-    mu = anchor * scale
-
-    first, second = np.zeros_like(mu), np.zeros_like(mu)
-    for step in range(1, options.epochs + 1):
-        gap = apart * (rates - (mu * p) @ mu.T)
-        side = mu @ p - propensity
-        gradient = -4 * gap @ (mu * p) + 2 * side[:, None] * p + 2 * options.l2**2 * (mu - anchor)
-        first = 0.9 * first + 0.1 * gradient
-        second = 0.999 * second + 0.001 * gradient**2
-        mu = mu - options.learning_rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return mu
+
+    def packed(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        a, b, count = (table.column(c).to_numpy() for c in ("a", "b", "n"))
+        # the row without cells only says that there is such a block
+        kept = a >= 0
+        kept[kept] = owner[a[kept]] != owner[b[kept]]
+        whole = lambda x, t: pa.ListArray.from_arrays(pa.array([0, kept.sum()], pa.int32()), pa.array(x[kept], t))
+        lists = [whole(a - block * rows, pa.int32()), whole(b, pa.int32()), whole(count / n_items, pa.float64())]
+        return pa.Table.from_arrays([pa.array([block], pa.int64()), *lists], ["block", "a", "b", "rate"])
+
+    both = pairs.unionByName(pairs.filter("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    placed = both.withColumn("block", F.expr(f"a div {rows}"))
+    every = spark.range(max(1, -(-n // rows))).select(
+        F.lit(-1).alias("a"), F.lit(-1).alias("b"), F.lit(0).cast("long").alias("n"), F.col("id").alias("block")
+    )
+    schema = "block long, a array<int>, b array<int>, rate array<double>"
+    return placed.unionByName(every).groupBy("block").applyInArrow(packed, schema)
+
+
+def descended(blocks: DataFrame, descent: Descent, epochs: int) -> np.ndarray:
+    """The parameters after all epochs."""
+    n, k = descent.mu.shape
+    if not n or not epochs:
+        return descent.mu
+    rows = rows_per_block(n)
+
+    def sent(block: int, values: np.ndarray) -> pa.Table:
+        at = pa.array(np.arange(len(values)) + block * rows)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * k, pa.int32()), pa.array(values.ravel()))
+        return pa.table({"cell": at, "x": lists})
+
+    def taken(table: pa.Table) -> tuple[int, np.ndarray]:
+        block = table.column("block")[0].as_py()
+        a, b, rate = (table.column(c).combine_chunks().flatten().to_numpy() for c in ("a", "b", "rate"))
+        matrix = np.zeros((min(rows, n - block * rows), n))
+        matrix[a, b] = rate
+        return block, matrix
+
+    def gathered(df: DataFrame) -> np.ndarray:
+        table, out = df.toArrow(), np.zeros((n, k))
+        if table.num_rows:
+            flat = table.column("x").combine_chunks().flatten().to_numpy()
+            out[table.column("cell").to_numpy()] = flat.reshape(-1, k)
+        return out
+
+    if rows >= n:
+
+        def all_epochs(table: pa.Table) -> pa.Table:
+            block, matrix = taken(table)
+            for _ in range(epochs):
+                descent.move(matrix @ descent.weighted())
+            return sent(block, descent.mu)
+
+        return gathered(blocks.groupBy("block").applyInArrow(all_epochs, "cell long, x array<double>"))
+
+    def product_with(shared: Broadcast) -> Callable[[pa.Table], pa.Table]:
+        def product(table: pa.Table) -> pa.Table:
+            block, matrix = taken(table)
+            return sent(block, matrix @ shared.value)
+
+        return product
+
+    for _ in range(epochs):
+        shared = blocks.sparkSession.sparkContext.broadcast(descent.weighted())
+        product = blocks.groupBy("block").applyInArrow(product_with(shared), "cell long, x array<double>")
+        descent.move(gathered(product))
+        shared.destroy()
+    return descent.mu
+
+
+def descend(rates: np.ndarray, cells: list[tuple[int, int]], p: np.ndarray, options: LabelModelOptions) -> np.ndarray:
+    """The descent on a matrix of rates at hand. Entries of one function against itself are masked."""
+    descent = Descent.start(np.diag(rates), cells, p, options)
+    off = np.where(descent.owner[:, None] != descent.owner[None, :], rates, 0.0)
+    for _ in range(options.epochs):
+        descent.move(off @ descent.weighted())
+    return descent.mu
 
 
 def align_columns(mu: np.ndarray, cells: list[tuple[int, int]], p: np.ndarray) -> np.ndarray:
@@ -168,8 +276,7 @@ def align_columns(mu: np.ndarray, cells: list[tuple[int, int]], p: np.ndarray) -
     """
     k = len(p)
     gain = np.zeros((k, k))  # gain[voted, hidden]
-    for (_, voted), row in zip(cells, mu):
-        gain[voted] += row * p
+    np.add.at(gain, [voted for _, voted in cells], mu * p)
     aligned = mu.copy()
     groups: dict[float, list[int]] = {}
     for y, share in enumerate(np.round(p, 3)):

@@ -51,6 +51,8 @@ CRITERIA_MAXIMUM = 500
 CRITERIA_PER_REQUEST = 5
 SAMPLE_SIZE = 100
 CONFIDENCE = 0.6
+# The scale that seed 0 draws for the label model's start.
+LM_START_SCALE = 0.6369616873214543
 
 
 def r6(column: Column | str) -> Column:
@@ -470,11 +472,21 @@ def lm_predict_fixed_params(spark, sf):
     return scored.select("item_id", r6(F.array_max("proba")).alias("p"), "pred")
 
 
-def lm_fit(spark, sf):
+def _label_model(spark, sf):
     task, classes, lfs = language_task(spark, sf)
     ballots = settled(with_gold(task.drop("fired"), classes))
-    model = label_model.fit(ballots, lfs, len(classes))
-    return metrics.macro_metrics(label_model.predict(ballots, model))
+    options = label_model.LabelModelOptions(start_scale=LM_START_SCALE)
+    return ballots, label_model.fit(ballots, lfs, len(classes), options=options)
+
+
+def lm_params(spark, sf):
+    _, model = _label_model(spark, sf)
+    return model.mu_frame(spark).select("criterion", "true_idx", r6("p").alias("p"))
+
+
+def lm_fit(spark, sf):
+    scores = metrics.macro_metrics(label_model.predict(*_label_model(spark, sf)))
+    return scores.select(*[r6(m).alias(m) for m in metrics.METRICS])
 
 
 # --- end models ----------------------------------------------------------------------
@@ -656,6 +668,7 @@ QUERIES: dict[str, Query] = {
     "ds_fit": ds_fit,
     "lm_moments": lm_moments,
     "lm_predict_fixed_params": lm_predict_fixed_params,
+    "lm_params": lm_params,
     "lm_fit": lm_fit,
     "endmodel_weak": endmodel_weak,
     "baseline_supervised": baseline_supervised,

@@ -8,6 +8,7 @@ from labelloom.plans.catalog import (
     CRITERIA_MAXIMUM,
     CRITERIA_PER_REQUEST,
     DEV_SIZE,
+    LM_START_SCALE,
     SAMPLE_SIZE,
     SPLIT_SEED,
     VOTE_WEIGHTS,
@@ -272,6 +273,58 @@ SELECT item_id, round(max(top), 6) AS p,
        ELSE min(c) FILTER (WHERE p = top) END AS pred
 FROM topped GROUP BY item_id"""
 
+# 1000 epochs of Adam at rate 0.001 with ridge 2, from the planted start times the scale that seed 0 draws
+_LM_PARAMS = f"""WITH RECURSIVE {WITH_VOTES.strip().removeprefix("WITH")},
+lm_size AS (SELECT CAST(count(*) AS DOUBLE) AS n, (SELECT count(*) FROM classes) AS k FROM documents),
+own AS MATERIALIZED (
+  SELECT c.ord AS i, c.criterion, coalesce(k.class_idx, 0) AS c FROM crit c LEFT JOIN classes k ON c.class = k.class_name),
+met AS MATERIALIZED (
+  SELECT a.ord AS i, b.ord AS j, count(*) / (SELECT n FROM lm_size) AS rate
+  FROM votes a JOIN votes b ON a.item_id = b.item_id GROUP BY a.ord, b.ord),
+anchored AS MATERIALIZED (
+  SELECT o.i, y.class_idx AS y, coalesce(m.rate, 0.0) AS rate, CAST(1.0 / z.k AS DOUBLE) AS p,
+    CASE WHEN y.class_idx = o.c THEN least(greatest(coalesce(m.rate, 0.0) * 0.7 * z.k, 0.0), 1.0) ELSE 0.0 END AS anchor
+  FROM own o LEFT JOIN met m ON m.i = o.i AND m.j = o.i CROSS JOIN classes y CROSS JOIN lm_size z),
+g AS (
+  SELECT 0 AS step, i, y, CAST(anchor * {LM_START_SCALE!r} AS DOUBLE) AS mu, CAST(0 AS DOUBLE) AS f, CAST(0 AS DOUBLE) AS s
+  FROM anchored
+  UNION ALL
+  SELECT step + 1, i, y, mu - 0.001 * (f / (1 - pow(0.9, step + 1))) / (sqrt(s / (1 - pow(0.999, step + 1))) + 1e-8), f, s
+  FROM (
+    SELECT step, i, y, mu, 0.9 * f + 0.1 * slope AS f, 0.999 * s + 0.001 * slope * slope AS s
+    FROM (
+      SELECT g.*, 2 * (d.mass - a.rate) * a.p + 8 * (g.mu - a.anchor) - 4 * coalesce(t.gap, 0) AS slope
+      FROM g JOIN anchored a ON a.i = g.i AND a.y = g.y
+      JOIN (SELECT g.i, sum(g.mu * x.p) AS mass FROM g JOIN anchored x ON x.i = g.i AND x.y = g.y GROUP BY g.i) d ON d.i = g.i
+      LEFT JOIN (
+        SELECT q.i, h.y, sum((coalesce(m.rate, 0) - q.model) * h.mu * x.p) AS gap
+        FROM (
+          SELECT a.i, b.i AS j, sum(a.mu * b.mu * x.p) AS model
+          FROM g a JOIN g b ON a.y = b.y AND a.i <> b.i JOIN anchored x ON x.i = a.i AND x.y = a.y GROUP BY a.i, b.i) q
+        JOIN g h ON h.i = q.j JOIN anchored x ON x.i = h.i AND x.y = h.y
+        LEFT JOIN met m ON m.i = q.i AND m.j = q.j
+        GROUP BY q.i, h.y) t ON t.i = g.i AND t.y = g.y
+      WHERE g.step < 1000))),
+fitted AS MATERIALIZED (
+  SELECT i, y, least(greatest(mu, edge), 1 - edge) AS p
+  FROM g CROSS JOIN (SELECT least(0.01, 1 / pow(10, ceil(log10(n)))) AS edge FROM lm_size) WHERE step = 1000)"""
+
+_LM_FIT = f"""{_LM_PARAMS},
+logit AS (
+  SELECT d.doc_id AS item_id, k.class_idx AS c, ln(1.0 / z.k) + coalesce(s.ll, 0) AS x
+  FROM documents d CROSS JOIN classes k CROSS JOIN lm_size z
+  LEFT JOIN (
+    SELECT v.item_id, m.y AS c, sum(ln(m.p)) AS ll FROM votes v JOIN fitted m ON m.i = v.ord GROUP BY v.item_id, m.y) s
+    ON s.item_id = d.doc_id AND s.c = k.class_idx),
+post AS (SELECT item_id, c, exp(x) / sum(exp(x)) OVER (PARTITION BY item_id) AS p FROM logit),
+topped AS (SELECT *, max(p) OVER (PARTITION BY item_id) AS top FROM post),
+picked AS (
+  SELECT item_id, CASE WHEN count(*) FILTER (WHERE abs(p - top) < 1e-5) > 1 THEN -1
+                       ELSE min(c) FILTER (WHERE p = top) END AS pred
+  FROM topped GROUP BY item_id),
+cells AS (SELECT label_idx AS label, pred, count(*) AS n FROM gold JOIN picked USING (item_id) GROUP BY label_idx, pred),
+{_scores("cells")} SELECT {_ROUNDED} FROM scores"""
+
 _SUMMARY = f"""
 stats AS (
   SELECT v.*, g.label_idx, count(*) OVER (PARTITION BY v.item_id) AS per_item
@@ -442,6 +495,9 @@ SELECT a.criterion AS criterion_a, b.criterion AS criterion_b, count(*) AS n_bot
   round(count(*) / (SELECT count(*) FROM documents), 6) AS rate
 FROM votes a JOIN votes b ON a.item_id = b.item_id AND a.ord <= b.ord GROUP BY a.criterion, b.criterion""",
     "lm_predict_fixed_params": _LM_FIXED,
+    "lm_params": f"""{_LM_PARAMS}
+SELECT o.criterion, f.y AS true_idx, round(f.p, 6) AS p FROM fitted f JOIN own o ON o.i = f.i""",
+    "lm_fit": _LM_FIT,
     "valid_label_projection": """
 WITH seen AS (SELECT DISTINCT d.source FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1)
 SELECT d.doc_id, CASE WHEN d.source IN (SELECT source FROM seen) THEN d.source ELSE 'src1' END AS label
