@@ -451,7 +451,8 @@ def ds_annotator_quality(spark, sf):
 
 def ds_fit(spark, sf):
     ballots, model = _after(spark, sf, 30)
-    return metrics.macro_metrics(dawid_skene.predict(ballots, model)).withColumn("n_iter", F.lit(model.n_iter))
+    scores = metrics.macro_metrics(dawid_skene.predict(ballots, model))
+    return scores.select(*[r6(m).alias(m) for m in metrics.METRICS], F.lit(model.n_iter).alias("n_iter"))
 
 
 # --- label model ---------------------------------------------------------------------

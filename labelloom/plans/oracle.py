@@ -188,6 +188,26 @@ def _cm(i: int, decimals: int) -> str:
     )
 
 
+def _em_until(max_iter: int, tol: float) -> str:
+    """All passes unrolled; ``stopped`` has the number of the last one, ``final`` the predictions after it."""
+    passes = "\n  UNION ALL ".join(
+        f"""SELECT {i} AS i, (SELECT sum(ln(top + 1e-10)) FROM (SELECT max(p) AS top FROM post{i} GROUP BY item_id)) AS ll,
+    (SELECT count(DISTINCT c) FROM best{i}) AS n_best"""
+        for i in range(max_iter)
+    )
+    best = ", ".join(
+        f"best{i} AS MATERIALIZED (SELECT item_id, arg_min(c, {{'p': -p, 'c': c}}) AS c FROM post{i} GROUP BY item_id)"
+        for i in range(max_iter + 1)
+    )
+    preds = "\n  UNION ALL ".join(f"SELECT {i} AS n, item_id, c AS pred FROM best{i}" for i in range(1, max_iter + 1))
+    return f"""{_em(max_iter)}, {_estep(max_iter)}, {best},
+likelihoods AS MATERIALIZED (SELECT *, lag(ll) OVER (ORDER BY i) AS earlier FROM ({passes})),
+stopped AS (
+  SELECT coalesce(min(i) FILTER (WHERE i > 5 AND n_best >= 0.1 * (SELECT kk FROM dim) AND abs(ll - earlier) < {tol}) + 1, {max_iter}) AS n
+  FROM likelihoods),
+final AS (SELECT item_id, pred FROM ({preds}) WHERE n = (SELECT n FROM stopped))"""
+
+
 # --- document-derived criteria -------------------------------------------------------
 
 def _word(n: str) -> str:
@@ -490,6 +510,9 @@ SELECT c.criterion, round(avg(m.v) FILTER (WHERE m.t = m.p), 4) AS accuracy,
   round(-sum(m.v * ln(m.v + 1e-15)) / (max(kk) * max(kk)), 4) AS entropy,
   count(*) FILTER (WHERE m.t = m.p AND m.v > 0.5) AS n_diagonal_strong
 FROM cm3 m JOIN crit c USING (ord) CROSS JOIN dim GROUP BY c.criterion""",
+    "ds_fit": f"""{_em_until(30, 1e-4)},
+cells AS (SELECT label_idx AS label, pred, count(*) AS n FROM gold JOIN final USING (item_id) GROUP BY label_idx, pred),
+{_scores("cells")} SELECT {_ROUNDED}, CAST((SELECT n FROM stopped) AS INTEGER) AS n_iter FROM scores""",
     "lm_moments": f"""{WITH_VOTES}
 SELECT a.criterion AS criterion_a, b.criterion AS criterion_b, count(*) AS n_both,
   round(count(*) / (SELECT count(*) FROM documents), 6) AS rate
