@@ -1,84 +1,140 @@
 """Seeded sampling of exact sizes, without sorting a class or the table in one task.
 
 "Random" here means ordered by an md5 of seed and id, so that a sample can be repeated.
-To take the lowest ``k`` keys of a group, rows are first counted per leading hex digits
-of the key (a map-side combined aggregate). The counts tell in which range the k-th key
-lies, and only the rows of that range are ranked to find it. Few digits are used, so
-that each task still combines its counts to a handful per group: for 10^11 rows three
-digits, and a range of some millions of short keys, which one task can sort. The sample
-is then a comparison with that key, made where the rows are. A class with a third of all
-rows is never brought together anywhere, and no text is ever shuffled.
+To take the lowest ``k`` keys of a group, nested histograms find the key that the sample ends
+with. One aggregate over the table counts each group per leading ``DIGITS`` digits of the key
+(combined before the shuffle), which gives the sizes of the groups and, for each, the bucket the
+k-th key lies in. Only the keys of those buckets are written down, and cut in the same way
+until a group's part can be ranked. The sample is then a comparison with that key, made where
+the rows are: three reads of the table, whatever its size.
+
+A row meets the limit of its group in a join whose key is the group and a salt of the row's own
+key, so a class with a third of all rows is dealt over ``SALTS`` tasks where the join is a shuffle
+at all. No text is ever shuffled, and no table is held by the driver.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import seeded_order
 from labelloom.operators.classes import require_class_count
-from labelloom.sizing import local_frame, pin_small
-
-ROWS_PER_RANGE = 25_000_000
-MAX_HEX_DIGITS = 4
+from labelloom.session import release, stored
+from labelloom.sizing import local_frame
+
+# Hex digits of the key that one level looks at, and digits of an md5.
+DIGITS = 2
+KEY_DIGITS = 32
+# Keys of one group that are ranked together.
+RANKED_ROWS = 1 << 16
+SALTS = 32
 # Fixed value: how a missing label is named as a class of its own.
 NULL_CLASS = "NaN"
 
 
-def _range_digits(n_rows: int) -> int:
-    """Leading hex digits that cut ``n_rows`` keys into ranges of bounded size."""
-    digits = math.ceil(math.log(max(n_rows / ROWS_PER_RANGE, 1), 16))
-    return min(max(digits, 1), MAX_HEX_DIGITS)
+def _bucket(key: Column, level: int) -> Column:
+    """The digits of the key that a level looks at, and those before them."""
+    return F.substring(key, 1, (level + 1) * DIGITS)
+
+
+def key_histogram(df: DataFrame, group: str, key: Column) -> DataFrame:
+    """Rows per group and leading digits of the key (group, _b, _n), stored."""
+    counted = df.groupBy(group, _bucket(key, 0).alias("_b")).agg(F.count("*").alias("_n"))
+    return stored(counted, "key-histogram")
+
+
+def group_sizes(histogram: DataFrame, group: str) -> DataFrame:
+    return histogram.groupBy(group).agg(F.sum("_n").alias("n"))
+
+
+def _boundary(histogram: DataFrame, takes: DataFrame, group: str) -> DataFrame:
+    """(group, _b, _left): the bucket in which a group's sample ends, and how many of its rows are still taken."""
+    upto = F.sum("_n").over(W.partitionBy(group).orderBy("_b"))
+    met = histogram.join(takes, group).withColumn("_upto", upto)
+    ends = met.filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left")))
+    return ends.select(group, "_b", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_left"))
+
 
+def _salted(small: DataFrame) -> DataFrame:
+    return small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
-def mark_lowest(df: DataFrame, group: str, key: Column, quotas: DataFrame, n_rows: int) -> DataFrame:
+
+def _salt(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS))
+
+
+def mark_lowest(
+    df: DataFrame, group: str, key: Column, histogram: DataFrame, quotas: DataFrame, by_content: bool = False
+) -> DataFrame:
     """Add ``chosen``: true for the ``take`` lowest keys of each group.
 
-    ``quotas(group, n, take)`` has one row per group with its size; ``key`` computes
-    distinct md5 strings.
+    ``quotas(group, n, take)`` has one row per group with its size; ``histogram`` is that of the
+    same rows and key. Where a sample ends among rows of one key (repeated or missing ids), these
+    are told apart in the same way by their content; rows that agree in everything stand for each other.
     """
-    keys = df.select(group, key.alias("_key")).withColumn("_range", F.substring("_key", 1, _range_digits(n_rows)))
-    partial = quotas.filter("take > 0 and take < n").select(group, "take")
-    running = W.partitionBy(group).orderBy("_range")
-    cut = (
-        keys.join(partial, group)
-        .groupBy(group, "_range", "take")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(running))
-        .filter((F.col("_upto") >= F.col("take")) & (F.col("_upto") - F.col("_n") < F.col("take")))
-        .select(group, "_range", (F.col("take") - F.col("_upto") + F.col("_n")).alias("_left"))
-    )
-    ranked = keys.join(pin_small(cut), [group, "_range"]).withColumn(
-        "_rank", F.row_number().over(W.partitionBy(group).orderBy("_key"))
+    quotas = stored(quotas, "quotas")
+    takes = quotas.filter("take > 0 and take < n").select(group, F.col("take").alias("_left"))
+    boundary = stored(_boundary(histogram, takes, group), "boundary")
+    salt = _salt(key)
+    keys = df.select(group, key.alias("_h"), _bucket(key, 0).alias("_b"), salt.alias("_salt"))
+    left = stored(keys.join(_salted(boundary), [group, "_b", "_salt"]).select(group, "_h", "_left"), "boundary-keys")
+    release(boundary)
+    for level in range(1, KEY_DIGITS // DIGITS):
+        rows = left.groupBy(group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if rows <= RANKED_ROWS:
+            break
+        cut = left.withColumn("_b", _bucket(F.col("_h"), level))
+        counted = cut.groupBy(group, "_b").agg(F.count("*").alias("_n"))
+        takes = left.groupBy(group).agg(F.first("_left").alias("_left"))
+        inner = _salted(_boundary(counted, takes, group))
+        finer = cut.drop("_left").withColumn("_salt", _salt(F.col("_h"))).join(inner, [group, "_b", "_salt"])
+        finer = stored(finer.select(group, "_h", "_left"), "boundary-keys")
+        release(left)
+        left = finer
+    # equal keys are one row here, however many rows share them
+    distinct = left.groupBy(group, "_h").agg(F.count("*").alias("_n"), F.first("_left").alias("_left"))
+    ranked = distinct.withColumn("_upto", F.sum("_n").over(W.partitionBy(group).orderBy("_h")))
+    last = ranked.filter((F.col("_upto") >= F.col("_left")) & (F.col("_upto") - F.col("_n") < F.col("_left"))).select(
+        group,
+        F.col("_h").alias("_last"),
+        F.col("_n").alias("_there"),
+        (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_wanted"),
+        (F.col("_left") < F.col("_upto")).alias("_split"),
     )
-    # the key the sample ends with; rows sharing one id share the key, so it may have several ranks
-    last = pin_small(
-        ranked.groupBy(group, "_left", F.col("_key").alias("_last"))
-        .agg(F.min("_rank").alias("_from"), F.max("_rank").alias("_to"))
-        .filter(F.col("_left").between(F.col("_from"), F.col("_to")))
-        .select(group, "_last", (F.col("_left") - F.col("_from") + 1).alias("_wanted"), (F.col("_left") < F.col("_to")).alias("_split"))
-    )
-    limits = pin_small(quotas.join(last, group, "left"))
-    inside = (F.col("take") >= F.col("n")) | ((F.col("take") > 0) & (key <= F.col("_last")))
-    marked = df.join(limits, group).withColumn("chosen", F.coalesce(inside, F.lit(False)))
-    helpers = ("n", "take", "_last", "_wanted", "_split")
-    if last.filter("_split").isEmpty():
-        return marked.drop(*helpers)
-    # only the few rows with the last key itself are told apart by their content
-    torn = F.coalesce(F.col("_split") & (key == F.col("_last")), F.lit(False))
-    order = W.partitionBy(group).orderBy(F.xxhash64(*df.columns))
-    told = marked.filter(torn).withColumn("chosen", F.row_number().over(order) <= F.col("_wanted"))
-    return marked.filter(~torn).unionByName(told).drop(*helpers)
+    limits = stored(quotas.join(last, group, "left"), "limits")
+    release(quotas, left)
+    inside = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & ~F.col("_split"))
+    inside = (F.col("take") >= F.col("n")) | ((F.col("take") > 0) & inside)
+    marked = df.withColumns({"_h": key, "_salt": salt}).join(_salted(limits), [group, "_salt"])
+    marked = marked.withColumn("chosen", F.coalesce(inside, F.lit(False)))
+    columns = [*df.columns, "chosen"]
+    if limits.filter("_split").isEmpty():
+        return marked.select(columns)
+    torn = F.coalesce(F.col("_split") & (F.col("_h") == F.col("_last")), F.lit(False))
+    if by_content:
+        # equal rows at the very end of a sample: any of them will do
+        order = W.partitionBy(group).orderBy("_h")
+        told = marked.filter(torn).withColumn("chosen", F.row_number().over(order) <= F.col("_wanted")).select(columns)
+    else:
+        rows = marked.filter(torn).select(df.columns)
+        content = F.md5(F.xxhash64(*df.columns).cast("string"))
+        inner = key_histogram(rows, group, content)
+        wanted = limits.filter("_split").select(group, F.col("_there").alias("n"), F.col("_wanted").alias("take"))
+        told = mark_lowest(rows, group, content, inner, wanted, by_content=True)
+        release(inner)
+    return marked.filter(~torn).select(columns).unionByName(told)
 
 
 def take_lowest(df: DataFrame, n: int, key: Column, of: int) -> DataFrame:
     """The ``n`` rows with the lowest keys among all ``of`` rows."""
     quota = local_frame(df.sparkSession, [("all", of, n)], "_all string, n bigint, take bigint")
     whole = df.withColumn("_all", F.lit("all"))
-    return mark_lowest(whole, "_all", key, quota, of).filter("chosen").drop("_all", "chosen")
+    histogram = key_histogram(whole, "_all", key)
+    marked = mark_lowest(whole, "_all", key, histogram, quota).filter("chosen").drop("_all", "chosen")
+    release(histogram)
+    return marked
 
 
 def _full_cycles(counts: DataFrame, size: int) -> tuple[int, int, int]:
@@ -107,8 +163,10 @@ def balanced_split(df: DataFrame, label: str, size: int, seed: int = 0, id_col:
     the table takes everything. ``chosen`` false marks the other side of the split.
     """
     classed = df.withColumn("_class", F.coalesce(F.col(label).cast("string"), F.lit(NULL_CLASS)))
-    counts = pin_small(classed.groupBy("_class").agg(F.count("*").alias("n")))
-    cycles, rest, n_rows = _full_cycles(counts, size)
+    key = seeded_order(seed, F.col(id_col))
+    histogram = key_histogram(classed, "_class", key)
+    counts = group_sizes(histogram, "_class")
+    cycles, rest, _ = _full_cycles(counts, size)
     last_cycle = (
         counts.filter(F.col("n") > cycles)
         .orderBy(seeded_order(seed, F.lit(cycles + 1), F.col("_class")), "_class")
@@ -118,8 +176,9 @@ def balanced_split(df: DataFrame, label: str, size: int, seed: int = 0, id_col:
     quotas = counts.join(last_cycle, "_class", "left").select(
         "_class", "n", (F.least("n", F.lit(cycles)) + F.coalesce("extra", F.lit(0))).alias("take")
     )
-    key = seeded_order(seed, F.col(id_col))
-    return mark_lowest(classed, "_class", key, pin_small(quotas), n_rows).drop("_class")
+    marked = mark_lowest(classed, "_class", key, histogram, quotas).drop("_class")
+    release(histogram)
+    return marked
 
 
 def prepare_splits(
@@ -194,8 +253,10 @@ def prepare_splits_from_valid(
 
 def holdout(df: DataFrame, share: float = 0.1, seed: int = 42, id_col: str = "item_id") -> DataFrame:
     """Add ``held_out``: true for exactly ceil(share * n) rows."""
-    n = df.count()
-    quota = local_frame(df.sparkSession, [("all", n, math.ceil(share * n))], "_all string, n bigint, take bigint")
     whole = df.withColumn("_all", F.lit("all"))
-    marked = mark_lowest(whole, "_all", seeded_order(seed, F.col(id_col)), quota, n)
+    key = seeded_order(seed, F.col(id_col))
+    histogram = key_histogram(whole, "_all", key)
+    quotas = group_sizes(histogram, "_all").withColumn("take", F.ceil(F.lit(share) * F.col("n")))
+    marked = mark_lowest(whole, "_all", key, histogram, quotas)
+    release(histogram)
     return marked.drop("_all").withColumnRenamed("chosen", "held_out")

@@ -50,8 +50,9 @@ def test_balanced_split_deals_in_cycles(spark, labels, size):
 
 
 def test_a_hot_class_is_cut_exactly(spark, monkeypatch):
-    # ranges of a few rows, as a class of billions would have ranges of a million
-    monkeypatch.setattr(sampling, "ROWS_PER_RANGE", 8)
+    # few rows are ranked together, as of a class of billions
+    monkeypatch.setattr(sampling, "RANKED_ROWS", 1)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
     labels = ["hot"] * 900 + ["b"] * 60 + ["c"] * 3
     marked = sampling.balanced_split(labelled(spark, labels), "label", 200, seed=1).filter("chosen").collect()
     assert {r.item_id for r in marked} == expected_sample(labels, 200, 1)
@@ -65,6 +66,30 @@ def test_repeated_ids_still_give_the_exact_size(spark):
     assert sampling.balanced_split(df, "label", 13).count() == 80
 
 
+def test_rows_without_ids_and_equal_rows(spark, monkeypatch):
+    """Missing ids are spread by content; of equal rows at the end of a sample the right number is taken."""
+    rows = [(None, "a", str(k)) for k in range(60)] + [(7, "a", "same")] * 50 + [(k, "b", "x") for k in range(30)]
+    df = spark.createDataFrame(rows, "item_id bigint, label string, text string").repartition(4)
+    for ranked in (sampling.RANKED_ROWS, 1):
+        monkeypatch.setattr(sampling, "RANKED_ROWS", ranked)
+        for size in (57, 90, 140):
+            marked = sampling.balanced_split(df, "label", size, seed=4)
+            assert marked.columns == [*df.columns, "chosen"]
+            assert marked.count() == 140 and marked.filter("chosen").count() == min(size, 140)
+    assert sampling.balanced_split(df.limit(0), "label", 5).count() == 0
+
+
+def test_marking_neither_sorts_nor_reads_what_it_does_not_need(spark, tmp_path):
+    """Texts are read only where the rows are marked, and no class is brought together there."""
+    rows = spark.range(3000).selectExpr("id AS item_id", "CAST(id % 3 AS STRING) AS label", "repeat('x', 50) AS text")
+    rows.write.parquet(f"{tmp_path}/rows")
+    table = spark.read.parquet(f"{tmp_path}/rows")
+    counted = table.groupBy("label", sampling._bucket(seeded_order(1, F.col("item_id")), 0)).count()
+    assert "text" not in counted._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1]
+    plan = sampling.balanced_split(table, "label", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_holdout_and_lowest(spark):
     df = labelled(spark, ["x"] * 101)
     held = sampling.holdout(df, 0.1, 42)
