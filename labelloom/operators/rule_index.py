@@ -2,8 +2,8 @@
 
 A rule holds for a text that contains all its keywords, so the text also contains every
 *gram* of them: a stretch of ``GRAM`` bytes, or a whole keyword that is shorter. Each rule is
-filed under its *anchor*, the gram that the fewest texts contain. A text then asks for its own
-grams only, of which few are anchors, and only the rules filed there are tested.
+filed under its *anchor*, the rarest in all texts of ``CONSIDERED`` of its grams. A text then asks for its
+own grams only, of which few are anchors, and only the rules filed there are tested.
 
 The grams of a text leave it as (item, gram) rows, and only if a bitmap of fixed size says
 that they may be anchors; the text itself moves once, to the candidates that need a test,
@@ -30,13 +30,16 @@ from labelloom.session import release, stored
 from labelloom.sizing import compute_once
 
 # Bytes of a gram, at most 7. Longer ones are rarer, but only keywords of that length have any.
-GRAM = 6
+GRAM = 7
+# Grams of a rule among which the rarest is looked for: those with the lowest hashes.
+CONSIDERED = 4
 SALTS = 16
 # Bits of the map of wanted grams: 8 MB, sent to every task.
 MAP_BITS = 26
 PART_BITS = 16
-# Bytes of text that are cut at a time.
-SLICE = 1 << 21
+# Bytes of text that are cut at a time, and counted grams that a task holds.
+SLICE = 1 << 20
+KEPT = 1 << 20
 
 
 # --- grams ---------------------------------------------------------------------------
@@ -69,15 +72,16 @@ def places(gram: np.ndarray) -> np.ndarray:
 
 
 def rule_grams(rules: DataFrame) -> DataFrame:
-    """(ord, gram): the different grams of all keywords of ``rules(ord, kws)``."""
+    """(ord, gram): some of the grams of all keywords of ``rules(ord, kws)``, at most ``CONSIDERED``, at least one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ords, found = [], []
             for order, kws in zip(*(c.to_pylist() for c in batch.columns)):
-                own = {g for k in kws for g in keyword_grams(k.encode())}
+                own = np.array(sorted({g for k in kws for g in keyword_grams(k.encode())}), np.int64)
+                own = own[np.argsort(places(own), kind="stable")[:CONSIDERED]]
                 ords += [order] * len(own)
-                found += own
+                found += own.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ords, pa.int64()), pa.array(found, pa.int64())], ["ord", "gram"])
 
     return rules.select("ord", "kws").mapInArrow(cut, "ord long, gram long")
@@ -111,39 +115,40 @@ def gram_map(wanted: DataFrame) -> tuple[list[int], np.ndarray]:
     return sorted(r.size for r in sizes), out
 
 
-def batch_grams(texts: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of texts, grams) that may be wanted, each once per text."""
-    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    waiting: list[tuple[int, bytes]] = []
-
-    def cut() -> None:
-        raw = np.frombuffer(b"".join(p for _, p in waiting), np.uint8)
-        row = np.repeat(np.array([k for k, _ in waiting], np.int64), [len(p) for _, p in waiting])
-        for size in sizes:
-            if not size or len(raw) < size:
-                continue
-            gram = byte_grams(raw, size)
-            place = places(gram)
-            hit = np.flatnonzero(((bits[place >> 3] >> (place & 7)) & 1).astype(bool) & (row[: len(gram)] == row[size - 1 :]))
-            rows.append(row[hit])
-            found.append(gram[hit])
-        waiting.clear()
-
-    held = 0
+def slices(texts: list[bytes]) -> Iterator[list[tuple[int, bytes]]]:
+    """(number, piece) of texts, some at a time. Pieces of a long text overlap, so that no gram is lost."""
+    waiting, held = [], 0
     for k, text in enumerate(texts):
-        # pieces of a long text overlap, so that no gram is lost between them
         for at in range(0, max(len(text), 1), SLICE):
             waiting.append((k, text[at : at + SLICE + GRAM - 1]))
             held += len(waiting[-1][1])
             if held >= SLICE:
-                cut()
-                held = 0
+                yield waiting
+                waiting, held = [], 0
     if waiting:
-        cut()
+        yield waiting
+
+
+def slice_grams(part: list[tuple[int, bytes]], sizes: list[int], bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of texts, grams) that may be wanted, each as often as it occurs."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    raw = np.frombuffer(b"".join(p for _, p in part), np.uint8)
+    row = np.repeat(np.array([k for k, _ in part], np.int64), [len(p) for _, p in part])
+    for size in sizes:
+        if size and len(raw) >= size:
+            gram = byte_grams(raw, size)
+            place = places(gram)
+            hit = np.flatnonzero(((bits[place >> 3] >> (place & 7)) & 1).astype(bool) & (row[: len(gram)] == row[size - 1 :]))
+            rows.append(row[hit])
+            found.append(gram[hit])
     if 0 in sizes:
-        rows.append(np.arange(len(texts)))
-        found.append(np.zeros(len(texts), np.int64))
-    row, gram = np.concatenate(rows), np.concatenate(found)
+        own = np.array([k for k, _ in part], np.int64)
+        rows.append(own)
+        found.append(np.zeros(len(own), np.int64))
+    return np.concatenate(rows), np.concatenate(found)
+
+
+def once_each(row: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((gram, row))
     row, gram = row[order], gram[order]
     new = np.ones(len(row), bool)
@@ -151,6 +156,20 @@ def batch_grams(texts: list[bytes], sizes: list[int], bits: np.ndarray) -> tuple
     return row[new], gram[new]
 
 
+def batch_grams(texts: list[bytes], sizes: list[int], bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(numbers of texts, grams) that may be wanted, each once per text, some texts at a time."""
+    open_row, kept = -1, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for part in slices(texts):
+        row, gram = (np.concatenate(x) for x in zip(kept, slice_grams(part, sizes, bits)))
+        row, gram = once_each(row, gram)
+        # the last text may go on in the next slice
+        open_row = part[-1][0]
+        done = row != open_row
+        yield row[done], gram[done]
+        kept = row[~done], gram[~done]
+    yield kept
+
+
 def text_grams(lowered: DataFrame, wanted: DataFrame) -> DataFrame:
     """(item_id, gram): the grams of ``lowered(item_id, t)`` that may be among ``wanted(gram)``.
 
@@ -160,25 +179,37 @@ def text_grams(lowered: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, gram = batch_grams(batch.column(1).cast(pa.large_binary()).to_pylist(), *shared.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(gram)], ["item_id", "gram"])
+            for row, gram in batch_grams(batch.column(1).cast(pa.large_binary()).to_pylist(), *shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(gram)], ["item_id", "gram"])
 
     kind = lowered.schema["item_id"].dataType.simpleString()
     return lowered.filter("t IS NOT NULL").select("item_id", "t").mapInArrow(cut, f"item_id {kind}, gram long")
 
 
 def gram_frequency(lowered: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(gram, df): in how many texts each gram occurs, added up per batch before the shuffle."""
+    """(gram, n): how often each gram occurs in all texts, added up in a task before the shuffle."""
     shared = lowered.sparkSession.sparkContext.broadcast(gram_map(wanted))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            gram, where = np.unique(np.concatenate([g for g, _ in sums]), return_inverse=True)
+            return gram, np.bincount(where, np.concatenate([n for _, n in sums]), len(gram)).astype(np.int64)
+
         for batch in batches:
-            _, gram = batch_grams(batch.column(0).cast(pa.large_binary()).to_pylist(), *shared.value)
-            gram, n = np.unique(gram, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
+            for part in slices(batch.column(0).cast(pa.large_binary()).to_pylist()):
+                sums.append(np.unique(slice_grams(part, *shared.value)[1], return_counts=True))
+                if sum(len(g) for g, _ in sums) > KEPT:
+                    sums = [joined()]
+                    if len(sums[0][0]) > KEPT // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums[0]], ["gram", "n"])
+                        sums = []
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in joined()], ["gram", "n"])
 
     found = lowered.filter("t IS NOT NULL").select("t").mapInArrow(counted, "gram long, n long")
-    return found.groupBy("gram").agg(F.sum("n").alias("df"))
+    return found.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 # --- index ---------------------------------------------------------------------------
@@ -189,7 +220,7 @@ def salts() -> Column:
 
 
 def anchored(lowered: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` with ``anchor``: of the grams of all keywords the one that the fewest texts contain.
+    """``rules`` with ``anchor``: of its grams the one that occurs least.
 
     The count covers all texts. Grams that no text contains come first: such a rule never
     becomes a candidate.
@@ -197,8 +228,8 @@ def anchored(lowered: DataFrame, rules: DataFrame) -> DataFrame:
     filed = stored(rule_grams(rules), "rule-grams")
     frequency = stored(gram_frequency(lowered, filed.select("gram").distinct()), "gram-frequency")
     # the larger number has the longer gram
-    rarest = F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), -F.col("gram")))
-    # a gram may be part of very many rules: its number of texts is one row, copied for their salts
+    rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), -F.col("gram")))
+    # a gram may be part of very many rules: its count is one row, copied for their salts
     salted = filed.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
     found = salted.join(frequency.withColumn("salt", salts()), ["gram", "salt"], "left")
     out = stored(rules.join(found.groupBy("ord").agg(rarest.alias("anchor")), "ord"), "rule-index")

@@ -25,6 +25,7 @@ from labelloom.plans.documents import (
     language_task,
     longest_words,
     nth_word,
+    proposed_class,
     proposed_criteria,
     table,
     weak_label_quality,
@@ -218,9 +219,9 @@ def votes_in_blocks(spark, sf):
 
 def votes_many_criteria(spark, sf):
     """Criteria that the documents themselves propose, as many as there are different first words."""
-    proposed = proposed_criteria(table(spark, sf, "documents"))
-    classes = class_list(proposed, label="class")
-    return labeling.keyword_votes_long(documents(spark, sf), proposed, classes)
+    docs = table(spark, sf, "documents")
+    classes = class_list(docs.select(proposed_class().alias("class")), label="class")
+    return labeling.keyword_votes_long(documents(spark, sf), proposed_criteria(docs), classes)
 
 
 def votes_per_item(spark, sf):

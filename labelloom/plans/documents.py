@@ -92,16 +92,20 @@ def proposed_criteria(docs: DataFrame) -> DataFrame:
 
     Names repeat across documents, as they do when a model is asked again and again.
     """
-    zero_padded = F.concat(F.lit("0"), F.substring("source", 4, 10))
     first, second = (nth_word(F.col("words"), n) for n in (1, 2))
     return compute_once(docs, "doc_id", "source", "lang", words=F.slice(longest_words(F.col("text")), 1, 2)).select(
         F.col("doc_id").alias("ord"),
         first.alias("criterion"),
         F.concat(F.lower(first), F.lit("+"), F.lower(second)).alias("description"),
-        F.when(F.col("lang") == "de", F.col("lang")).otherwise(zero_padded).alias("class"),
+        proposed_class().alias("class"),
     )
 
 
+def proposed_class() -> Column:
+    """Named by language or by number with a leading zero."""
+    return F.when(F.col("lang") == "de", F.col("lang")).otherwise(F.concat(F.lit("0"), F.substring("source", 4, 10)))
+
+
 def gold_splits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """train: documents nobody labelled; valid and test: those of quality 1 and 0."""
     docs = documents(spark, sf_dir)
