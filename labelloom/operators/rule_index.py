@@ -32,7 +32,7 @@ from labelloom.sizing import compute_once
 # Bytes of a gram, at most 7. Longer ones are rarer, but only keywords of that length have any.
 GRAM = 7
 # Grams of a rule among which the rarest is looked for: those with the lowest hashes.
-CONSIDERED = 4
+CONSIDERED = 16
 SALTS = 16
 # Bits of the map of wanted grams: 8 MB, sent to every task.
 MAP_BITS = 26
@@ -251,17 +251,14 @@ def rules_that_hold(items: DataFrame, rules: DataFrame) -> DataFrame:
     cleaned = stored(rules.withColumn("kws", F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("")))), "rules")
     index = anchored(lowered, cleaned)
     hits = text_grams(lowered, index.select(F.col("anchor").alias("gram")).distinct())
-    sure = (F.size("kws") == 1) & (F.octet_length(F.col("kws")[0]) <= GRAM)
-    entry = F.struct(*payload, "kws", sure.alias("sure"))
-    filed = index.select(F.col("anchor").alias("gram"), entry.alias("rule")).withColumn("salt", salts())
+    filed = index.select(F.col("anchor").alias("gram"), F.struct(*payload, "kws").alias("rule")).withColumn("salt", salts())
     salt = F.pmod(F.xxhash64("item_id"), F.lit(SALTS))
-    met = stored(hits.withColumn("salt", salt).join(filed, ["gram", "salt"]).select("item_id", "rule"), "rule-candidates")
-    held = met.filter("rule.sure").select("item_id", *[f"rule.{c}" for c in payload])
-    # an item has each rule once at most, so its group is bounded by the rules filed under its grams
-    asked = met.filter("NOT rule.sure").groupBy(F.col("item_id").alias("_id")).agg(F.collect_set("rule").alias("asked"))
+    met = hits.withColumn("salt", salt).join(filed, ["gram", "salt"])
+    # an item has each rule once, so its group is bounded by the rules filed under its grams
+    asked = met.groupBy(F.col("item_id").alias("_id")).agg(F.collect_set("rule").alias("asked"))
     tested = lowered.filter("t IS NOT NULL").join(asked, F.col("item_id").eqNullSafe(F.col("_id")))
     passed = F.filter("asked", lambda r: contains_all(F.col("t"), r["kws"]))
     proven = tested.select("item_id", F.explode(passed).alias("rule")).select("item_id", *[f"rule.{c}" for c in payload])
-    out = stored(held.unionByName(proven), "rules-held")
-    release(cleaned, index, met)
+    out = stored(proven, "rules-held")
+    release(cleaned, index)
     return out
