@@ -61,8 +61,9 @@ def _salted(small: DataFrame) -> DataFrame:
     return small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
 
 
-def _salt(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(SALTS))
+def _salt() -> Column:
+    """Never null, so that the join adds no filter that would compute the key once more."""
+    return F.coalesce(F.pmod(F.xxhash64("_h"), F.lit(SALTS)), F.lit(0).cast("bigint"))
 
 
 def mark_lowest(
@@ -77,8 +78,7 @@ def mark_lowest(
     quotas = stored(quotas, "quotas")
     takes = quotas.filter("take > 0 and take < n").select(group, F.col("take").alias("_left"))
     boundary = stored(_boundary(histogram, takes, group), "boundary")
-    salt = _salt(key)
-    keys = df.select(group, key.alias("_h"), _bucket(key, 0).alias("_b"), salt.alias("_salt"))
+    keys = df.select(group, key.alias("_h")).select(group, "_h", _bucket(F.col("_h"), 0).alias("_b"), _salt().alias("_salt"))
     left = stored(keys.join(_salted(boundary), [group, "_b", "_salt"]).select(group, "_h", "_left"), "boundary-keys")
     release(boundary)
     for level in range(1, KEY_DIGITS // DIGITS):
@@ -89,7 +89,7 @@ def mark_lowest(
         counted = cut.groupBy(group, "_b").agg(F.count("*").alias("_n"))
         takes = left.groupBy(group).agg(F.first("_left").alias("_left"))
         inner = _salted(_boundary(counted, takes, group))
-        finer = cut.drop("_left").withColumn("_salt", _salt(F.col("_h"))).join(inner, [group, "_b", "_salt"])
+        finer = cut.drop("_left").withColumn("_salt", _salt()).join(inner, [group, "_b", "_salt"])
         finer = stored(finer.select(group, "_h", "_left"), "boundary-keys")
         release(left)
         left = finer
@@ -107,7 +107,7 @@ def mark_lowest(
     release(quotas, left)
     inside = (F.col("_h") < F.col("_last")) | ((F.col("_h") == F.col("_last")) & ~F.col("_split"))
     inside = (F.col("take") >= F.col("n")) | ((F.col("take") > 0) & inside)
-    marked = df.withColumns({"_h": key, "_salt": salt}).join(_salted(limits), [group, "_salt"])
+    marked = df.withColumn("_h", key).withColumn("_salt", _salt()).join(_salted(limits), [group, "_salt"])
     marked = marked.withColumn("chosen", F.coalesce(inside, F.lit(False)))
     columns = [*df.columns, "chosen"]
     if limits.filter("_split").isEmpty():
