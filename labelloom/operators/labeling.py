@@ -237,15 +237,10 @@ def model_requests(items: DataFrame, chunks: list[str]) -> DataFrame:
     return items.select("item_id", F.posexplode(table).alias("chunk", "prompt"), "text")
 
 
-def fired_by_answers(
-    answers: DataFrame, lfs: LabelingSet, on_unreadable: str = "fail", keep: tuple[str, ...] = ()
-) -> DataFrame:
-    """Ballots from model answers (item_id, chunk, content, failed).
+def read_answers(answers: DataFrame, on_unreadable: str = "fail", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Answers (item_id, chunk, content, failed) as item_id, kept columns, failed and the names ``found``.
 
-    The names found are united over the chunks of an item. ``fired`` is null, not empty,
-    when nothing at all was found or when a request failed for good: the item was not
-    judged. Unknown names match nothing. An unreadable answer counts as a failed request
-    (``on_unreadable="fail"``), or adds nothing (``"skip"``).
+    An unreadable answer counts as a failed request (``"fail"``), or has no names (``"skip"``).
     """
     if on_unreadable not in ("skip", "fail"):
         raise ValueError(f"unknown on_unreadable: {on_unreadable}")
@@ -262,9 +257,23 @@ def fired_by_answers(
     failed = F.col("failed")
     if on_unreadable == "fail":
         failed = failed | F.col("a").isNull() | F.col("a._bad").isNotNull()
+    return parsed.select("item_id", *keep, failed.alias("failed"), F.col("a.found_criteria").alias("found"))
+
+
+def fired_by_answers(
+    answers: DataFrame, lfs: LabelingSet, on_unreadable: str = "fail", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Ballots from model answers (item_id, chunk, content, failed).
+
+    The names found are united over the chunks of an item. ``fired`` is null, not empty,
+    when nothing at all was found or when a request failed for good: the item was not
+    judged. Unknown names match nothing. An unreadable answer counts as a failed request
+    (``on_unreadable="fail"``), or adds nothing (``"skip"``).
+    """
+    parsed = read_answers(answers, on_unreadable, keep)
     united = parsed.groupBy("item_id", *keep).agg(
-        F.array_distinct(F.flatten(F.collect_list("a.found_criteria"))).alias("found"),
-        F.max(failed).alias("failed"),
+        F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
+        F.max("failed").alias("failed"),
     )
     names = constant(lfs.names, "array<string>")
     numbers = F.filter(

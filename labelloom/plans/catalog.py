@@ -34,9 +34,10 @@ from labelloom.plans.documents import (
 )
 from labelloom.plans.experiments import next_experiment_number
 from labelloom.plans.iterate import predictions_frame
-from labelloom.session import scratch_path, settled
+from labelloom.session import delete_path, scratch_path, settled
 from labelloom.sizing import compute_once, constant
 from labelloom.sources import readers, writers
+from labelloom.streaming.judging import JudgedStream, judge
 from labelloom.streaming.labelling import append_stream, label_stream, remaining, text_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,7 @@ BALANCED_SIZE = 450
 DEV_SIZE = 120
 CRITERIA_MAXIMUM = 500
 CRITERIA_PER_REQUEST = 5
+STREAM_CRITERIA_PER_REQUEST = 8
 SAMPLE_SIZE = 100
 CONFIDENCE = 0.6
 # The scale that seed 0 draws for the label model's start.
@@ -608,15 +610,56 @@ def next_experiment_id(spark, sf):
 # --- streaming -----------------------------------------------------------------------
 
 
+def _document_stream(spark, sf) -> DataFrame:
+    """All files of the table. As a pattern, the path may be one file or a folder of them."""
+    stream = text_stream(spark, f"{sf}/documents.{{parquet}}", table(spark, sf, "documents").schema)
+    return stream.select(F.col("doc_id").alias("item_id"), "text")
+
+
 def stream_labelling(spark, sf):
-    schema = table(spark, sf, "documents").schema
-    items = text_stream(spark, sf, schema, "documents.parquet").select(F.col("doc_id").alias("item_id"), "text")
     lfs = labeling.labeling_set(language_criteria(spark), class_list(documents(spark, sf)))
     out, state = scratch_path(spark, "verdicts"), scratch_path(spark, "progress")
-    append_stream(label_stream(items, lfs), out, state).awaitTermination()
+    append_stream(label_stream(_document_stream(spark, sf), lfs), out, state).awaitTermination()
+    delete_path(spark, state)
     return readers.flatten_verdicts(spark.read.parquet(out))
 
 
+def failing_model(lfs: labeling.LabelingSet, per_request: int) -> Callable[[DataFrame], DataFrame]:
+    """A stand-in for a model: names the keyword criteria of its chunk, and fails for some texts once or always."""
+    names = constant(lfs.names, "array<string>")
+    own = F.filter("fired", lambda lf: F.floor(lf / per_request) == F.col("chunk"))
+    found = F.to_json(F.struct(F.transform(own, lambda lf: F.get(names, lf)).alias("found_criteria")))
+    fails = F.when(F.col("chunk") == 0, F.length("text") % 7 == 3).otherwise(
+        (F.length("text") % 5 == 1) & (F.col("attempt") == 0)
+    )
+
+    def answer(requests: DataFrame) -> DataFrame:
+        fired = labeling.fired_by_keywords(F.col("text"), lfs)
+        judged = compute_once(requests, "item_id", "chunk", "attempt", "text", fired=fired)
+        return judged.select("item_id", "chunk", found.alias("content"), fails.alias("failed"))
+
+    return answer
+
+
+def _model_run(spark, sf):
+    lfs = labeling.labeling_set(language_criteria(spark), class_list(documents(spark, sf)))
+    chunks = labeling.request_chunks(language_criteria(spark), "Short prose.", STREAM_CRITERIA_PER_REQUEST)
+    return lfs, chunks, failing_model(lfs, STREAM_CRITERIA_PER_REQUEST)
+
+
+def model_labelling(spark, sf):
+    lfs, chunks, model = _model_run(spark, sf)
+    return readers.flatten_verdicts(labeling.verdicts(judge(documents(spark, sf), lfs, chunks, model), lfs))
+
+
+def stream_model_labelling(spark, sf):
+    lfs, chunks, model = _model_run(spark, sf)
+    stream = JudgedStream(scratch_path(spark, "judged"), lfs, chunks, model)
+    ballots = stream.run(_document_stream(spark, sf))
+    stream.finish(spark)
+    return readers.flatten_verdicts(labeling.verdicts(ballots, lfs))
+
+
 QUERIES: dict[str, Query] = {
     "weak_label_scores": weak_label_scores,
     "src_keyed_json": src_keyed_json,
@@ -687,4 +730,6 @@ QUERIES: dict[str, Query] = {
     "resume_remaining": resume_remaining,
     "next_experiment_id": next_experiment_id,
     "stream_labelling": stream_labelling,
+    "model_labelling": model_labelling,
+    "stream_model_labelling": stream_model_labelling,
 }

@@ -367,6 +367,14 @@ _VERDICTS = f"""{WITH_VOTES}
 SELECT d.doc_id AS item_id, c.criterion, h.item_id IS NOT NULL AS hit
 FROM documents d CROSS JOIN crit c LEFT JOIN hits h ON h.item_id = d.doc_id AND h.ord = c.ord"""
 
+# a text whose length leaves 3 by 7 never gets an answer about the first criteria
+_MODEL_VERDICTS = f"""{WITH_VOTES},
+state AS (
+  SELECT d.doc_id AS item_id, coalesce(length(d.text) % 7 = 3, false) OR count(h.item_id) = 0 AS blank
+  FROM documents d LEFT JOIN hits h ON h.item_id = d.doc_id GROUP BY d.doc_id, d.text)
+SELECT s.item_id, c.criterion, CASE WHEN s.blank THEN NULL ELSE h.item_id IS NOT NULL END AS hit
+FROM state s CROSS JOIN crit c LEFT JOIN hits h ON h.item_id = s.item_id AND h.ord = c.ord"""
+
 _VOTES_LONG = f"{WITH_VOTES} SELECT item_id, criterion, class_idx FROM votes"
 
 ORACLE: dict[str, str] = {
@@ -561,4 +569,6 @@ SELECT doc_id AS item_id, lang AS label FROM documents WHERE doc_id NOT IN (SELE
     "next_experiment_id": """
 SELECT coalesce(max(CAST(substr(source, 4) AS BIGINT)), 0) + 1 AS next_experiment FROM documents""",
     "stream_labelling": _VERDICTS,
+    "model_labelling": _MODEL_VERDICTS,
+    "stream_model_labelling": _MODEL_VERDICTS,
 }

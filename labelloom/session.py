@@ -54,7 +54,17 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def numbered_folders(spark: SparkSession, path: str) -> list[int]:
+    """Names of the folders in ``path`` that are numbers; none if there is no such path."""
+    if not path_exists(spark, path):
+        return []
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop_path)]
+    return [int(n) for n in names if n.isdigit()]
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
@@ -74,7 +84,10 @@ def stored(df: DataFrame, stem: str) -> DataFrame:
 def release(*frames: DataFrame) -> None:
     """Delete stored tables that nothing reads any more."""
     for df in frames:
-        _delete(df.sparkSession, df._stored_at)
+        delete_path(df.sparkSession, df._stored_at)
+
+
+_delete = delete_path
 
 
 @contextmanager
@@ -90,4 +103,4 @@ def scratch_table(df: DataFrame, stem: str) -> Iterator[DataFrame]:
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:
-        _delete(spark, path)
+        delete_path(spark, path)
