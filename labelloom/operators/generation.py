@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import prompt, section
@@ -135,6 +135,26 @@ def generation_requests(
     def texts(column: str):
         return F.when(F.size(column) > 0, F.array_join(F.col(f"{column}.body"), "\n\n"))
 
+    task, known, answer = request_frame(F.col("label"), dataset, wanted, existing, keyword_rules)
+    return grouped.select(
+        F.col("request_no").cast("int").alias("request_no"),
+        "label",
+        prompt(
+            task,
+            section("Domain", F.lit(domain_info)),
+            section("Texts to cover", texts("cover")),
+            section("Texts already covered", texts("covered")),
+            section("Texts to avoid", texts("avoid")),
+            section("Existing criteria", known),
+            answer,
+        ).alias("prompt"),
+    )
+
+
+def request_frame(
+    label: Column, dataset: str, wanted: int, existing: DataFrame | None, keyword_rules: bool
+) -> tuple[Column, Column, Column]:
+    """What a request says around its examples: the task, the existing criteria and the form of the answer."""
     known = _existing_text(existing)
     form = (
         "a list of substrings joined by '+', all of which have to occur in the lower-cased text"
@@ -146,28 +166,16 @@ def generation_requests(
             f"Texts of the dataset {dataset} are labelled with weak labeling functions. Write exactly {wanted} new "
             "criteria that hold for the texts to cover and for none of the texts to avoid. Class: "
         ),
-        F.col("label"),
+        label,
     )
     answer = F.concat(
         F.lit(
             'Answer with a JSON object {"criteria": [{"criterion": name, "description": '
             f'{form}, "class": class}}]}}. The class is always '
         ),
-        F.col("label"),
-    )
-    return grouped.select(
-        F.col("request_no").cast("int").alias("request_no"),
-        "label",
-        prompt(
-            task,
-            section("Domain", F.lit(domain_info)),
-            section("Texts to cover", texts("cover")),
-            section("Texts already covered", texts("covered")),
-            section("Texts to avoid", texts("avoid")),
-            section("Existing criteria", F.lit(known)),
-            answer,
-        ).alias("prompt"),
+        label,
     )
+    return task, F.lit(known), answer
 
 
 def _existing_text(existing: DataFrame | None) -> str | None:

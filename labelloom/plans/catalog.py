@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelloom.operators import analysis, criteria, dawid_skene, endmodel, generation, label_model, labeling, majority
-from labelloom.operators import metrics, sampling
+from labelloom.operators import manifest, metrics, sampling
 from labelloom.operators.classes import (
     class_list,
     encode_labels,
@@ -53,6 +53,7 @@ CRITERIA_MAXIMUM = 500
 CRITERIA_PER_REQUEST = 5
 STREAM_CRITERIA_PER_REQUEST = 8
 SAMPLE_SIZE = 100
+BLOCK_CHARS = 20_000
 CONFIDENCE = 0.6
 # The scale that seed 0 draws for the label model's start.
 LM_START_SCALE = 0.6369616873214543
@@ -597,6 +598,22 @@ def generation_sizes(spark, sf):
     return generation.context_sizes(_judged(spark, sf))
 
 
+def _blocks(spark, sf):
+    judged = _judged(spark, sf)
+    return judged, *manifest.block_store(judged, BLOCK_CHARS)
+
+
+def generation_blocks(spark, sf):
+    _, blocks, groups = _blocks(spark, sf)
+    numbered = manifest.numbered_blocks(blocks, groups)
+    return numbered.select("block", "label", "outcome", "n_texts", "n_chars", F.md5("body").alias("body_md5"))
+
+
+def generation_requests(spark, sf):
+    judged, _, groups = _blocks(spark, sf)
+    return manifest.request_manifest(groups, judged)
+
+
 def resume_remaining(spark, sf):
     done = table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
     return remaining(documents(spark, sf).select("item_id", "label"), done)
@@ -727,6 +744,8 @@ QUERIES: dict[str, Query] = {
     "criteria_ingest": criteria_ingest,
     "generation_context": generation_context,
     "generation_sizes": generation_sizes,
+    "generation_blocks": generation_blocks,
+    "generation_requests": generation_requests,
     "resume_remaining": resume_remaining,
     "next_experiment_id": next_experiment_id,
     "stream_labelling": stream_labelling,

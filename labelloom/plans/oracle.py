@@ -377,6 +377,24 @@ FROM state s CROSS JOIN crit c LEFT JOIN hits h ON h.item_id = s.item_id AND h.o
 
 _VOTES_LONG = f"{WITH_VOTES} SELECT item_id, criterion, class_idx FROM votes"
 
+_BLOCKS = """frag AS (
+  SELECT outcome, label, item_id // 64 AS f, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY item_id) AS body
+  FROM judged WHERE text IS NOT NULL AND label IS NOT NULL GROUP BY outcome, label, item_id // 64),
+cut AS (
+  SELECT *, CAST(sum(length(body) + 2) OVER (PARTITION BY outcome, label ORDER BY f) AS BIGINT) - length(body) - 2 AS start FROM frag),
+blk AS (
+  SELECT outcome, label, start // 20000 AS part, CAST(sum(n) AS BIGINT) AS n, CAST(sum(length(body) + 2) AS BIGINT) AS chars,
+    string_agg(body, chr(10) || chr(10) ORDER BY f) AS body
+  FROM cut GROUP BY outcome, label, start // 20000),
+led AS (SELECT label, min(f) AS led FROM frag WHERE outcome = 'wrong' GROUP BY label),
+grp AS (
+  SELECT b.outcome, b.label, min(l.led) AS led, max(b.part) + 1 AS size, sum(b.n) AS n, sum(b.chars) AS chars
+  FROM blk b LEFT JOIN led l USING (label) GROUP BY b.outcome, b.label),
+pos AS (
+  SELECT *, row_number() OVER o - 1 AS place, CAST(sum(size) OVER o - size AS BIGINT) AS first
+  FROM grp WINDOW o AS (ORDER BY outcome = 'correct', led NULLS LAST, label)),
+blocks AS (SELECT p.first + b.part AS block, b.* , p.place FROM blk b JOIN pos p ON p.outcome = b.outcome AND p.label = b.label)"""
+
 ORACLE: dict[str, str] = {
     "weak_label_scores": f"""{WITH_MV},
 cells AS (SELECT label_idx AS label, pred, count(*) AS n FROM gold JOIN mv USING (item_id) GROUP BY label_idx, pred),
@@ -564,6 +582,20 @@ FROM judged GROUP BY label, outcome, item_id // 64""",
 SELECT label, count(*) FILTER (WHERE outcome = 'wrong') AS n_positive,
   count(*) FILTER (WHERE outcome = 'correct') AS n_correct,
   (SELECT count(*) FROM judged) - count(*) AS n_negative FROM judged GROUP BY label""",
+    "generation_blocks": f"""{WITH_MV}, {JUDGED}, {_BLOCKS}
+SELECT CAST(block AS BIGINT) AS block, label, outcome, n AS n_texts, chars AS n_chars, md5(body) AS body_md5 FROM blocks""",
+    "generation_requests": f"""{WITH_MV}, {JUDGED}, {_BLOCKS},
+own AS (SELECT w.label, w.place, coalesce(c.place, (SELECT count(*) FROM pos)) AS covered
+  FROM pos w LEFT JOIN pos c ON c.label = w.label AND c.outcome = 'correct' WHERE w.outcome = 'wrong'),
+shown AS (
+  SELECT o.place AS request_no, o.label, CASE WHEN p.label <> o.label THEN 'avoid' WHEN p.outcome = 'wrong' THEN 'cover' ELSE 'covered' END AS role,
+    CASE WHEN p.label = o.label OR p.place < o.place THEN 0 WHEN p.place < o.covered THEN 1 ELSE 2 END AS range_no,
+    p.first, p.first + p.size AS ends, p.n, p.chars
+  FROM own o CROSS JOIN pos p)
+SELECT CAST(request_no AS INTEGER) AS request_no, label, role, range_no, CAST(min(first) AS BIGINT) AS first_block,
+  CAST(max(ends) AS BIGINT) AS end_block, CAST(sum(n) AS BIGINT) AS n_texts, CAST(sum(chars) AS BIGINT) AS n_chars,
+  (SELECT count(*) FROM judged WHERE text IS NULL OR label IS NULL) AS n_unusable
+FROM shown GROUP BY request_no, label, role, range_no""",
     "resume_remaining": """
 SELECT doc_id AS item_id, lang AS label FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""",
     "next_experiment_id": """
