@@ -12,7 +12,8 @@ answers, later ones are judged anew. Null and empty texts are sent as they are.
 sent and nothing is judged.
 
 What moves in a shuffle are ids, criterion numbers and kept columns. Texts move only for items that
-wait for their second try, and the model is called once for a request even if a batch is run again.
+wait for their second try. Answers are stored before they are used, so a batch that is run again asks nothing twice
+once they are all there; a task that is lost while it asks sends its own requests again.
 """
 
 from __future__ import annotations
