@@ -9,7 +9,8 @@ The grams of a text leave it as (item, gram) rows, and only if a bitmap of fixed
 that they may be anchors; the text itself moves once, to the candidates that need a test,
 whatever the number of rules. An anchor that very many texts contain (a rule like "the", or one
 without any keyword, whose anchor is the empty gram of every text) is dealt over ``SALTS``
-copies of its rules.
+copies of its rules. Tables with copies for salts are joined by an explicit merge join: the planner
+takes them for the files they come from, so it would build sixteen times as much as that in the driver.
 
 Texts and keywords are lower-cased, cut and finally compared by the same built-in functions as
 in the plan of a few rules, so the meaning is the same. Only the grams are cut in Arrow batches:
@@ -231,8 +232,8 @@ def anchored(lowered: DataFrame, rules: DataFrame) -> DataFrame:
     rarest = F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), -F.col("gram")))
     # a gram may be part of very many rules: its count is one row, copied for their salts
     salted = filed.withColumn("salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS)))
-    found = salted.join(frequency.withColumn("salt", salts()), ["gram", "salt"], "left")
-    out = stored(rules.join(found.groupBy("ord").agg(rarest.alias("anchor")), "ord"), "rule-index")
+    found = salted.join(frequency.withColumn("salt", salts()).hint("merge"), ["gram", "salt"], "left")
+    out = stored(rules.hint("merge").join(found.groupBy("ord").agg(rarest.alias("anchor")), "ord"), "rule-index")
     release(filed, frequency)
     return out
 
@@ -253,7 +254,7 @@ def rules_that_hold(items: DataFrame, rules: DataFrame) -> DataFrame:
     hits = text_grams(lowered, index.select(F.col("anchor").alias("gram")).distinct())
     filed = index.select(F.col("anchor").alias("gram"), F.struct(*payload, "kws").alias("rule")).withColumn("salt", salts())
     salt = F.pmod(F.xxhash64("item_id"), F.lit(SALTS))
-    met = hits.withColumn("salt", salt).join(filed, ["gram", "salt"])
+    met = hits.withColumn("salt", salt).join(filed.hint("merge"), ["gram", "salt"])
     # an item has each rule once, so its group is bounded by the rules filed under its grams
     asked = met.groupBy(F.col("item_id").alias("_id")).agg(F.collect_set("rule").alias("asked"))
     tested = lowered.filter("t IS NOT NULL").join(asked, F.col("item_id").eqNullSafe(F.col("_id")))

@@ -93,6 +93,23 @@ def test_a_hundred_thousand_rules(spark, small_tables):
     assert {(r.item_id, r.criterion) for r in rows} == expected and len(rows) == len(expected) > 10_000
 
 
+def test_copies_for_salts_are_not_built_in_the_driver(spark, monkeypatch):
+    """A table copied for its salts looks as small as its file; however small, it is merged."""
+    plans = {}
+
+    def seen(df, stem):
+        plans[stem] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, stem)
+
+    stored = rule_index.stored
+    monkeypatch.setattr(rule_index, "stored", seen)
+    items = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "item_id long, text string")
+    assert labeling.keyword_votes_long(items, criteria_frame(spark, ODD_RULES), CLASSES, planned=0).count() > 0
+    assert "Broadcast" not in plans["rule-index"] and plans["rule-index"].count("SortMergeJoin") == 2
+    merged = [line for line in plans["rules-held"].splitlines() if "SortMergeJoin [gram" in line]
+    assert len(merged) == 1
+
+
 def test_grams_of_a_text(spark, small_tables):
     """All grams that are wanted leave a text, each once, without an exchange."""
     docs = spark.read.parquet(f"{small_tables}/documents.parquet").select(F.col("doc_id").alias("item_id"), F.lower("text").alias("t"))
