@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ DOCS_PER_CHUNK_BITS = 6
 COUNT_TOKENS = 400_000
 SCORE_TOKENS = 100_000
 CACHE_WORDS = 150_000
+# Texts whose words are cut at a time.
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 256
 # Hashes of two tokens that no text contains: the end, and what stands before the first word.
 END = xxhash.xxh64_intdigest(b" end")
 START = xxhash.xxh64_intdigest(b" start")
@@ -63,13 +67,23 @@ def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(3) + mix(w))
 
 
-def token_hashes(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """A-Z lower-cased, cut at ASCII white space (as bytes methods do), and the end token."""
-    words = (text or b"").lower().split()
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = [hashes[w] for w in words]
-    out[-1] = END
-    return out
+def token_hashes(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of tokens, their hashes): texts A-Z lower-cased, cut at ASCII white space, an end token each."""
+    # copied first: pyarrow 23 lower-cases the wrong bytes of a slice that was cast
+    own = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+    lowered = pc.ascii_lower(pc.fill_null(own, ""))
+    pieces = pc.ascii_split_whitespace(lowered)
+    text = np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy(zero_copy_only=False))
+    words = pieces.flatten()
+    # white space at the ends of a text cuts off an empty piece
+    said = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    coded = words.dictionary_encode()
+    different = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+    h = np.fromiter(map(hashes.__getitem__, different), np.uint64, len(different))
+    lengths = np.bincount(text[said], minlength=len(texts)) + 1
+    out = np.full(lengths.sum(), END, np.uint64)
+    out[np.arange(said.sum()) + text[said]] = h[coded.indices.to_numpy(zero_copy_only=False)[said]]
+    return lengths, out
 
 
 def is_held_out(doc_id, folds: int, fold: int) -> bool:
@@ -85,33 +99,45 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(rows: Iterator[tuple], hashes: WordHashes, most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    """(ids, lengths, tokens) of some whole documents at a time."""
-    ids, parts, total = [], [], 0
-    for i, text in rows:
-        ids.append(i)
-        parts.append(token_hashes(text, hashes))
-        total += len(parts[-1])
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of at most SLICE_BYTES of text in all, or one row."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        ends, k = np.cumsum(size, dtype=np.int64), 0
+        while k < batch.num_rows:
+            end = int(np.searchsorted(ends, ends[k] - size[k] + SLICE_BYTES, side="right"))
+            end = min(max(end, k + 1), k + SLICE_ROWS)
+            yield batch.slice(k, end - k)
+            k = end
+
+
+def chunks(
+    batches: Iterator[pa.RecordBatch], hashes: WordHashes, most: int, wanted: Callable | None = None
+) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, lengths, tokens) of some whole documents at a time, of those whose id is ``wanted``."""
+    ids, sizes, parts, total = [], [], [], 0
+    for part in slices(batches):
+        if wanted:
+            part = part.filter(pa.array([wanted(i) for i in part.column(0).to_pylist()], pa.bool_()))
+        if part.num_rows == 0:
+            continue
+        lengths, tokens = token_hashes(part.column(1), hashes)
+        ids += part.column(0).to_pylist()
+        sizes.append(lengths)
+        parts.append(tokens)
+        total += len(tokens)
         if total >= most:
-            yield ids, np.array([len(p) for p in parts]), np.concatenate(parts)
-            ids, parts, total = [], [], 0
+            yield ids, np.concatenate(sizes), np.concatenate(parts)
+            ids, sizes, parts, total = [], [], [], 0
     if ids:
-        yield ids, np.array([len(p) for p in parts]), np.concatenate(parts)
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            yield from zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist())
+        yield ids, np.concatenate(sizes), np.concatenate(parts)
 
 
 def gram_counts(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     """(kind, h, n): 0 words, 1 bigrams of the training rows, of all corpus rows but the held-out fold."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        training = (r for r in rows_of(batches) if not is_held_out(r[0], folds, fold))
-        for _, _, tokens in chunks(training, WordHashes(), COUNT_TOKENS):
+        for _, _, tokens in chunks(batches, WordHashes(), COUNT_TOKENS, lambda i: not is_held_out(i, folds, fold)):
             for kind, grams in ((0, tokens), (1, pair_hash(before(tokens), tokens))):
                 h, n = np.unique(grams, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
@@ -127,25 +153,35 @@ def levels_of(n: np.ndarray, step: int) -> np.ndarray:
     return (np.frexp(n.astype(np.float64))[1] - 1) // step
 
 
-def places(h: np.ndarray, level: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """(byte numbers, bit masks) of the probes of one level, one row per probe."""
+def lines(h: np.ndarray, level: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of the line of 64 bytes, hash that gives the probes in it) for one level."""
     m = mix(h + np.uint64(level * 0xD1B54A32D192ED03 % (1 << 64)))
     part = (h >> np.uint64(shift)) if shift < 64 else np.zeros_like(h)
-    line = part * np.uint64(LINES) + (m & np.uint64(LINES - 1))
-    bits = np.stack([(m >> np.uint64(16 + 9 * k)) & np.uint64(511) for k in range(PROBES)])
-    return line * np.uint64(64) + (bits >> np.uint64(3)), (np.uint64(1) << (bits & np.uint64(7))).astype(np.uint8)
+    return ((part * np.uint64(LINES) + (m & np.uint64(LINES - 1))) << np.uint64(6)).view(np.int64), m
+
+
+def probe(line: np.ndarray, m: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(byte number, bit in the byte) of probe ``k``."""
+    bit = (m >> np.uint64(16 + 9 * k)) & np.uint64(511)
+    return line + (bit >> np.uint64(3)).view(np.int64), (bit & np.uint64(7)).astype(np.uint8)
 
 
 def read_levels(h: np.ndarray, filter_bytes: np.ndarray, shift: int, first: int = 1, begin: int = 0) -> np.ndarray:
     """The level of each gram: ask for ``first``, ``first`` + 1, ... until one is missing.
 
-    ``filter_bytes`` are those of the filter from byte ``begin`` on.
+    ``filter_bytes`` are those of the filter from byte ``begin`` on. A probe is made for those grams
+    only that no probe before has found missing.
     """
     found = np.full(len(h), first - 1, np.int64)
-    left, level = np.arange(len(h)), first
+    left, own, level = np.arange(len(h)), h, first
     while len(left):
-        at, mask = places(h[left], level, shift)
-        left = left[((filter_bytes[at - np.uint64(begin)] & mask) != 0).all(axis=0)]
+        line, m = lines(own, level, shift)
+        line -= begin
+        for k in range(PROBES):
+            at, bit = probe(line, m, k)
+            hit = np.flatnonzero((filter_bytes.take(at) >> bit) & 1)
+            if len(hit) < len(left):
+                left, own, line, m = left[hit], own[hit], line[hit], m[hit]
         found[left] = level
         level += 1
     return found
@@ -177,8 +213,10 @@ def filter_parts(counts: DataFrame, bits: int, step: int, first: int) -> DataFra
         part = table.column("part")[0].as_py()
         out = np.zeros(PART_BYTES, np.uint8)
         for k in range(first, int(level.max(initial=0)) + 1):
-            at, mask = places(h[level >= k], k, 64 - bits)
-            np.bitwise_or.at(out, (at.ravel() - np.uint64(part * PART_BYTES)).astype(np.int64), mask.ravel())
+            line, m = lines(h[level >= k], k, 64 - bits)
+            for j in range(PROBES):
+                at, bit = probe(line - part * PART_BYTES, m, j)
+                np.bitwise_or.at(out, at, np.uint8(1) << bit)
         return pa.table({"part": [part], "bytes": pa.array([out.tobytes()], pa.binary())})
 
     kept = counts.filter(F.col("n") >= 2 ** (step * first)).select("h", "n", part_of(bits).alias("part"))
@@ -210,7 +248,7 @@ def levels_by_chunk(texts: DataFrame, parts: DataFrame, bits: int) -> DataFrame:
             chunk = batch.column(0).to_numpy()
             for c in np.unique(chunk):
                 part = batch.filter(pa.array(chunk == c)).select(["doc_id", "text"])
-                for _, _, tokens in chunks(rows_of(iter([part])), hashes, COUNT_TOKENS):
+                for _, _, tokens in chunks(iter([part]), hashes, COUNT_TOKENS):
                     grams = np.unique(np.concatenate([tokens, pair_hash(before(tokens), tokens)]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(grams), c)), pa.array(grams.view(np.int64))], ["chunk", "h"]
@@ -281,10 +319,13 @@ def score_texts(
     def told(ids: list, lengths: np.ndarray, tokens: np.ndarray, level_of: Callable) -> pa.RecordBatch:
         _, known_h, known_n = shared.value
         doc = np.repeat(np.arange(len(ids)), lengths)
-        at = np.minimum(np.searchsorted(known_h, tokens), max(len(known_h) - 1, 0))
-        hit = known_h[at] == tokens if len(known_h) else np.zeros(len(tokens), bool)
-        exact = np.where(hit, known_n[at] if len(known_h) else 0, 0)
-        base = np.bincount(doc, np.where(hit, np.log10(exact + 1.0) - log_all, 0.0), len(ids))
+        # each word and bigram is looked up once, in the order of the hashes, which is that of the filter's parts
+        words, at_word = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(known_h, words), max(len(known_h) - 1, 0))
+        found = known_h[at] == words if len(known_h) else np.zeros(len(words), bool)
+        exact = np.where(found, known_n[at] if len(known_h) else 0, 0)
+        base = np.bincount(doc, np.where(found, np.log10(exact + 1.0) - log_all, 0.0)[at_word], len(ids))
+        hit = found[at_word]
         known = np.bincount(doc, hit, len(ids)).astype(np.int64)
         # what the head doesn't hold: per document its words with their numbers
         rest = np.flatnonzero(~hit)
@@ -297,10 +338,11 @@ def score_texts(
         offsets = np.searchsorted(d[starts], np.arange(len(ids) + 1)).astype(np.int32)
         # the model
         previous = before(tokens)
-        count_w = typical_count(level_of(tokens))
+        count_w = typical_count(level_of(words))[at_word]
         first = previous == np.uint64(START)
         count_v = np.where(first, n_starts, np.append(1.0, count_w[:-1]))
-        count_vw = typical_count(level_of(pair_hash(previous, tokens)))
+        pairs, at_pair = np.unique(pair_hash(previous, tokens), return_inverse=True)
+        count_vw = typical_count(level_of(pairs))[at_pair]
         p = (1 - bigram_weight) * (count_w + 0.5) / smooth + bigram_weight * np.minimum(count_vw / np.maximum(count_v, 1.0), 1.0)
         score = np.bincount(doc, np.log10(np.minimum(p, 1.0)), len(ids))
         return pa.RecordBatch.from_arrays(
@@ -319,16 +361,16 @@ def score_texts(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_bytes = shared.value[0]
-        for ids, lengths, tokens in chunks(rows_of(batches), WordHashes(), SCORE_TOKENS):
+        for ids, lengths, tokens in chunks(batches, WordHashes(), SCORE_TOKENS):
             yield told(ids, lengths, tokens, lambda h: read_levels(h, filter_bytes, shift, 0))
 
     def scored_chunk(texts: pa.Table, levels: pa.Table) -> pa.Table:
         h = levels.column("h").to_numpy().view(np.uint64)
         order = np.argsort(h)
         h, level = h[order], levels.column("level").to_numpy()[order]
-        rows = rows_of(iter(texts.select(["doc_id", "text"]).to_batches()))
+        batches = iter(texts.select(["doc_id", "text"]).to_batches())
         made = [
-            told(*x, lambda g: level[np.searchsorted(h, g)]) for x in chunks(rows, WordHashes(), SCORE_TOKENS)
+            told(*x, lambda g: level[np.searchsorted(h, g)]) for x in chunks(batches, WordHashes(), SCORE_TOKENS)
         ]
         return pa.Table.from_batches(made)
 

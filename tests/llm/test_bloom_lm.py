@@ -1,8 +1,10 @@
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from labelloom.llm import bloom_lm
@@ -61,6 +63,45 @@ def test_filter_returns_levels(spark):
     assert step > 1
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 20])
+def test_tokens_of_slices(monkeypatch, size):
+    """Words as bytes methods cut them, whatever the slices; only A-Z are lower-cased."""
+    monkeypatch.setattr(bloom_lm, "SLICE_BYTES", size)
+    rng = random.Random(3)
+    texts = [None, "", " ", "  a b  ", "\x1cA", "one " * 500]
+    texts += ["".join(rng.choices(" \t\n\x0b\x0c\r\x1c\x85\xa0 abABZÀéİ\x00日", k=rng.randint(0, 40))) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(len(texts)), "text": texts})
+    got = list(bloom_lm.chunks(iter([batch.slice(0, 700), batch.slice(700)]), bloom_lm.WordHashes(), 300, lambda i: i % 5 != 0))
+    want = [[bloom_lm.xxhash.xxh64_intdigest(w) for w in tokens(t)[:-1]] + [bloom_lm.END] for k, t in enumerate(texts) if k % 5]
+    assert sum((c[0] for c in got), []) == [k for k in range(len(texts)) if k % 5] and len(got) > 3
+    assert np.concatenate([c[1] for c in got]).tolist() == [len(w) for w in want]
+    assert np.concatenate([c[2] for c in got]).tolist() == sum(want, [])
+
+
+def test_a_gram_is_looked_up_once(spark, monkeypatch):
+    """Words and bigrams that a piece of text repeats are asked for once, in the order of the filter."""
+    asked = []
+
+    def read(h, *rest):
+        asked.append(h)
+        return levels(h, *rest)
+
+    levels = bloom_lm.read_levels
+    run = type(spark.range(1)).mapInArrow
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["the cat and the cat " * 50, "the cat"]})
+
+    def here(df, function, schema):
+        if schema == bloom_lm.SCORED:
+            list(function(iter([batch])))
+        return run(df, function, schema)
+
+    monkeypatch.setattr(bloom_lm, "read_levels", read)
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", here)
+    docs = spark.createDataFrame(batch.to_pandas())
+    assert bloom_lm.score_texts(docs).count() == 2
+    assert len(asked) == 2 and all((np.diff(h.view(np.uint64)) > 0).all() for h in asked) and len(asked[0]) == 4
+
+
 def test_scores_do_not_depend_on_what_is_broadcast(spark, odd, monkeypatch):
     monkeypatch.setattr(bloom_lm, "PART_BYTES", 1 << 10)
     monkeypatch.setattr(bloom_lm, "LINES", 16)
