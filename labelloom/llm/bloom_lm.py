@@ -1,6 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-1. Tasks hash words and bigrams of the training texts and count them per chunk; Spark sums by hash.
+1. Tasks hash words and bigrams of the training texts and count them per chunk. Spark groups the chunks'
+   counts by ranges of the hash, one row a chunk and range, and each range is summed by itself.
 2. A count c has the level floor(log2 c). The filter holds a gram once per level from 0 on, so a
    count is read by asking for level 0, 1, 2, ... until the answer is no.
    The filter is cut into parts of 128 KB by the first bits of the hash; each part is set by one task.
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelloom.llm.common import quoted, release, stored
+from labelloom.llm.common import batch_bytes, quoted, release, stored
 
 PART_BYTES = 1 << 17
 LINES = PART_BYTES // 64
@@ -38,8 +39,11 @@ PROBES = 4
 DOCS_PER_CHUNK_BITS = 6
 COUNT_TOKENS = 400_000
 SCORE_TOKENS = 100_000
-CACHE_WORDS = 150_000
-# Texts whose words are cut at a time.
+# Text whose grams of one kind one range of hashes holds, and counts that are cut into parts at a time.
+RANGE_BYTES = 1 << 22
+PART_ROWS = 400_000
+# Texts that a task is handed at a time, and whose words are cut at a time.
+BATCH_BYTES = 1 << 22
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 256
 # Hashes of two tokens that no text contains: the end, and what stands before the first word.
@@ -47,14 +51,11 @@ END = xxhash.xxh64_intdigest(b" end")
 START = xxhash.xxh64_intdigest(b" start")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+class WordHashes:
+    """64-bit hashes of words; to remember them takes longer than to hash them again."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,7 +80,7 @@ def token_hashes(texts: pa.Array, hashes: WordHashes) -> tuple[np.ndarray, np.nd
     said = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
     coded = words.dictionary_encode()
     different = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
-    h = np.fromiter(map(hashes.__getitem__, different), np.uint64, len(different))
+    h = hashes.of(different)
     lengths = np.bincount(text[said], minlength=len(texts)) + 1
     out = np.full(lengths.sum(), END, np.uint64)
     out[np.arange(said.sum()) + text[said]] = h[coded.indices.to_numpy(zero_copy_only=False)[said]]
@@ -133,19 +134,66 @@ def chunks(
         yield ids, np.concatenate(sizes), np.concatenate(parts)
 
 
+def prefix(h: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of hashes, as a number."""
+    return h >> np.uint64(64 - bits) if bits else np.zeros_like(h)
+
+
+def packed(by: np.ndarray, **columns: np.ndarray) -> dict[str, pa.Array]:
+    """Per run of equal numbers ``by``, each column's values as the bytes of one row."""
+    ends = np.flatnonzero(np.append(by[1:] != by[:-1], True)) + 1
+    out = {"at": pa.array(by[ends - 1].astype(np.int64))}
+    for name, values in columns.items():
+        offsets = pa.py_buffer(np.append(0, ends * values.itemsize).astype(np.int32))
+        out[name] = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(values)])
+    return out
+
+
+def unpacked(table: pa.Table, name: str, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype)
+
+
+def range_bits(docs: DataFrame) -> int:
+    """Bits of the hash such that a range holds the grams of about RANGE_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return (size // RANGE_BYTES).bit_length()
+
+
 def gram_counts(docs: DataFrame, folds: int, fold: int) -> DataFrame:
     """(kind, h, n): 0 words, 1 bigrams of the training rows, of all corpus rows but the held-out fold."""
+    bits = range_bits(docs)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, tokens in chunks(batches, WordHashes(), COUNT_TOKENS, lambda i: not is_held_out(i, folds, fold)):
             for kind, grams in ((0, tokens), (1, pair_hash(before(tokens), tokens))):
                 h, n = np.unique(grams, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), kind, np.int8)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
-                    ["kind", "h", "n"],
-                )
+                rows = packed(prefix(h, bits), h=h, n=n.astype(np.int64))
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(rows["at"]), kind, np.int8)), **rows})
 
-    return docs.mapInArrow(counted, "kind byte, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    def summed(table: pa.Table) -> pa.Table:
+        h, n = unpacked(table, "h", np.uint64), unpacked(table, "n", np.int64)
+        # a merge: each chunk's hashes are in order
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        kind = np.full(len(starts), table.column("kind")[0].as_py(), np.int8)
+        return pa.table({"kind": kind, "h": h[starts].view(np.int64), "n": np.add.reduceat(n[order], starts)})
+
+    chunk_counts = docs.mapInArrow(counted, "kind byte, at long, h binary, n binary")
+    return chunk_counts.groupBy("kind", "at").applyInArrow(summed, "kind byte, h long, n long")
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Tables of about ``most`` rows."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            yield pa.Table.from_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.Table.from_batches(held)
 
 
 def levels_of(n: np.ndarray, step: int) -> np.ndarray:
@@ -207,10 +255,18 @@ def part_of(bits: int) -> Column:
 def filter_parts(counts: DataFrame, bits: int, step: int, first: int) -> DataFrame:
     """(part, bytes) of all parts that hold anything."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per part for some grams at a time: their hashes and levels."""
+        for table in gathered(batches, PART_ROWS):
+            h = table.column("h").to_numpy().view(np.uint64)
+            level = levels_of(table.column("n").to_numpy(), step).astype(np.uint8)
+            part = prefix(h, bits)
+            order = np.argsort(part, kind="stable")
+            yield pa.RecordBatch.from_pydict(packed(part[order], h=h[order], level=level[order]))
+
     def built(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy().view(np.uint64)
-        level = levels_of(table.column("n").to_numpy(), step)
-        part = table.column("part")[0].as_py()
+        h, level = unpacked(table, "h", np.uint64), unpacked(table, "level", np.uint8)
+        part = table.column("at")[0].as_py()
         out = np.zeros(PART_BYTES, np.uint8)
         for k in range(first, int(level.max(initial=0)) + 1):
             line, m = lines(h[level >= k], k, 64 - bits)
@@ -219,8 +275,9 @@ def filter_parts(counts: DataFrame, bits: int, step: int, first: int) -> DataFra
                 np.bitwise_or.at(out, at, np.uint8(1) << bit)
         return pa.table({"part": [part], "bytes": pa.array([out.tobytes()], pa.binary())})
 
-    kept = counts.filter(F.col("n") >= 2 ** (step * first)).select("h", "n", part_of(bits).alias("part"))
-    return kept.groupBy("part").applyInArrow(built, "part long, bytes binary")
+    kept = counts.filter(F.col("n") >= 2 ** (step * first)).select("h", "n")
+    rows = kept.mapInArrow(cut, "at long, h binary, level binary")
+    return rows.groupBy("at").applyInArrow(built, "part long, bytes binary")
 
 
 def log_filter(
@@ -284,7 +341,8 @@ def score_texts(
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
-    counts = stored(gram_counts(source, folds, fold), "gram-counts")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        counts = stored(gram_counts(source, folds, fold), "gram-counts")
     words = counts.filter("kind = 0")
     log2 = F.floor(F.log2("n") + 1e-9).cast("int")
     sizes = counts.groupBy("kind", log2.alias("k")).agg(F.count("*").alias("grams"), F.sum("n").alias("tokens")).collect()
@@ -381,7 +439,8 @@ def score_texts(
         texts = stored(source.select(chunk.alias("chunk"), "doc_id", "text"), "lm-texts")
         levels = levels_by_chunk(texts, filter_parts(counts, bits, 1, 0), bits)
         found = texts.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(scored_chunk, SCORED)
-    rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    with batch_bytes(docs.sparkSession, BATCH_BYTES):
+        rows = stored(found.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
     tail = rows.select("row", F.inline(F.arrays_zip("tail_h", "tail_n"))).join(
         words.filter(F.col("n") < 2**cut).select(F.col("h").alias("tail_h"), F.col("n").alias("c")), "tail_h", "left"
     )

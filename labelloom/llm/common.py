@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,6 +37,21 @@ def release(*frames: DataFrame) -> None:
         _delete(df.sparkSession, df._stored_at)
 
 
+@contextmanager
+def batch_bytes(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs started here hand rows to Python in Arrow batches of about ``size`` bytes, however long the texts.
+
+    Spark's own limit (64 MB, or 10,000 rows) is held by the JVM and by Python, in each task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def with_columns(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with new columns last; a column of ``df`` that has such a name in any case is replaced."""
     taken = {c.lower() for c in columns}

@@ -119,3 +119,64 @@ def test_a_word_seen_once_is_not_an_unknown_word(spark):
     docs = spark.createDataFrame(texts + [(held[0], "seldom"), (held[1], "unheard")], "doc_id long, text string")
     score = {r.doc_id: r.score for r in bloom_lm.score_texts(docs).collect()}
     assert score[held[0]] > score[held[1]] + 0.3
+
+
+@pytest.mark.parametrize("size", [40, 1 << 22])
+def test_counts_are_summed_by_ranges_of_the_hash(spark, odd, monkeypatch, size):
+    """Exact counts of words and bigrams; a chunk sends a row per range, not one per gram."""
+    monkeypatch.setattr(bloom_lm, "RANGE_BYTES", size, raising=False)
+    run, sent = type(spark.range(1)).mapInArrow, []
+
+    def seen(df, function, schema):
+        out = run(df, function, schema)
+        sent.append(out)
+        return out
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", seen)
+    docs = odd.select("doc_id", "text")
+    got = {(r.kind, r.h): r.n for r in bloom_lm.gram_counts(docs, 7, 2).collect()}
+    want = Counter()
+    for i, text in ((r.doc_id, r.text) for r in docs.collect()):
+        if not bloom_lm.is_held_out(i, 7, 2):
+            h = np.array([bloom_lm.xxhash.xxh64_intdigest(w) for w in tokens(text)[:-1]] + [bloom_lm.END], np.uint64)
+            want.update((0, int(x)) for x in h.view(np.int64))
+            want.update((1, int(x)) for x in bloom_lm.pair_hash(bloom_lm.before(h), h).view(np.int64))
+    assert got == want
+    if size > 40:
+        assert sent[0].count() <= 2 * docs.rdd.getNumPartitions() < len(got)
+
+
+def test_filter_parts_of_counts_cut_anywhere(spark, monkeypatch):
+    """Parts hold the same bits however many rows of counts a task cuts at a time; few rows are sent."""
+    rng = np.random.default_rng(4)
+    rows = [(int(a), int(b)) for a, b in zip(rng.integers(-(1 << 63), (1 << 63) - 1, 3000), rng.integers(1, 300, 3000))]
+    counts = spark.createDataFrame(rows, "h long, n long").repartition(2)
+    parts = []
+    for most in (400_000, 7):
+        monkeypatch.setattr(bloom_lm, "PART_ROWS", most, raising=False)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000 if most > 7 else 5)
+        try:
+            parts.append({r.part: bytes(r.bytes) for r in bloom_lm.filter_parts(counts, 3, 1, 0).collect()})
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts[0] == parts[1] and set(parts[0]) == set(range(8))
+    whole = np.frombuffer(b"".join(parts[0][k] for k in range(8)), np.uint8)
+    h, n = (np.array(x) for x in zip(*rows))
+    assert (bloom_lm.read_levels(h.view(np.uint64), whole, 61, 0) >= bloom_lm.levels_of(n, 1)).all()
+
+
+def test_long_texts_come_in_small_batches(spark, monkeypatch):
+    """Counting and scoring are handed some texts at a time, and the session's own limit stays as it was."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    monkeypatch.setattr(bloom_lm, "BATCH_BYTES", 1 << 12, raising=False)
+    before, limits = spark.conf.get(key), []
+    written = bloom_lm.stored
+
+    def seen(df, stem):
+        limits.append((stem, spark.conf.get(key)))
+        return written(df, stem)
+
+    monkeypatch.setattr(bloom_lm, "stored", seen)
+    docs = spark.createDataFrame([(k, f"w{k} " * 500) for k in range(40)], "doc_id long, text string")
+    assert bloom_lm.score_texts(docs).count() == 40
+    assert ("gram-counts", "4096") in limits and ("lm-rows", "4096") in limits and spark.conf.get(key) == before
