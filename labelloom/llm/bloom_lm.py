@@ -39,6 +39,7 @@ PROBES = 4
 DOCS_PER_CHUNK_BITS = 6
 COUNT_TOKENS = 400_000
 SCORE_TOKENS = 100_000
+CACHE_WORDS = 150_000
 # Text whose grams of one kind one range of hashes holds, and counts that are cut into parts at a time.
 RANGE_BYTES = 1 << 22
 PART_ROWS = 400_000
@@ -51,10 +52,18 @@ END = xxhash.xxh64_intdigest(b" end")
 START = xxhash.xxh64_intdigest(b" start")
 
 
-class WordHashes:
-    """64-bit hashes of words; to remember them takes longer than to hash them again."""
+class WordHashes(dict):
+    """64-bit hashes of words, remembered."""
 
-    def of(self, words: np.ndarray) -> np.ndarray:
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+    @staticmethod
+    def of(words: np.ndarray) -> np.ndarray:
+        """Hashes of different words: to look them up takes longer than to hash them again."""
         return np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
 
 
