@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelloom.session import _delete, scratch_path
+from labelloom.session import _delete, scratch_path, shuffles_freed
 
 # The white space of the contracts (code points 0x20 and 0x09 to 0x0D), and the letters A-Z.
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,7 +24,8 @@ def stored(df: DataFrame, stem: str) -> DataFrame:
     This cuts the lineage with files that outlive executors, and gives later plans exact sizes.
     """
     path = scratch_path(df.sparkSession, f"llm-{stem}")
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     out._stored_at = path

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -180,3 +181,68 @@ def test_long_texts_come_in_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"w{k} " * 500) for k in range(40)], "doc_id long, text string")
     assert bloom_lm.score_texts(docs).count() == 40
     assert ("gram-counts", "4096") in limits and ("lm-rows", "4096") in limits and spark.conf.get(key) == before
+
+
+def test_rows_of_numbers_come_back():
+    rng = np.random.default_rng(5)
+    size = np.array([3, 1, 400, 2])
+    h = np.concatenate([np.sort(rng.integers(0, 1 << 64, k, np.uint64)) for k in size])
+    for values in (h, h.astype(np.uint32)):
+        raw = bloom_lm.planes(bloom_lm.steps(values, size), size)
+        assert (bloom_lm.from_steps(bloom_lm.from_planes(raw, size, values.dtype), size) == values).all()
+    none = np.array([0, 2, 0])
+    assert bloom_lm.from_planes(bloom_lm.planes(h[:2], none), none, np.uint64).tolist() == h[:2].tolist()
+
+
+@pytest.mark.parametrize("ranges, tokens_a_chunk", [(40, 200), (1 << 14, 1 << 20), (1 << 22, 200)])
+def test_a_filter_that_is_not_sent(spark, odd, monkeypatch, ranges, tokens_a_chunk):
+    """The same scores, exact base scores, if ranges hold parts or parts ranges; texts are neither kept nor moved."""
+    monkeypatch.setattr(bloom_lm, "PART_BYTES", 1 << 10)
+    monkeypatch.setattr(bloom_lm, "LINES", 16)
+    monkeypatch.setattr(bloom_lm, "CHUNK_TOKENS", tokens_a_chunk, raising=False)
+    extra = spark.createDataFrame([(1000 + k, " ".join(f"w{k * j % 701}" for j in range(60))) for k in range(200)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(extra).repartition(3)
+    want = ordered(tuple(r) for r in bloom_lm.score_texts(docs).collect())
+    monkeypatch.setattr(bloom_lm, "RANGE_BYTES", ranges)
+    written, seen = bloom_lm.stored, []
+
+    def noted(df, stem):
+        seen.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, stem)
+
+    monkeypatch.setattr(bloom_lm, "stored", noted)
+    got = ordered(tuple(r) for r in bloom_lm.score_texts(docs, max_parts=1).collect())
+    exact = ordered(brute([(r.doc_id, r.text) for r in docs.collect()]))
+    assert [r[:5] for r in got] == [r[:5] for r in want] == [r[:5] for r in exact]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in exact], rel=1e-9)
+    assert [r[6] for r in got] == pytest.approx([r[6] for r in want], rel=1e-9)
+    assert not any("text" in columns for columns, _ in seen)
+    # one exchange of grams by range; later only answers, the chunks' numbers, and parts that hold several ranges
+    turns = min(bloom_lm.TURNS, 1 << bloom_lm.range_bits(bloom_lm.text_size(docs)[0]))
+    assert [plan.count("hashpartitioning(at") for _, plan in seen[: turns + 1]] == [0] + [1] * turns
+    assert all("hashpartitioning(text" not in plan and "hashpartitioning(h" not in plan for _, plan in seen)
+
+
+def test_no_text_has_more_entries():
+    for text in ("", "a", "a b c", " aa  bb", "a " * 50):
+        own = tokens(text)
+        words, pairs = Counter(own), Counter(zip([b""] + own, own))
+        entries = sum(int(math.log2(n)) + 1 for n in [*words.values(), *pairs.values()])
+        assert entries <= bloom_lm.most_entries(len(text), 1)
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Files of a shuffle go when the table is written, not when the driver happens to collect its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return sum("shuffle_" in str(name) for name in disk.getAllFiles().mkString("\n").split("\n"))
+
+    before = shuffled()
+    table = bloom_lm.stored(spark.range(1000).repartition(7, "id"), "test")
+    for _ in range(100):
+        if (after := shuffled()) <= before:
+            break
+        time.sleep(0.1)
+    assert after <= before and table.count() == 1000
+    bloom_lm.release(table)
