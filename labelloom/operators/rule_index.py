@@ -12,6 +12,9 @@ without any keyword, whose anchor is the empty gram of every text) is dealt over
 copies of its rules. Tables with copies for salts are joined by an explicit merge join: the planner
 takes them for the files they come from, so it would build sixteen times as much as that in the driver.
 
+More than ``JOINED`` rules are sent to the texts in blocks instead, as their (text, rule) pairs outgrow both tables:
+see ``rule_blocks``.
+
 Texts and keywords are lower-cased, cut and finally compared by the same built-in functions as
 in the plan of a few rules, so the meaning is the same. Only the grams are cut in Arrow batches:
 built-in functions that list all stretches of a text took thirty times as long.
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelloom.functions.text import contains_all
+from labelloom.operators import rule_blocks
 from labelloom.session import release, stored
 from labelloom.sizing import compute_once
 
@@ -41,6 +45,8 @@ PART_BITS = 16
 # Bytes of text that are cut at a time, and counted grams that a task holds.
 SLICE = 1 << 20
 KEPT = 1 << 20
+# Rules that are joined with the grams of the texts, at most.
+JOINED = 512
 
 
 # --- grams ---------------------------------------------------------------------------
@@ -243,13 +249,17 @@ def rules_that_hold(items: DataFrame, rules: DataFrame) -> DataFrame:
 
     ``rules`` has a unique long ``ord``, ``kws`` (lower-cased keywords, not null) and any other
     columns. A rule without keywords holds for every text that is not null; an empty keyword
-    always does. The result is a stored table, see ``session.release``.
+    always does. Up to ``JOINED`` rules, the result is a stored table, see ``session.release``.
     """
     payload = [c for c in rules.columns if c != "kws"]
     lowered = compute_once(items, "item_id", t=F.lower("text"))
     # an empty keyword says nothing; a rule of such keywords only is filed under the empty gram
     said = F.filter(F.array_distinct("kws"), lambda k: k != "")
     cleaned = stored(rules.withColumn("kws", F.when(F.size(said) > 0, said).otherwise(F.array(F.lit("")))), "rules")
+    if cleaned.count() > JOINED:
+        out = rule_blocks.rules_that_hold(lowered, cleaned)
+        release(cleaned)
+        return out
     index = anchored(lowered, cleaned)
     hits = text_grams(lowered, index.select(F.col("anchor").alias("gram")).distinct())
     filed = index.select(F.col("anchor").alias("gram"), F.struct(*payload, "kws").alias("rule")).withColumn("salt", salts())

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from labelloom.operators import labeling, rule_index
+from labelloom.operators import labeling, rule_blocks, rule_index
 from labelloom.operators.classes import ClassList
 from labelloom.sizing import local_frame
 
@@ -124,3 +124,36 @@ def test_grams_of_a_text(spark, small_tables):
     assert sorted((r.item_id, r.gram) for r in asked.collect() if r.gram in numbers) == exact
     counts = {r.gram: r.n for r in rule_index.gram_frequency(docs, wanted).collect()}
     assert counts[0] == len(texts) and counts[rule_index.numbered(b" the ")] == sum(len(re.findall("(?= the )", t)) for t in texts.values())
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_rules_sent_to_the_texts(spark, monkeypatch, small):
+    """Rules in blocks give the same verdicts as one by one, however texts, candidates and rules are cut."""
+    monkeypatch.setattr(rule_index, "JOINED", -1, raising=False)
+    if small:
+        for name, value in (("BLOCK_RULES", 100), ("SLICE", 300), ("STEP", 64), ("PAIRS", 5), ("WINDOWS", 1)):
+            monkeypatch.setattr(rule_blocks, name, value)
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcde é", k=rng.randint(1, 25))) for _ in range(300)]
+    texts = [*ODD_TEXTS, *(" ".join(rng.choices(words, k=30)) for _ in range(60))]
+    items = spark.createDataFrame([*enumerate(texts), (3, "abcde"), (3, "abcde"), (None, "a"), (None, "zz")], "item_id long, text string")
+    rules = [(f"r{k}", "+".join(rng.choices(words, k=rng.randint(1, 4))), str(k % 4)) for k in range(500)]
+    rules += [("very long", words[0] * 40, "0"), ("a line", " ".join(words[:9]), "1"), ("abc often", "abc " * 200, "2"), *ODD_RULES]
+    few, many = both_ways(items, criteria_frame(spark, rules))
+    assert few == many and len(few) > 500 and "abc often" in {c for _, c, _ in many}
+
+
+def test_candidates_are_not_shuffled(spark, monkeypatch):
+    """Pairs of texts and rules grow with both tables: they, and the texts, are neither moved nor stored."""
+    written, plans = rule_index.stored, {}
+
+    def seen(df, stem):
+        plans[stem] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, stem)
+
+    monkeypatch.setattr(rule_index, "stored", seen)
+    items = spark.createDataFrame(list(enumerate(ODD_TEXTS)), "item_id long, text string")
+    rules = criteria_frame(spark, [(f"r{k}", f"abc+b{k:04}" if k % 2 else "abc", "0") for k in range(1000)])
+    held = labeling.keyword_votes_long(items, rules, CLASSES)
+    assert "Exchange" not in held._jdf.queryExecution().executedPlan().toString() and set(plans) == {"rules"}
+    assert held.count() == 500 * sum("abc" in (t or "").lower() for t in ODD_TEXTS)
